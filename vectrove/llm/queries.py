@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, jaccard, media, neighbours, packing, quotes, substring, warc
+from . import bpe, jaccard, media, neighbours, packing, quality, quotes, substring, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,14 @@ def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(table(spark, sf_dir, "documents"))
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), cut=0.3)
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), cut=0.7)
+
+
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.ngram_jaccard_join(table(spark, sf_dir, "documents"), n=4, percent=85)
 
@@ -49,7 +57,7 @@ def op10_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_substring_dedup, op2_media_columns, op5_ngram_jaccard_join, op6_warc, op7_embedding_dedup, op8_best_fit_packing, op9_byte_bpe, op10_quotation_linking)
+    for f in (op1_substring_dedup, op2_media_columns, op3_quality_classifier, op4_toxicity, op5_ngram_jaccard_join, op6_warc, op7_embedding_dedup, op8_best_fit_packing, op9_byte_bpe, op10_quotation_linking)
 }
 
 _REACH = """

@@ -1,5 +1,58 @@
-"""Stages of corpus_pipeline.py: (spark, docs, sf_dir) to a DataFrame."""
+"""Stages of corpus_pipeline.py: each takes (spark, docs, sf_dir) and returns the documents that it keeps, or the packing."""
 
 from __future__ import annotations
 
-STAGES = []
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .jaccard import ngram_jaccard_join
+from .packing import pack
+from .quality import quality_filter
+from .substring import substring_dedup
+from .toxicity import toxicity_filter
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts."""
+    return quality_filter(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def keep_harmless(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity classifier accepts."""
+    return toxicity_filter(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group that links of five-word shingles with similarity 0.8 or more connect, the document with the least id.
+
+    Rows that repeat an id with an equal text are copies too; documents without words, and those with a null id, stay.
+    """
+    groups = ngram_jaccard_join(docs, n=5, percent=80)
+    gone = groups.where("component_id <> doc_id").select("doc_id").distinct()
+    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    twice = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if twice.isEmpty():
+        return kept
+    again = kept.join(twice, "doc_id", "left_semi").withColumn("_copy_of", F.md5(F.coalesce("text", F.lit("")))).dropDuplicates(["doc_id", "_copy_of"]).drop("_copy_of")
+    return kept.join(twice, "doc_id", "left_anti").select(*docs.columns).unionByName(again.select(*docs.columns))
+
+
+def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the words of 35-word windows that occur twice; n_chars follows the text."""
+    out = substring_dedup(docs, window=35, with_text=True, carry=tuple(c for c in docs.columns if c not in ("doc_id", "text")))
+    return out.select("doc_id", "text", "carried.*").withColumn("n_chars", F.expr("if(text is null, n_chars, cast(char_length(text) as long))")).select(*docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents in sequences of 2048 tokens."""
+    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"), size=2048)
+
+
+STAGES = [
+    ("quality", keep_quality),
+    ("toxicity", keep_harmless),
+    ("near_copies", keep_one_of_near_copies),
+    ("substring_dedup", remove_repeated_passages),
+    ("packing", pack_sequences),
+]

@@ -21,9 +21,9 @@ BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 ANCHOR = 12
 
 
-def text_blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int) -> tuple[DataFrame, int]:
-    """(block, id, text as bytes), each block about block_bytes of text, and the number of blocks. One shuffle of the texts."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
+def text_blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int, carry: tuple[str, ...] = ()) -> tuple[DataFrame, int]:
+    """(id, text as bytes, carried columns as a struct if any, block), each block about block_bytes of text, and the number of blocks. One shuffle of the texts."""
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"), *([F.struct(*carry).alias("carried")] if carry else []))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
     parts = min(blocks, max(parallelism(docs.sparkSession), 20_000))
@@ -104,18 +104,19 @@ def cut(text: bytes, gone: np.ndarray) -> tuple[bytes, list[dict]]:
     return b"".join([*parts, text[at:]]), intervals
 
 
-def substring_dedup(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, block_bytes: int = 8 << 20) -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, block_bytes: int = 8 << 20, carry: tuple[str, ...] = ()) -> DataFrame:
     """Remove every word covered by a window of `window` consecutive words whose sequence also starts elsewhere.
 
     Returns the id (as `id_col`), n_words, n_removed, kept_sha256 (of the kept words joined by a space) and, if
-    with_text, `text` (the rest, white space as it was) and `removed` (maximal intervals of word positions).
+    with_text, `text` (the rest, white space as it was) and `removed` (maximal intervals of word positions). `carried` is a
+    struct of the columns named in carry.
     Null and empty texts, and texts shorter than a window, keep all words; rows that repeat, also with one id or none,
     are documents of their own, and so remove each other's windows; other columns are ignored. No rows in, no rows out.
 
     Two counting rounds over compact key rows (see exchange): anchors first, each about a tenth of the windows, then
     128-bit Rabin-Karp hashes of just those windows whose anchor stands at two places. The texts are shuffled once.
     """
-    blocks, buckets = text_blocks(docs, id_col, text_col, block_bytes)
+    blocks, buckets = text_blocks(docs, id_col, text_col, block_bytes, carry)
 
     def first(table: pa.Table) -> pa.Table:
         found, many = exchange.distinct(Windows(table["text"].to_pylist(), window).anchors()[1][:, None])
@@ -131,6 +132,8 @@ def substring_dedup(docs: DataFrame, window: int = 35, id_col: str = "doc_id", t
     fields = [("id", table_type(docs, id_col)), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())]
     if with_text:
         fields += [("text", pa.string()), ("removed", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))]
+    if carry:
+        fields.append(("carried", table_type(blocks, "carried")))
     schema = pa.schema(fields)
 
     def last(table: pa.Table, replies: pa.Table) -> pa.Table:
@@ -150,13 +153,16 @@ def substring_dedup(docs: DataFrame, window: int = 35, id_col: str = "doc_id", t
                 rest, row["removed"] = cut(text, out) if n else (text, [])
                 row["text"] = None if rest is None else rest.decode()
             rows.append(row)
-        return pa.Table.from_pylist(rows, schema)
+        if not carry:
+            return pa.Table.from_pylist(rows, schema)
+        plain = pa.schema(fields[:-1])
+        return pa.Table.from_pylist(rows, plain).append_column("carried", table["carried"])
 
     one = exchange.answers(blocks.groupBy("block").applyInArrow(first, exchange.SENT_DDL), 1, 1)
     together = lambda replies, f, ddl: blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(f, ddl)
     two = exchange.answers(together(one, second, exchange.SENT_DDL), 2, 2)
     id_type = docs.schema[id_col].dataType.simpleString()
-    ddl = f"id {id_type}, n_words long, n_removed long, kept_sha256 string" + ", text string, removed array<struct<start:int,end:int>>" * with_text
+    ddl = f"id {id_type}, n_words long, n_removed long, kept_sha256 string" + ", text string, removed array<struct<start:int,end:int>>" * with_text + (f", carried {blocks.schema['carried'].dataType.simpleString()}" if carry else "")
     return together(one.unionByName(two), last, ddl).withColumnRenamed("id", id_col)
 
 

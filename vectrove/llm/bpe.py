@@ -15,21 +15,22 @@ from .pieces import pieces
 from .substring import table_type
 
 #: Characters of text worked on at once, words of one recursive query, and cached entries.
-SLICE, QUERY, PIECES_KEPT, WORDS_KEPT = 3_000_000, 40_000, 200_000, 600_000
+SLICE, QUERY, PIECES_KEPT, WORDS_KEPT = 3_000_000, 40_000, 400_000, 1_200_000
 #: A word of more bytes contracts on a heap: a query would go round once for each of its merges.
 LONG = 1_000
 
 ENCODE = """
 WITH RECURSIVE state AS (
-  SELECT word, place, token, 0 AS round FROM start
+  SELECT word, place, token, next, following, 0 AS round FROM start
   UNION ALL
-  (WITH neighbours AS (SELECT *, lead(token) OVER (PARTITION BY word ORDER BY place) AS following FROM state),
-        ranked AS (SELECT n.*, m.token AS merged, m.token * 1099511627776 + n.place AS rank FROM neighbours n LEFT JOIN merges m ON m.a = n.token AND m.b = n.following),
-        chosen AS (SELECT *, min(rank) OVER (PARTITION BY word) AS best, lag(rank) OVER (PARTITION BY word ORDER BY place) AS before FROM ranked)
-   SELECT word, place, CASE WHEN rank = best THEN merged::INT ELSE token END, round + 1
-   FROM chosen WHERE best IS NOT NULL AND (before IS NULL OR before <> best))
+  (WITH best AS (SELECT s.word, min(m.token * 1099511627776 + s.place) AS rank FROM state s JOIN merges m ON m.a = s.token AND m.b = s.following GROUP BY s.word),
+        chosen AS (SELECT b.word, (b.rank >> 40)::INT AS merged, s.place AS at, s.next AS gone FROM best b JOIN state s ON s.word = b.word AND s.place = (b.rank & 1099511627775)::INT),
+        change AS (SELECT c.*, s.next AS next, s.following AS following FROM chosen c JOIN state s ON s.word = c.word AND s.place = c.gone)
+   SELECT s.word, s.place, CASE WHEN s.place = c.at THEN c.merged ELSE s.token END, CASE WHEN s.place = c.at THEN c.next ELSE s.next END,
+     CASE WHEN s.place = c.at THEN c.following WHEN s.next = c.at THEN c.merged ELSE s.following END, s.round + 1
+   FROM state s JOIN change c ON c.word = s.word WHERE s.place <> c.gone)
 ), final AS (SELECT word, place, token FROM state JOIN (SELECT word, max(round) AS round FROM state GROUP BY word) USING (word, round))
-SELECT word, list(token ORDER BY place) AS ids, string_agg(v.hex, '' ORDER BY place) AS bytes FROM final JOIN vocabulary v USING (token) GROUP BY word ORDER BY word
+SELECT word, count(*) AS n, string_agg(v.name, ' ' ORDER BY place) AS ids, string_agg(v.hex, '' ORDER BY place) AS bytes FROM final JOIN vocabulary v USING (token) GROUP BY word ORDER BY word
 """
 DECODE = "SELECT row, string_agg(v.hex, '' ORDER BY place) AS bytes FROM ids JOIN vocabulary v USING (token) GROUP BY row ORDER BY row"
 
@@ -59,11 +60,11 @@ class Codec:
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB", "temp_directory": ""})
         a, b, r = (list(x) for x in zip(*pairs)) if pairs else ([], [], [])
         self._table("merges", a=pa.array(a, pa.int32()), b=pa.array(b, pa.int32()), token=pa.array(r, pa.int64()))
-        self._table("vocabulary", token=pa.array(list(self.bytes_of), pa.int32()), hex=pa.array([t.hex() for t in self.bytes_of.values()]))
+        self._table("vocabulary", token=pa.array(list(self.bytes_of), pa.int32()), name=pa.array([str(r) for r in self.bytes_of]), hex=pa.array([t.hex() for t in self.bytes_of.values()]))
 
-    def _table(self, name: str, **columns: pa.Array) -> None:
+    def _table(self, table: str, **columns: pa.Array) -> None:
         self.db.register("given", pa.table(columns))
-        self.db.execute(f"CREATE OR REPLACE TABLE {name} AS SELECT * FROM given")
+        self.db.execute(f"CREATE OR REPLACE TABLE {table} AS SELECT * FROM given")
         self.db.unregister("given")
 
     def _encode_words(self, words: list[str]) -> None:
@@ -82,10 +83,13 @@ class Codec:
             joined = np.frombuffer(b"".join(raw[i] for i in some), np.uint8)
             ends = np.cumsum(sizes)
             place = np.arange(len(joined)) - np.repeat(ends - sizes, sizes)
-            self._table("start", word=pa.array(np.repeat(np.arange(len(some)), sizes), pa.int32()), place=pa.array(place, pa.int32()), token=pa.array(self.single[joined]))
+            first = self.single[joined]
+            following = np.r_[first[1:], np.int32(-1)]
+            following[ends - 1] = -1
+            self._table("start", word=pa.array(np.repeat(np.arange(len(some)), sizes), pa.int32()), place=pa.array(place, pa.int32()), token=pa.array(first), next=pa.array(place + 1, pa.int32()), following=pa.array(following.astype(np.int32)))
             found = self.db.sql(ENCODE).to_arrow_table()
-            for i, ids, text in zip(some, found["ids"].to_pylist(), found["bytes"].to_pylist()):
-                self.words[words[i]] = (" ".join(map(str, ids)), len(ids), bytes.fromhex(text))
+            for i, n, ids, text in zip(some, found["n"].to_pylist(), found["ids"].to_pylist(), found["bytes"].to_pylist()):
+                self.words[words[i]] = (ids, n, bytes.fromhex(text))
 
     def _contract(self, raw: bytes) -> list[int]:
         """The same contraction, leftmost pair of least rank first, for one very long word."""

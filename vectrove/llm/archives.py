@@ -27,7 +27,7 @@ def byte_ranges(folder: str, suffix: str, span: int) -> list[ByteRange]:
     """Ranges over all archives of a folder, planned from names and sizes alone; at least one, so that no archive is no row."""
     system, path = file_system(folder)
     prefix = folder[: len(folder) - len(path)] if folder.endswith(path) else ""
-    files = sorted((f.path, f.size) for f in system.get_file_info(fs.FileSelector(path, recursive=True)) if f.type == fs.FileType.File and f.path.endswith(suffix))
+    files = sorted((f.path, f.size) for f in system.get_file_info(fs.FileSelector(path, recursive=True, allow_not_found=True)) if f.type == fs.FileType.File and f.path.endswith(suffix))
     return [ByteRange(prefix + p, i, min(i + span, n)) for p, n in files for i in range(0, n, span)] or [ByteRange("", 0, 0)]
 
 

@@ -71,7 +71,7 @@ def from_png(media: bytes) -> bytes:
 
 
 def write_media(rows: DataFrame, folder: str, id_col: str, text_col: str) -> int:
-    """Store each text's bytes as a member; returns the number of members."""
+    """Store each text's bytes as a member, an archive for each task that has rows; returns the number of members."""
 
     def write(parts):
         part = TaskContext.get().partitionId()
@@ -87,7 +87,10 @@ def write_media(rows: DataFrame, folder: str, id_col: str, text_col: str) -> int
                     info.comment = json.dumps({"id": name, "n_bytes": len(raw)}).encode()
                     archive.writestr(info, to_png(padded(raw)))
                     n += 1
-        system.move(partial, final)
+        if n:
+            system.move(partial, final)
+        else:
+            system.delete_file(partial)
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
 
     return rows.select(F.col(id_col).cast("string"), F.col(text_col).cast("binary")).mapInArrow(write, "n long").agg(F.sum("n")).first()[0] or 0

@@ -105,15 +105,15 @@ def embedding_dedup(rows: DataFrame, cosine: float = 0.95, id_col: str = "vec_id
 
     Returns the id, n_links (other rows linked directly, equal vectors included), component_id (least id that links reach,
     its own included) and kept (whether it is that one). Vectors that are null, empty, zero, or hold null or non-finite
-    components link with nothing and are kept; vectors of different lengths do not link. Equal vectors are compared once,
-    for all their rows. Ids are expected to be integers, one a row; other columns are ignored; no rows in, no rows out.
+    components, and rows with a null id, link with nothing and are kept; vectors of different lengths do not link. Equal
+    vectors are compared once, for all their rows, also of one id; other columns are ignored; no rows in, no rows out.
     """
     base = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
     good = "v is not null and size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(v, x -> x <> 0)"
     base = base.withColumn("good", F.expr(f"coalesce({good}, false)"))
-    key = F.expr("if(good, transform(v, x -> x + 0D), null)").alias("v")
+    key = F.expr("if(good and id is not null, transform(v, x -> x + 0D), null)").alias("v")
     base = stored(base.select("id", key), "vectors")
-    groups = base.where("v is not null").groupBy("v").agg(F.min("id").alias("node"), F.count("*").alias("many"))
+    groups = base.where("v is not null").groupBy("v").agg(F.min("id").alias("low"), F.count("*").alias("many")).withColumn("node", F.xxhash64("v"))
 
     def pack(batches):
         for batch in batches:
@@ -122,6 +122,7 @@ def embedding_dedup(rows: DataFrame, cosine: float = 0.95, id_col: str = "vec_id
     distinct = stored(groups.select("node", F.size("v").alias("size"), "many", "v").mapInArrow(pack, "node long, size int, many long, vector binary"), "distinct")
     links, edges = metric_join(distinct, cosine, cell, side)
     whole = components(edges)
-    each = groups.join(links, "node", "left").join(whole, "node", "left").select("v", F.expr("coalesce(links, 0) + many - 1").alias("n_links"), F.coalesce("component", "node").alias("component_id"))
+    each = groups.join(links, "node", "left").join(whole, "node", "left").select("v", "low", F.expr("coalesce(links, 0) + many - 1").alias("n_links"), F.coalesce("component", "node").alias("group_key"))
+    each = each.join(each.groupBy("group_key").agg(F.min("low").alias("component_id")), "group_key").select("v", "n_links", "component_id")
     out = base.join(each, "v", "left").select(F.col("id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
     return out.withColumn("kept", F.expr("id <=> component_id")).withColumnRenamed("id", id_col)

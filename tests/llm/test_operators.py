@@ -256,7 +256,7 @@ def test_packing(spark):
     tokenizer = Tokenizer.from_file(JSON)
     tokenizer.encode_special_tokens = True
     texts = [*AWKWARD, *ODD, *(" ".join(f"w{j}" for j in range(i * 3)) for i in range(150))]
-    rows = packing.pack(docs(spark, texts), JSON, size=256).collect()
+    rows = packing.pack(docs(spark, texts), JSON, public_tokenizers.PATTERN, size=256).collect()
     pieces, sequences = collections.defaultdict(list), collections.defaultdict(list)
     for r in rows:
         pieces[r.doc_id].append(r)
@@ -277,7 +277,7 @@ def test_packing(spark):
         assert at <= 256
     bound = -(-sum(r.length for r in rows) // 256)
     assert len(sequences) <= bound * 1.06 + 1
-    assert packing.pack(docs(spark, []), JSON).count() == 0
+    assert packing.pack(docs(spark, []), JSON, public_tokenizers.PATTERN).count() == 0
 
 
 def test_plan_places_every_rank():

@@ -24,6 +24,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader
 from .archives import SPAN, ByteRange, batches, byte_ranges
 from .storage import file_system, shared_path
 from .substring import table_type
+from .words import small
 
 #: Samples of an image row, PNG's first bytes, reads of a member before its task fails.
 WIDTH, MAGIC, TRIES = 576, b"\x89PNG\r\n\x1a\n", 3
@@ -80,7 +81,7 @@ def write_media(rows: DataFrame, folder: str, id_col: str, text_col: str) -> int
         final, n = f"{path}/part-{part:07d}.zip", 0
         partial = f"{final}.{TaskContext.get().taskAttemptId()}.partial"
         with system.open_output_stream(partial) as out, zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as archive:
-            for batch in parts:
+            for batch in small(parts):
                 for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                     raw = text or b""
                     info = zipfile.ZipInfo(f"{n:09d}.png")

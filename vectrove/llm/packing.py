@@ -21,38 +21,45 @@ from pyspark.sql import functions as F
 from .pieces import pieces
 from .storage import stored
 from .substring import table_type
-from .words import Memo
+from .words import Memo, small
 
 #: Cached pieces of text in a Python worker; least squares rounds; most tokens that a pattern may leave free.
-KEPT, ROUNDS, FREE = 600_000, 200, 64
+KEPT, ROUNDS, FREE = 350_000, 200, 64
 
 
 class Encoder:
-    """Token ids of texts as little-endian bytes, by a tokenizers file; texts are cut so that pieces repeat."""
+    """Token ids of texts as little-endian bytes, by a tokenizers file.
+
+    Texts are cut into pieces, and pieces by the file's own pattern into matches, which it encodes each on its own; so what
+    is known of a piece or match serves every text.
+    """
 
     _made: dict = {}
 
     @classmethod
-    def of(cls, path: str) -> Encoder:
-        if path not in cls._made:
-            cls._made[path] = cls(path)
-        return cls._made[path]
+    def of(cls, path: str, pattern: str) -> Encoder:
+        if (path, pattern) not in cls._made:
+            cls._made[path, pattern] = cls(path, pattern)
+        return cls._made[path, pattern]
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, pattern: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.find = regex.compile(pattern).findall
         self.known = Memo(self._new, KEPT)
 
     def _new(self, piece: str) -> bytes:
-        if len(piece) > 2 and piece[-1] in ".,|" and piece[1:-1].isalpha() and (piece[0] == " " or piece[0].isalpha()):
-            return self.known[piece[:-1]] + self.known[piece[-1]]  # letters and a mark are two matches of the pattern
+        matches = self.find(piece)
+        if len(matches) > 1:
+            return b"".join([self.known[m] for m in matches])
         return np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __call__(self, text: str | None) -> bytes:
-        return b"".join(map(self.known.__getitem__, pieces(text or "")))
+        return b"".join(map(self.known.use().__getitem__, pieces(text or "")))
 
 
 def fit_patterns(counts: dict[int, int], size: int) -> list[tuple[tuple[int, ...], int]]:
@@ -141,8 +148,8 @@ def make_plan(counts: dict[int, int], size: int) -> dict[int, np.ndarray]:
     return {length: np.array(rows, np.int64) for length, rows in plan.items()}
 
 
-def pack(docs: DataFrame, tokenizer_path: str, size: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Pack all documents into as few sequences of `size` tokens as the patterns give.
+def pack(docs: DataFrame, tokenizer_path: str, pattern: str, size: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Pack all documents into as few sequences of `size` tokens as the patterns give. `pattern` is the tokenizer's own split.
 
     A document is its ids, then end_id; null and empty texts are end_id alone. Only longer documents are cut, from the
     back, so that just the first piece may be shorter than `size`. Returns a row per piece: the id, piece, start, length,
@@ -152,8 +159,8 @@ def pack(docs: DataFrame, tokenizer_path: str, size: int = 2048, end_id: int = 0
     end = int(end_id).to_bytes(4, "little")
 
     def tokens(batches):
-        encode, part, ranks = Encoder.of(tokenizer_path), TaskContext.get().partitionId(), Counter()
-        for batch in batches:
+        encode, part, ranks = Encoder.of(tokenizer_path, pattern), TaskContext.get().partitionId(), Counter()
+        for batch in small(batches):
             rows = []
             for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 ids = encode(text) + end

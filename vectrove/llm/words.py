@@ -9,11 +9,24 @@ U = np.uint64
 
 
 class Memo(dict):
-    """A bounded cache of make(key); it is emptied when full, so results never depend on it."""
+    """A bounded cache of make(key); it is emptied when full, so results never depend on it.
+
+    A worker that goes from one operator's tasks to another's keeps the cache of one: see use().
+    """
+
+    _in_use: Memo | None = None
 
     def __init__(self, make, most: int):
         self.make, self.most = make, most
 
+    def use(self) -> Memo:
+        """This cache, the last one in use emptied if it is another."""
+        if Memo._in_use is not self:
+            if Memo._in_use is not None:
+                Memo._in_use.clear()
+            Memo._in_use = self
+        return self
+
     def __missing__(self, key):
         if len(self) >= self.most:
             self.clear()
@@ -21,7 +34,14 @@ class Memo(dict):
         return value
 
 
-_CODES = Memo(xxh3_64_intdigest, 400_000)
+_CODES = Memo(xxh3_64_intdigest, 200_000)
+
+
+def small(batches, rows: int = 1000):
+    """The batches in slices of so many rows, so that few texts are Python objects at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 def split_words(text: bytes | None) -> list[bytes]:
@@ -31,7 +51,7 @@ def split_words(text: bytes | None) -> list[bytes]:
 
 def codes(words: list[bytes]) -> np.ndarray:
     """A 64-bit code of each word."""
-    return np.fromiter(map(_CODES.__getitem__, words), U, len(words))
+    return np.fromiter(map(_CODES.use().__getitem__, words), U, len(words))
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

@@ -36,7 +36,7 @@ def curve(df: DataFrame, score: str, by: list[str], label: str = "label") -> Dat
 def average_precision(df: DataFrame, score: str, by: list[str], label: str = "label") -> DataFrame:
     """(by, pr_auc): sum of precision times recall gained over distinct thresholds; NaN without positives."""
     c = curve(df, score, by, label)
-    value = F.sum(F.col("pos") / F.col("p") * F.col("tp") / (F.col("tp") + F.col("fp")))
+    value = F.sum(F.try_divide("pos", "p") * F.col("tp") / (F.col("tp") + F.col("fp")))
     return c.groupBy(*by).agg(F.when(F.max("p") > 0, value).otherwise(F.lit(float("nan"))).alias("pr_auc"))
 
 
@@ -50,19 +50,19 @@ def areas_trapz(df: DataFrame, score: str, by: list[str], tie: str, label: str =
     down = Window.partitionBy(*by).orderBy(F.col(score).desc(), tie)
     run, whole = down.rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(*by)
     rows = df.withColumns({"_tp": F.sum(label).over(run), "_i": F.row_number().over(down), "_p": F.sum(label).over(whole), "_n": F.count("*").over(whole)})
-    rows = rows.withColumns({"_tpr": F.col("_tp") / F.col("_p"), "_fpr": (F.col("_i") - F.col("_tp")) / (F.col("_n") - F.col("_p")), "_prec": F.col("_tp") / F.col("_i")})
+    rows = rows.withColumns({"_tpr": F.try_divide("_tp", "_p"), "_fpr": F.try_divide(F.col("_i") - F.col("_tp"), F.col("_n") - F.col("_p")), "_prec": F.col("_tp") / F.col("_i")})
     trapezoid = lambda x, y: (F.col(x) - F.lag(x).over(down)) * (F.col(y) + F.lag(y).over(down)) / 2
     rows = rows.withColumns({"_roc": trapezoid("_fpr", "_tpr"), "_pr": trapezoid("_tpr", "_prec")})
     return rows.groupBy(*by).agg(F.sum("_roc").alias("roc_trapz"), F.sum("_pr").alias("pr_trapz"))
 
 
 def roc_curve(df: DataFrame, score: str, by: list[str], label: str = "label") -> DataFrame:
-    return curve(df, score, by, label).select(*by, "threshold", (F.col("fp") / F.col("q")).alias("fpr"), (F.col("tp") / F.col("p")).alias("tpr"))
+    return curve(df, score, by, label).select(*by, "threshold", F.try_divide("fp", "q").alias("fpr"), F.try_divide("tp", "p").alias("tpr"))
 
 
 def youden_threshold(df: DataFrame, score: str, by: list[str], label: str = "label") -> DataFrame:
-    """(by, threshold, youden) of the largest TPR - FPR; ties take the highest threshold."""
-    rows = roc_curve(df, score, by, label).withColumn("youden", F.col("tpr") - F.col("fpr"))
+    """(by, threshold, youden) of the largest TPR - FPR; ties take the highest threshold; one class gives no row."""
+    rows = roc_curve(df, score, by, label).withColumn("youden", F.col("tpr") - F.col("fpr")).where("youden is not null")
     return rows.groupBy(*by).agg(F.max_by("threshold", F.struct("youden", "threshold")).alias("threshold"), F.max("youden").alias("youden"))
 
 

@@ -90,7 +90,7 @@ def mann_whitney(df: DataFrame, value: str, by: list[str], label: str = "label")
     tie = df.where(F.col(value).isNotNull()).groupBy(*by, value).count().groupBy(*by).agg(F.sum(F.col("count").cast("double") ** 3 - F.col("count")).alias("_t"))
     out = (sums.join(tie, by) if by else sums.join(tie)).withColumn("u", F.col("_rs") - F.col("n1") * (F.col("n1") + 1) / 2.0)
     n = F.col("n1") + F.col("n0")
-    spread = F.sqrt(F.col("n1") * F.col("n0") / 12.0 * ((n + 1) - F.col("_t") / (n * (n - 1))))
+    spread = F.sqrt(F.col("n1") * F.col("n0") / 12.0 * ((n + 1) - F.try_divide("_t", n * (n - 1))))
     gap = F.col("u") - F.col("n1") * F.col("n0") / 2.0
     z = F.when(spread > 0, F.signum(gap) * F.greatest(F.lit(0.0), F.abs(gap) - 0.5) / spread)
     return out.withColumn("z", z).withColumn("p", normal_two_sided(F.col("z"))).drop("_rs", "_t")
@@ -100,8 +100,8 @@ def welch_t(df: DataFrame, value: str, by: list[str], label: str = "label") -> D
     """(by, t, df, p) of unequal variances; NaN values are left out."""
     v = lambda k: F.when((F.col(label) == k) & ~F.isnan(value), F.col(value))
     s = df.groupBy(*by).agg(*(x for k in (0, 1) for x in (F.avg(v(k)).alias(f"m{k}"), F.var_samp(v(k)).alias(f"v{k}"), F.count(v(k)).alias(f"n{k}"))))
-    e0, e1 = F.col("v0") / F.col("n0"), F.col("v1") / F.col("n1")
-    out = s.select(*by, ((F.col("m1") - F.col("m0")) / F.sqrt(e0 + e1)).alias("t"), ((e0 + e1) ** 2 / (e0**2 / (F.col("n0") - 1) + e1**2 / (F.col("n1") - 1))).alias("df"))
+    e0, e1 = F.try_divide("v0", "n0"), F.try_divide("v1", "n1")
+    out = s.select(*by, F.try_divide(F.col("m1") - F.col("m0"), F.sqrt(e0 + e1)).alias("t"), F.try_divide((e0 + e1) ** 2, F.try_divide(e0**2, F.col("n0") - 1) + F.try_divide(e1**2, F.col("n1") - 1)).alias("df"))
     return out.withColumn("p", t_two_sided(F.col("t"), F.col("df")))
 
 

@@ -53,17 +53,17 @@ def m02_average_precision(d: Data) -> DataFrame:
 
 
 @query("""WITH r AS (SELECT site, label, row_number() OVER o AS i, sum(label) OVER (o ROWS UNBOUNDED PRECEDING) AS tp, sum(label) OVER w AS p, count(*) OVER w AS n, score_b, patient_id FROM scores WINDOW w AS (PARTITION BY site), o AS (PARTITION BY site ORDER BY score_b DESC, patient_id)),
-x AS (SELECT site, i, tp / p AS tpr, (i - tp) / (n - p) AS fpr, tp / i AS prec FROM r), t AS (SELECT site, (fpr - lag(fpr) OVER w) * (tpr + lag(tpr) OVER w) / 2 AS a, (tpr - lag(tpr) OVER w) * (prec + lag(prec) OVER w) / 2 AS b FROM x WINDOW w AS (PARTITION BY site ORDER BY i)) SELECT site, sum(a) AS roc_trapz, sum(b) AS pr_trapz FROM t GROUP BY 1""", "roc_trapz pr_trapz")
+x AS (SELECT site, i, tp / nullif(p, 0) AS tpr, (i - tp) / nullif(n - p, 0) AS fpr, tp / i AS prec FROM r), t AS (SELECT site, (fpr - lag(fpr) OVER w) * (tpr + lag(tpr) OVER w) / 2 AS a, (tpr - lag(tpr) OVER w) * (prec + lag(prec) OVER w) / 2 AS b FROM x WINDOW w AS (PARTITION BY site ORDER BY i)) SELECT site, sum(a) AS roc_trapz, sum(b) AS pr_trapz FROM t GROUP BY 1""", "roc_trapz pr_trapz")
 def m03_areas_trapz(d: Data) -> DataFrame:
     return M.areas_trapz(d.scores, "score_b", ["site"], "patient_id")
 
 
-@query(f"WITH {ap_sql('scores', 'score_b', 'site')} SELECT site, s AS threshold, fp / q AS fpr, tp / p AS tpr FROM cv", "threshold fpr tpr")
+@query(f"WITH {ap_sql('scores', 'score_b', 'site')} SELECT site, s AS threshold, fp / nullif(q, 0) AS fpr, tp / nullif(p, 0) AS tpr FROM cv", "threshold fpr tpr")
 def m04_roc_curve(d: Data) -> DataFrame:
     return M.roc_curve(d.scores, "score_b", ["site"])
 
 
-@query(f"WITH {ap_sql('scores', 'score_b', 'site')} SELECT site, s AS threshold, tp / p - fp / q AS youden FROM cv QUALIFY row_number() OVER (PARTITION BY site ORDER BY tp / p - fp / q DESC, s DESC) = 1", "threshold youden")
+@query(f"WITH {ap_sql('scores', 'score_b', 'site')} SELECT site, s AS threshold, tp / p - fp / q AS youden FROM cv WHERE p > 0 AND q > 0 QUALIFY row_number() OVER (PARTITION BY site ORDER BY tp / p - fp / q DESC, s DESC) = 1", "threshold youden")
 def m05_youden_threshold(d: Data) -> DataFrame:
     return M.youden_threshold(d.scores, "score_b", ["site"])
 
@@ -117,7 +117,7 @@ def m12_correlations(d: Data) -> DataFrame:
 
 MWU = f"""r AS (SELECT site, label, {RANKS.format(c='score_b')} AS r FROM scores), t AS (SELECT site, sum(n::DOUBLE ** 3 - n) AS t FROM (SELECT site, score_b, count(*) AS n FROM scores GROUP BY 1, 2) GROUP BY 1),
 s AS (SELECT site, sum(r) FILTER (WHERE label = 1) AS rs, CAST(sum(label) AS BIGINT) AS n1, CAST(sum(1 - label) AS BIGINT) AS n0 FROM r GROUP BY 1), u AS (SELECT site, n1, n0, rs - n1 * (n1 + 1) / 2.0::DOUBLE AS u, t FROM s JOIN t USING (site)),
-mwu AS (SELECT site, n1, n0, u, sign(u - n1 * n0 / 2.0::DOUBLE) * greatest(0, abs(u - n1 * n0 / 2.0::DOUBLE) - 0.5) / sqrt(n1 * n0 / 12.0::DOUBLE * (n1 + n0 + 1 - t / ((n1 + n0)::DOUBLE * (n1 + n0 - 1)))) AS z FROM u)"""
+mwu AS (SELECT site, n1, n0, u, sign(u - n1 * n0 / 2.0::DOUBLE) * greatest(0, abs(u - n1 * n0 / 2.0::DOUBLE) - 0.5) / nullif(sqrt(n1 * n0 / 12.0::DOUBLE * (n1 + n0 + 1 - t / nullif((n1 + n0)::DOUBLE * (n1 + n0 - 1), 0))), 0) AS z FROM u)"""
 
 
 @query(f"WITH {MWU} SELECT site, n1, n0, u, z FROM mwu", "u z")
@@ -128,7 +128,7 @@ def m13_mann_whitney(d: Data) -> DataFrame:
 WELCH = """w AS (SELECT site, avg(score_a) FILTER (WHERE label = 0) AS m0, avg(score_a) FILTER (WHERE label = 1) AS m1, var_samp(score_a) FILTER (WHERE label = 0) / count(*) FILTER (WHERE label = 0) AS e0, var_samp(score_a) FILTER (WHERE label = 1) / count(*) FILTER (WHERE label = 1) AS e1, count(*) FILTER (WHERE label = 0) AS n0, count(*) FILTER (WHERE label = 1) AS n1 FROM scores GROUP BY 1)"""
 
 
-@query(f'WITH {WELCH} SELECT site, (m1 - m0) / sqrt(e0 + e1) AS t, (e0 + e1) ** 2 / (e0 ** 2 / (n0 - 1) + e1 ** 2 / (n1 - 1)) AS df FROM w', "t df")
+@query(f'WITH {WELCH} SELECT site, (m1 - m0) / nullif(sqrt(e0 + e1), 0) AS t, (e0 + e1) ** 2 / nullif(e0 ** 2 / nullif(n0 - 1, 0) + e1 ** 2 / nullif(n1 - 1, 0), 0) AS df FROM w', "t df")
 def m14_welch_t(d: Data) -> DataFrame:
     return H.welch_t(d.scores, "score_a", ["site"]).drop("p")
 
@@ -140,7 +140,7 @@ def m15_permutation_p(d: Data) -> DataFrame:
     return H.permutation_p(d.scores, "score_b", "patient_id", 50, 42)
 
 
-@query(f"WITH {MWU} SELECT site, 2 * u / (n1 * n0) - 1 AS delta FROM mwu", "delta")
+@query(f"WITH {MWU} SELECT site, coalesce(2 * u / nullif(n1 * n0, 0) - 1, 0) AS delta FROM mwu", "delta")
 def m16_cliffs_delta(d: Data) -> DataFrame:
     return H.cliffs_delta(d.scores, "score_b", ["site"])
 
@@ -163,7 +163,7 @@ def m17_bootstrap_metric(d: Data) -> DataFrame:
     return H.bootstrap_metric(d.scores.select("patient_id", "label", "score_b"), "score_b", "patient_id", 20, 7)
 
 
-@query(f"WITH {boot_sql('label')}, {ap_sql('bt', 'score_b', 'replicate')}, m AS (SELECT replicate, s AS threshold, tp / p - fp / q AS youden FROM cv QUALIFY row_number() OVER (PARTITION BY replicate ORDER BY tp / p - fp / q DESC, s DESC) = 1) SELECT {three('threshold', 'm')}, {three('youden', 'm')} FROM m", "threshold_low threshold_mid threshold_high youden_low youden_mid youden_high")
+@query(f"WITH {boot_sql('label')}, {ap_sql('bt', 'score_b', 'replicate')}, m AS (SELECT replicate, s AS threshold, tp / p - fp / q AS youden FROM cv WHERE p > 0 AND q > 0 QUALIFY row_number() OVER (PARTITION BY replicate ORDER BY tp / p - fp / q DESC, s DESC) = 1) SELECT {three('threshold', 'm')}, {three('youden', 'm')} FROM m", "threshold_low threshold_mid threshold_high youden_low youden_mid youden_high")
 def m18_bootstrap_threshold(d: Data) -> DataFrame:
     return H.bootstrap_threshold(d.scores.select("patient_id", "label", "score_b"), "score_b", "patient_id", 20, 7)
 
@@ -215,7 +215,7 @@ def m24_ellipse_area(d: Data) -> DataFrame:
     return H.ellipse_area(d.scores, "score_a", "score_b", "label").withColumn("area", F.col("area") / 1000)
 
 
-@query(f"WITH {MWU}, {WELCH}, ma AS (SELECT site, avg(score_b) FILTER (WHERE label = 0) AS mean_0, avg(score_b) FILTER (WHERE label = 1) AS mean_1 FROM scores GROUP BY 1), wb AS (SELECT site, var_samp(score_b) FILTER (WHERE label = 0) / count(*) FILTER (WHERE label = 0) AS e0, var_samp(score_b) FILTER (WHERE label = 1) / count(*) FILTER (WHERE label = 1) AS e1, count(*) FILTER (WHERE label = 0) AS n0, count(*) FILTER (WHERE label = 1) AS n1 FROM scores GROUP BY 1) SELECT site, mean_0, mean_1, 100 * (mean_1 - mean_0) / abs(mean_0) AS change, u, z, (mean_1 - mean_0) / sqrt(e0 + e1) AS t, (e0 + e1) ** 2 / (e0 ** 2 / (wb.n0 - 1) + e1 ** 2 / (wb.n1 - 1)) AS df FROM ma JOIN mwu USING (site) JOIN wb USING (site)", "mean_0 mean_1 change u z t df")
+@query(f"WITH {MWU}, {WELCH}, ma AS (SELECT site, avg(score_b) FILTER (WHERE label = 0) AS mean_0, avg(score_b) FILTER (WHERE label = 1) AS mean_1 FROM scores GROUP BY 1), wb AS (SELECT site, var_samp(score_b) FILTER (WHERE label = 0) / count(*) FILTER (WHERE label = 0) AS e0, var_samp(score_b) FILTER (WHERE label = 1) / count(*) FILTER (WHERE label = 1) AS e1, count(*) FILTER (WHERE label = 0) AS n0, count(*) FILTER (WHERE label = 1) AS n1 FROM scores GROUP BY 1) SELECT site, mean_0, mean_1, 100 * (mean_1 - mean_0) / abs(mean_0) AS change, u, z, (mean_1 - mean_0) / nullif(sqrt(e0 + e1), 0) AS t, (e0 + e1) ** 2 / nullif(e0 ** 2 / nullif(wb.n0 - 1, 0) + e1 ** 2 / nullif(wb.n1 - 1, 0), 0) AS df FROM ma JOIN mwu USING (site) JOIN wb USING (site)", "mean_0 mean_1 change u z t df")
 def m26_group_tests(d: Data) -> DataFrame:
     return H.group_tests(d.scores, "score_b", ["site"])
 

@@ -69,15 +69,15 @@ def link_quotes(messages: DataFrame, group_col: str = "conv_id", order_col: str
     best = found.groupBy("c", "t").agg(F.max_by("found", F.struct(-F.col("level"), F.col("found"))).alias("parent"))
     same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
 
-    # Pointer jumping: after k rounds each message knows its 2**k-th ancestor, or the root of its chain.
+    # Pointer jumping: each round doubles how far up a message sees. Those that see their chain's first message are done, so
+    # that only long chains go on.
     links = stored(parsed.select("c", "t").distinct().join(best.select(F.col("c").alias("bc"), F.col("t").alias("bt"), "parent"), same("c", "bc") & same("t", "bt"), "left").select("c", "t", "parent", F.coalesce("parent", "t").alias("up")), "replies")
-    while True:
-        step = links.select(F.col("c").alias("pc"), F.col("t").alias("pt"), F.col("up").alias("further"))
-        new = stored(links.join(step, same("c", "pc") & same("up", "pt"), "left").select("c", "t", "parent", F.coalesce("further", "up").alias("up"), (~same("further", "up") & F.col("further").isNotNull()).alias("moved")), "replies")
-        links = new.drop("moved")
-        if new.where("moved").isEmpty():
-            break
-    links = links.select(F.col("c").alias("lc"), F.col("t").alias("lt"), F.col("parent").alias("reply_to"), F.col("up").alias("thread"))
+    done, active = links.where("parent is null"), links.where("parent is not null")
+    while not active.isEmpty():
+        seen = done.unionByName(active).select(F.col("c").alias("pc"), F.col("t").alias("pt"), F.col("up").alias("further"))
+        step = stored(active.join(seen, same("c", "pc") & same("up", "pt")).select("c", "t", "parent", F.col("further").alias("up"), same("further", "up").alias("settled")), "replies")
+        done, active = done.unionByName(step.where("settled").drop("settled")), step.where("not settled").drop("settled")
+    links = done.select(F.col("c").alias("lc"), F.col("t").alias("lt"), F.col("parent").alias("reply_to"), F.col("up").alias("thread"))
     out = parsed.join(links, same("c", "lc") & same("t", "lt"))
     place = Window.partitionBy("c").orderBy("thread", "t", "r", "text")
     return out.select(

@@ -9,6 +9,7 @@ length, goes back to the tasks, where the pieces of a length take its places by
 from __future__ import annotations
 
 import os
+import struct
 import zlib
 from collections import Counter, defaultdict
 
@@ -24,7 +25,7 @@ from .substring import table_type
 from .words import Memo, small
 
 #: Cached pieces of text in a Python worker; least squares rounds; most tokens that a pattern may leave free.
-KEPT, ROUNDS, FREE = 350_000, 200, 64
+KEPT, ROUNDS, FREE = 600_000, 200, 64
 
 
 class Encoder:
@@ -53,10 +54,15 @@ class Encoder:
         self.known = Memo(self._new, KEPT)
 
     def _new(self, piece: str) -> bytes:
-        matches = self.find(piece)
-        if len(matches) > 1:
-            return b"".join([self.known[m] for m in matches])
-        return np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
+        body = piece[1:] if piece[0] == " " else piece
+        if not body.isalpha():  # letters alone, after a space or not, are one match
+            if body[-1:] in (".", ",") and body[:-1].isalpha():
+                return self.known[piece[:-1]] + self.known[piece[-1]]
+            matches = self.find(piece)
+            if len(matches) > 1:
+                return b"".join([self.known[m] for m in matches])
+        ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def __call__(self, text: str | None) -> bytes:
         return b"".join(map(self.known.use().__getitem__, pieces(text or "")))

@@ -17,6 +17,7 @@ from vectrove.operators import pooling as P
 from vectrove.operators import sequences as Q
 from vectrove.operators import splits as S
 from vectrove.operators import tests_of_hypotheses as H
+from vectrove.plans import catalog
 from vectrove.sources import tables as T
 
 
@@ -53,6 +54,17 @@ def test_resolve_ids_takes_the_best_tier(spark):
     assert {(r.id, r.match, r.tier) for r in J.resolve_ids(left, right).collect()} == {("ab", "ab1", 3), ("X1", "X1", 1)}
 
 
+def test_resolve_ids_of_every_customer(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_name").collect()
+    names, expected = [r.c_name for r in rows], {}
+    for r in rows:
+        i = (r.c_name, r.c_name.upper(), r.c_name[:17])[r.c_custkey % 3]
+        found = [(1, n) for n in names if n == i] + [(2, n) for n in names if n.lower() == i.lower()] + [(3, n) for n in names if n.startswith(i)]
+        expected[i] = min(found)
+    got = catalog.queries()["j07_resolve_ids_whole"](spark, sf_dir).collect()
+    assert len(got) == len(expected) and {r.id: (r.tier, r.match) for r in got} == expected
+
+
 def test_blend_weight_outside_is_an_error(spark):
     df = spark.createDataFrame([(1,)], "x int")
     with pytest.raises(ValueError):

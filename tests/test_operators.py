@@ -17,7 +17,8 @@ from vectrove.operators import pooling as P
 from vectrove.operators import sequences as Q
 from vectrove.operators import splits as S
 from vectrove.operators import tests_of_hypotheses as H
-from vectrove.plans import catalog
+from vectrove.plans import catalog, queries_models
+from vectrove.plans.views import Data
 from vectrove.sources import tables as T
 
 
@@ -217,3 +218,17 @@ def test_method_summary_uses_population_deviation(spark):
     splits = spark.createDataFrame([(0, 0.8047619047619048, 0.8642008608675275), (1, 0.8095238095238095, 0.8210149889097257)], "repeat_id int, roc double, pr double")
     r = M.method_summary(splits, {"a": ("roc", "pr")}).first()
     assert r.n_splits_valid_roc == 2 and r.roc_mean == pytest.approx(0.8071428571428572) and r.roc_std == pytest.approx(0.00238095238, abs=1e-9)
+
+
+def test_stacks_take_every_repeat(spark, sf_dir):
+    d = Data(spark, sf_dir)
+    preds = [(r.repeat_id, r.patient_id, r.prob) for r in queries_models.predictions(d).collect()]
+    repeats, own, mine = sorted({r for r, _, _ in preds}), {(r, p): s for r, p, s in preds}, {}
+    for _, p, s in preds:
+        mine.setdefault(p, []).append(s)
+    whole, ids = np.mean([s for _, _, s in preds]), [r.doc_id for r in d.labels.collect()]
+    assert repeats == list(range(10))
+    expected = {(r, p): ((r, p) in own, own.get((r, p), np.mean(mine[p]) if p in mine else whole)) for r in repeats for p in ids}
+    got = {(r.repeat_id, r.patient_id): (r.is_test, r.stacked) for r in catalog.queries()["t23_stack_features_whole"](spark, sf_dir).collect()}
+    assert got.keys() == expected.keys()
+    assert all(got[k][0] == t and math.isclose(got[k][1], s, abs_tol=2e-6) for k, (t, s) in expected.items())

@@ -270,7 +270,8 @@ def clinical_stack(preds: DataFrame, cohort: DataFrame, blend: str = "prob") ->
     """Per split a balanced logistic on min-max stacked score, min-max age and sex."""
     rows = stack_features(preds, cohort, blend).withColumn("features", F.array("stacked", "age", "sex_code")).cache()
     repeats = [r.repeat_id for r in rows.select("repeat_id").distinct().orderBy("repeat_id").collect()]
-    return reduce(DataFrame.unionByName, [_fit_and_score(minmax(rows.where(F.col("repeat_id") == r), "not is_test"), r, "stack") for r in repeats])
+    with ThreadPoolExecutor(THREADS) as pool:
+        return reduce(DataFrame.unionByName, list(pool.map(lambda r: _fit_and_score(minmax(rows.where(F.col("repeat_id") == r), "not is_test"), r, "stack"), repeats)))
 
 
 def clinical_vs_stack(preds: DataFrame, cohort: DataFrame, blend: str = "prob") -> DataFrame:
@@ -278,7 +279,8 @@ def clinical_vs_stack(preds: DataFrame, cohort: DataFrame, blend: str = "prob")
     stack = clinical_stack(preds, cohort, blend)
     rows = stack_features(preds, cohort, blend).withColumn("features", F.array("age", "sex_code")).cache()
     repeats = [r.repeat_id for r in rows.select("repeat_id").distinct().orderBy("repeat_id").collect()]
-    alone = reduce(DataFrame.unionByName, [_fit_and_score(minmax(rows.where(F.col("repeat_id") == r), "not is_test"), r, "clinical") for r in repeats])
+    with ThreadPoolExecutor(THREADS) as pool:
+        alone = reduce(DataFrame.unionByName, list(pool.map(lambda r: _fit_and_score(minmax(rows.where(F.col("repeat_id") == r), "not is_test"), r, "clinical"), repeats)))
     area = lambda df, s: both_areas(df.where("is_test"), "prob_tts", ["repeat_id"]).withColumnsRenamed({"roc_auc": f"roc_{s}", "pr_auc": f"pr_{s}"})
     return area(alone, "clinical").join(area(stack, "stack"), "repeat_id").withColumns({"delta_roc": F.col("roc_stack") - F.col("roc_clinical"), "delta_pr": F.col("pr_stack") - F.col("pr_clinical")})
 

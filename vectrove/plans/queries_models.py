@@ -32,8 +32,8 @@ def short(d: Data) -> DataFrame:
 
 
 def predictions(d: Data) -> DataFrame:
-    """Two repeats of blended predictions, with the cohort of their patients."""
-    return d.preds.where("repeat_id < 2").select("repeat_id", "patient_id", "label", ((F.col("prob_a") + F.col("prob_b")) / 2).alias("prob"))
+    """Blended predictions of all repeats, with the cohort of their patients."""
+    return d.preds.select("repeat_id", "patient_id", "label", ((F.col("prob_a") + F.col("prob_b")) / 2).alias("prob"))
 
 
 def doc_cohort(d: Data) -> DataFrame:
@@ -179,6 +179,12 @@ def t22_clinical_baseline(d: Data) -> DataFrame:
 @query("""WITH p AS (SELECT repeat_id, patient_id, (prob_a + prob_b) / 2 AS prob FROM preds WHERE repeat_id < 2), m AS (SELECT patient_id, avg(prob) AS m FROM p GROUP BY 1)
 SELECT r.repeat_id, l.doc_id AS patient_id, p.prob IS NOT NULL AS is_test, coalesce(p.prob, m.m, (SELECT avg(prob) FROM p)) AS stacked FROM labels l CROSS JOIN (SELECT DISTINCT repeat_id FROM p) r LEFT JOIN p ON p.repeat_id = r.repeat_id AND p.patient_id = l.doc_id LEFT JOIN m ON m.patient_id = l.doc_id""", "stacked")
 def t23_stack_features(d: Data) -> DataFrame:
+    return H.stack_features(predictions(d).where("repeat_id < 2"), doc_cohort(d)).select("repeat_id", "patient_id", "is_test", "stacked")
+
+
+@query()
+def t23_stack_features_whole(d: Data) -> DataFrame:
+    """All repeats; the SQL above covers two."""
     return H.stack_features(predictions(d), doc_cohort(d)).select("repeat_id", "patient_id", "is_test", "stacked")
 
 

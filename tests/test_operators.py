@@ -232,3 +232,9 @@ def test_stacks_take_every_repeat(spark, sf_dir):
     got = {(r.repeat_id, r.patient_id): (r.is_test, r.stacked) for r in catalog.queries()["t23_stack_features_whole"](spark, sf_dir).collect()}
     assert got.keys() == expected.keys()
     assert all(got[k][0] == t and math.isclose(got[k][1], s, abs_tol=2e-6) for k, (t, s) in expected.items())
+
+
+def test_heads_fit_all_dimensions(spark, sf_dir):
+    assert {r.d for r in catalog.queries()["t26_coef_table"](spark, sf_dir).collect()} == set(range(64))
+    got = [(r.repeat_id, r.feature) for r in catalog.queries()["t28_coef_repeat_matrix"](spark, sf_dir).collect()]
+    assert sorted(got) == [(r, f) for r in range(queries_models.REPEATS) for f in range(64)]

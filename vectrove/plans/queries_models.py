@@ -26,11 +26,6 @@ def features(d: Data, pooling: str = "std") -> DataFrame:
     return P.pool(d.tokens, pooling).join(d.cohort.select("patient_id", "label"), "patient_id")
 
 
-def short(d: Data) -> DataFrame:
-    """Ten features, for the heads whose fits are costly."""
-    return features(d).withColumn("features", F.slice("features", 1, 10))
-
-
 def predictions(d: Data) -> DataFrame:
     """Blended predictions of all repeats, with the cohort of their patients."""
     return d.preds.select("repeat_id", "patient_id", "label", ((F.col("prob_a") + F.col("prob_b")) / 2).alias("prob"))
@@ -105,7 +100,7 @@ def t08_split_masks(d: Data) -> DataFrame:
 
 def one_head(kind: str, **params):
     def run(d: Data) -> DataFrame:
-        rows = H.with_vector(S.standardise(short(d), "patient_id % 4 <> 0"))
+        rows = H.with_vector(S.standardise(features(d), "patient_id % 4 <> 0"))
         _, score = H.fit_head(rows.where("patient_id % 4 <> 0"), kind, **params)
         return score(rows).select("patient_id", "label", "score")
 
@@ -140,34 +135,34 @@ def t16_fusion_pca(d: Data) -> DataFrame:
 
 @query()
 def t17_oos_predictions(d: Data) -> DataFrame:
-    return H.oos_predictions(H.all_predictions(short(d), [("logistic_l2", {"c": 1.0})], REPEATS), "tokens", "std", REPEATS, 0.2, 42)
+    return H.oos_predictions(H.all_predictions(features(d), [("logistic_l2", {"c": 1.0})], REPEATS), "tokens", "std", REPEATS, 0.2, 42)
 
 
 @query()
 def t18_repeated_eval(d: Data) -> DataFrame:
-    scored = H.all_predictions(short(d), [("logistic_l2", {"c": 1.0}), ("logistic_en", {"c": 0.1, "l1_ratio": 0.2})], REPEATS)
+    scored = H.all_predictions(features(d), [("logistic_l2", {"c": 1.0}), ("logistic_en", {"c": 0.1, "l1_ratio": 0.2})], REPEATS)
     return H.repeated_eval(scored)
 
 
 @query()
 def t18_eval_summary(d: Data) -> DataFrame:
-    return H.eval_summary(H.repeated_eval(H.all_predictions(short(d), [("logistic_l2", {"c": 1.0})], REPEATS)))
+    return H.eval_summary(H.repeated_eval(H.all_predictions(features(d), [("logistic_l2", {"c": 1.0})], REPEATS)))
 
 
 @query()
 def t19_kfold_select(d: Data) -> DataFrame:
-    return H.kfold_select(short(d), [("logistic_l2", {"c": 0.1}), ("logistic_l2", {"c": 1.0})], 3)
+    return H.kfold_select(features(d), [("logistic_l2", {"c": 0.1}), ("logistic_l2", {"c": 1.0})], 3)
 
 
 @query()
 def t20_refit_and_test(d: Data) -> DataFrame:
-    return H.refit_and_test(short(d), "patient_id % 3 <> 0", "logistic_l2", {"c": 1.0}, 20)
+    return H.refit_and_test(features(d), "patient_id % 3 <> 0", "logistic_l2", {"c": 1.0}, 20)
 
 
 @query()
 def t21_grid_search(d: Data) -> DataFrame:
-    best = H.grid_search(short(d), "logistic_l2", [{"c": 0.01}, {"c": 1.0}], 2)
-    rows = H.with_vector(S.standardise(short(d), "true"))
+    best = H.grid_search(features(d), "logistic_l2", [{"c": 0.01}, {"c": 1.0}], 2)
+    rows = H.with_vector(S.standardise(features(d), "true"))
     return H.fit_head(rows, "logistic_l2", **best)[1](rows).select("patient_id", F.lit(best["c"]).alias("c"), "score")
 
 
@@ -206,7 +201,7 @@ def t25_block_scores(d: Data) -> DataFrame:
 
 @query()
 def t26_coef_table(d: Data) -> DataFrame:
-    model, _ = H.fit_logistic(H.with_vector(S.standardise(short(d), "true")))
+    model, _ = H.fit_logistic(H.with_vector(S.standardise(features(d), "true")))
     return H.coef_table(d.spark, model)
 
 
@@ -217,7 +212,7 @@ def t27_pooling_ablation(d: Data) -> DataFrame:
 
 @query()
 def t28_coef_repeat_matrix(d: Data) -> DataFrame:
-    return H.coef_repeat_matrix(short(d), REPEATS, 0.5, 0.2)
+    return H.coef_repeat_matrix(features(d), REPEATS, 0.5, 0.2)
 
 
 @query()
@@ -236,7 +231,7 @@ def t30_merge_summaries(d: Data) -> DataFrame:
 
 @query()
 def m22_label_shuffle_null(d: Data) -> DataFrame:
-    return H.label_shuffle_null(short(d), "patient_id % 3 <> 0", "logistic_l2", {"c": 1.0}, 5)
+    return H.label_shuffle_null(features(d), "patient_id % 3 <> 0", "logistic_l2", {"c": 1.0}, 5)
 
 
 @query("SELECT regr_slope(score_a / 1000, score_b) AS slope FROM scores", "slope")

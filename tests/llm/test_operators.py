@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import re
 import zlib
 
 import numpy as np
@@ -316,3 +317,61 @@ def test_quotes_round_trip(spark, sf_dir):
     for r in plain.collect():
         g = got[(r.conv_id, r.turn)]
         assert (g.text, g.reply_to) == (r.text, r.turn - 1 if r.turn else None)
+
+
+def brute_links(rows):
+    """(conv_id, turn) to reply_to, by comparing each quote with all earlier messages."""
+    even = lambda text: " ".join(text.lower().split())
+
+    def read(text):
+        own, found = [[]], []
+        for line in text.split("\n"):
+            level = line[: len(line) - len(line.lstrip("> \t"))].count(">") if line.startswith(">") else 0
+            if not level:
+                own[-1].append(line)
+                found.append((0, []))
+                continue
+            if own[-1]:
+                own.append([])
+            if not found or found[-1][0] != level:
+                found.append((level, []))
+            found[-1][1].append(line.lstrip("> \t"))
+        texts = {even(" ".join(sum(own, [])))} | {even(line) for part in own for line in part} | {even(" ".join(part)) for part in own} | {even(p) for part in own for p in re.split(r"\n\s*\n", "\n".join(part))}
+        return texts - {""}, [(level, lines) for level, lines in found if level]
+
+    seen, out = {k: read(text) for k, text in rows.items()}, {}
+    for (c, t), (_, passages) in seen.items():
+        finds = []
+        for level, lines in passages:
+            earlier = [u for d, u in seen if d == c and u < t]
+            each = {even(line) for line in lines} - {""}
+            hits = [u for u in earlier if even(" ".join(lines)) in seen[(c, u)][0]] or [u for u in earlier if each and each <= seen[(c, u)][0]]
+            finds += [(-level, max(hits))] if hits else []
+        out[(c, t)] = max(finds)[1] if finds else None
+    return out
+
+
+def test_partial_and_interleaved_quotes(spark):
+    import random
+
+    base = "alpha one\nbeta two\n\ngamma three\ndelta four\nyes"
+    rows = {
+        ("a", 0): base, ("a", 1): "other\nyes", ("a", 2): "> beta two\na line", ("a", 3): "> gamma three\n> delta four\n> yes\na paragraph", ("a", 4): "> beta two\n>\n> gamma three\nfirst\n> delta four\nsecond",
+        ("a", 5): "> first\n> second\nof a split text", ("a", 6): "> yes\nlatest", ("a", 7): "> yes\n> nowhere\nnone", ("a", 8): "> beta\nhalf a line", (None, 0): base, (None, 1): "> delta four\n> alpha one\nmixed",
+    }
+    rng = random.Random(5)
+    for c in ("r", "s", None):
+        for t in range(2, 40):
+            rows[(c, t)] = "\n".join(rng.choice(("", "", "> ", "> > ")) + rng.choice(("alpha one", "beta two", "gamma", "delta", "eps", "yes", "")) for _ in range(rng.randrange(1, 7)))
+    d = spark.createDataFrame([(c, t, "user", text) for (c, t), text in rows.items()], "conv_id string, turn int, role string, text string")
+    got = {(r.conv_id, r.turn): r.reply_to for r in quotes.link_quotes(d).collect()}
+    assert [got[("a", t)] for t in range(9)] == [None, None, 0, 0, 0, 4, 1, None, None] and got[(None, 1)] == 0
+    assert got == brute_links(rows)
+
+
+def test_with_quotes_makes_partial_and_interleaved_quotes(spark, sf_dir):
+    plain = {(r.conv_id, r.turn): r.text for r in spark.read.parquet(f"{sf_dir}/conversations.parquet").collect()}
+    made = {(r.conv_id, r.turn): r.text for r in quotes.with_quotes(spark.read.parquet(f"{sf_dir}/conversations.parquet")).collect()}
+    passages = {k: [p for level, p in quotes.parse(text)[1] if level == 1] for k, text in made.items()}
+    assert any(len(p) == 2 and "\n".join(p) == plain[(c, t - 1)] for (c, t), p in passages.items())
+    assert any(len(p) == 1 and p[0] != plain[(c, t - 1)] for (c, t), p in passages.items())

@@ -1,7 +1,7 @@
 """Pattern packing of token sequences by non-negative least squares.
 
 Only the histogram of piece lengths, at most `size` counts, comes to the driver. There, patterns of two and three lengths
-that nearly fill a sequence get repeat counts by non-negative least squares; rounded counts are taken as far as the pieces
+that fill a sequence but for FREE tokens get repeat counts by non-negative least squares; rounded counts are taken as far as the pieces
 go round, and what is left over is packed best-fit into the gaps and into new sequences. The plan, a few rows for each
 length, goes back to the tasks, where the pieces of a length take its places by their rank.
 """
@@ -9,30 +9,29 @@ length, goes back to the tasks, where the pieces of a length take its places by
 from __future__ import annotations
 
 import os
-import struct
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .pieces import pieces
+from .pieces import Known, runs, slices, tame
 from .storage import stored
 from .substring import table_type
-from .words import Memo, small
 
-#: Cached pieces of text in a Python worker; least squares rounds; most tokens that a pattern may leave free.
-KEPT, ROUNDS, FREE = 600_000, 200, 64
+#: Characters encoded as one text; least squares rounds; most tokens that a pattern may leave free.
+JOINT, ROUNDS, FREE = 100_000, 200, 1
 
 
 class Encoder:
-    """Token ids of texts as little-endian bytes, by a tokenizers file.
+    """Token ids of texts by a tokenizers file, which gets each distinct match of the pattern that a worker meets.
 
-    Texts are cut into pieces, and pieces by the file's own pattern into matches, which it encodes each on its own; so what
-    is known of a piece or match serves every text.
+    Matches that begin with a space follow each other in one text without changing each other's tokens, so they are
+    encoded in joint texts of about JOINT characters and told apart by their tokens' bytes; others are encoded alone.
     """
 
     _made: dict = {}
@@ -50,22 +49,38 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.find = regex.compile(pattern).findall
-        self.known = Memo(self._new, KEPT)
-
-    def _new(self, piece: str) -> bytes:
-        body = piece[1:] if piece[0] == " " else piece
-        if not body.isalpha():  # letters alone, after a space or not, are one match
-            if body[-1:] in (".", ",") and body[:-1].isalpha():
-                return self.known[piece[:-1]] + self.known[piece[-1]]
-            matches = self.find(piece)
-            if len(matches) > 1:
-                return b"".join([self.known[m] for m in matches])
-        ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    def __call__(self, text: str | None) -> bytes:
-        return b"".join(map(self.known.use().__getitem__, pieces(text or "")))
+        vocabulary = self.tokenizer.get_vocab()
+        self.bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)  # byte-level: one character of a token's name is one byte
+        self.bytes[list(vocabulary.values())] = list(map(len, vocabulary))
+        self.known = Known(regex.compile(pattern).findall, self._encode)
+
+    def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of these words, and the number of ids of each."""
+        joint = np.array([i for i, w in enumerate(words) if tame(w)], np.int64)
+        size = pc.binary_length(pa.array(words, pa.large_string())).to_numpy()
+        group = (np.cumsum(size[joint]) - 1) // JOINT
+        edges = np.flatnonzero(np.r_[True, group[1:] != group[:-1], True]).tolist() if len(joint) else []
+        start, many, flat, used = np.zeros(len(words), np.int64), np.full(len(words), -1, np.int64), [np.empty(0, np.uint32)], 0
+        for i, j in zip(edges, edges[1:]):
+            mine = joint[i:j]
+            found = np.array(self.tokenizer.encode_batch_fast(["".join([words[k] for k in mine.tolist()])], add_special_tokens=False)[0].ids, np.uint32)
+            ends, wanted = np.cumsum(self.bytes[found]), np.cumsum(size[mine])
+            cut = np.searchsorted(ends, wanted) + 1
+            if len(found) and cut[-1] == len(found) and (ends[cut - 1] == wanted).all():
+                many[mine] = np.diff(cut, prepend=0)
+                start[mine] = used + np.r_[0, cut[:-1]]
+                flat.append(found)
+                used += len(found)
+        rest = np.flatnonzero(many < 0)
+        alone = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast([words[i] for i in rest.tolist()], add_special_tokens=False)]
+        many[rest] = [len(x) for x in alone]
+        start[rest] = used + np.cumsum(many[rest]) - many[rest]
+        flat += alone
+        return runs(np.concatenate(flat), start, many), many
+
+    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in one array, and the number for each text."""
+        return self.known.ids(texts)
 
 
 def fit_patterns(counts: dict[int, int], size: int) -> list[tuple[tuple[int, ...], int]]:
@@ -134,17 +149,20 @@ def best_fit(counts: dict[int, int], size: int, open_: list[tuple[tuple[int, ...
     return [x for held in bins.values() for x in held]
 
 
-def make_plan(counts: dict[int, int], size: int) -> dict[int, np.ndarray]:
-    """For each length: rows (first rank, first sequence, offset, times), by rank. The better of both ways is taken."""
+def fill(counts: dict[int, int], size: int) -> list[tuple[tuple[tuple[int, int], ...], int]]:
+    """The fitted patterns, with what they leave over best-fit into their gaps and new sequences."""
     fitted = fit_patterns(counts, size)
     rest = Counter(counts)
     for pattern, n in fitted:
         for x in pattern:
             rest[x] -= n
-    ways = [best_fit(rest, size, fitted), best_fit(counts, size, [])]
-    chosen = min(ways, key=lambda bins: sum(n for _, n in bins))
+    return best_fit(rest, size, fitted)
+
+
+def make_plan(counts: dict[int, int], size: int) -> dict[int, np.ndarray]:
+    """For each length: rows (first rank, first sequence, offset, times), by rank."""
     plan, rank, sequence = defaultdict(list), Counter(), 0
-    for pattern, n in chosen:
+    for pattern, n in fill(counts, size):
         offset = 0
         for length, times in pattern:
             plan[length].append((rank[length], sequence, offset, times))
@@ -159,24 +177,30 @@ def pack(docs: DataFrame, tokenizer_path: str, pattern: str, size: int = 2048, e
 
     A document is its ids, then end_id; null and empty texts are end_id alone. Only longer documents are cut, from the
     back, so that just the first piece may be shorter than `size`. Returns a row per piece: the id, piece, start, length,
-    ids_crc32, sequence_id, offset. Rows that repeat are packed each; other columns are ignored; no rows in, no rows out.
+    ids_crc32, sequence_id, offset. Rows that repeat, also an id with other texts, and null ids are packed each; pieces of
+    equal length are taken in no stated order; other columns are ignored, also if they bear the result's names; no rows
+    in, no rows out.
     """
     schema = pa.schema([("part", pa.int32()), ("rank", pa.int64()), ("id", table_type(docs, id_col)), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
     end = int(end_id).to_bytes(4, "little")
 
     def tokens(batches):
         encode, part, ranks = Encoder.of(tokenizer_path, pattern), TaskContext.get().partitionId(), Counter()
-        for batch in small(batches):
-            rows = []
-            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = encode(text) + end
-                total = len(ids) // 4
-                first = total if total <= size else total % size or size
-                edges = [0, *range(first, total + 1, size)]
-                for k, (i, j) in enumerate(zip(edges, edges[1:])):
-                    rows.append((part, ranks[j - i], name, k, i, j - i, zlib.crc32(ids[4 * i : 4 * j])))
-                    ranks[j - i] += 1
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)] if rows else [pa.array([], f.type) for f in schema], schema=schema)
+        for batch in batches:
+            names, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for i, j in slices(texts):
+                ids, many = encode([t or "" for t in texts[i:j]])
+                edge, rows = np.r_[0, np.cumsum(many)].tolist(), []
+                raw = memoryview(ids.astype("<u4").tobytes())
+                for name, at, stop in zip(names[i:j], edge, edge[1:]):
+                    total = stop - at + 1  # with the end id, which has no place among the ids
+                    first = total if total <= size else total % size or size
+                    for k, start in enumerate([0, *range(first, total, size)]):
+                        length = first if k == 0 else size
+                        crc = zlib.crc32(raw[4 * (at + start) : 4 * min(at + start + length, stop)])
+                        rows.append((part, ranks[length], name, k, start, length, zlib.crc32(end, crc) if start + length == total else crc))
+                        ranks[length] += 1
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
     kind = docs.schema[id_col].dataType.simpleString()
     found = stored(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(tokens, f"part int, rank long, id {kind}, piece int, start long, length long, ids_crc32 long"), "pieces")

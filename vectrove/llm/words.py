@@ -8,23 +8,26 @@ from xxhash import xxh3_64_intdigest
 U = np.uint64
 
 
-class Memo(dict):
-    """A bounded cache of make(key); it is emptied when full, so results never depend on it.
+_IN_USE: list = []
+
 
-    A worker that goes from one operator's tasks to another's keeps the cache of one: see use().
-    """
+def in_use(cache) -> None:
+    """Name the cache in use; the last one is emptied if it is another, so a worker that goes from one operator's tasks to another's keeps one."""
+    if not _IN_USE or _IN_USE[0] is not cache:
+        for other in _IN_USE:
+            other.clear()
+        _IN_USE[:] = [cache]
 
-    _in_use: Memo | None = None
+
+class Memo(dict):
+    """A bounded cache of make(key); it is emptied when full, so results never depend on it."""
 
     def __init__(self, make, most: int):
         self.make, self.most = make, most
 
     def use(self) -> Memo:
-        """This cache, the last one in use emptied if it is another."""
-        if Memo._in_use is not self:
-            if Memo._in_use is not None:
-                Memo._in_use.clear()
-            Memo._in_use = self
+        """This cache, as the one in use."""
+        in_use(self)
         return self
 
     def __missing__(self, key):

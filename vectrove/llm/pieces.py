@@ -42,11 +42,6 @@ def spelled(key: str) -> str:
     return key[1:] if key[0] == " " else " " + key
 
 
-def pieces(text: str) -> list[str]:
-    """The pieces of a text; joined, they are the text."""
-    return [spelled(k) for k in keys(text)]
-
-
 def named(piece: str) -> str:
     """The key of a piece, or of a match inside one."""
     return piece[1:] if piece[0] == " " and piece[1:2] not in ("", " ") else " " + piece

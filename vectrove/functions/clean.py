@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, NumericType
 
 #: Aliases of the id and label columns, words of positive labels, words of the male indicator.
 ID_NAMES, LABEL_NAMES = ("patient_id", "ID", "id"), ("label", "case", "Label", "TTS")
-POSITIVE_WORDS = ("tts", "case", "positive", "true", "yes")
+POSITIVE_WORDS = ("tts", "takotsubo")
 MALE_WORDS, FEMALE_WORDS = ("m", "male", "man", "1"), ("f", "female", "woman", "0")
 
 
@@ -20,13 +24,22 @@ def harmonise_cohort(df: DataFrame) -> DataFrame:
             raise ValueError(f"none of the columns {names} is present")
         return F.col(found)
 
-    return df.select(F.trim(first(ID_NAMES).cast("string")).alias("patient_id"), binary_label(first(LABEL_NAMES).cast("string")).alias("label"), first(("age",)).cast("double").alias("age"), first(("sex",)).cast("string").alias("sex"))
+    label = first(LABEL_NAMES)
+    numbers = df.select(label).schema[0].dataType
+    return df.select(
+        F.trim(first(ID_NAMES).cast("string")).alias("patient_id"), binary_label(label, numeric=isinstance(numbers, (NumericType, BooleanType))).alias("label"),
+        first(("age",)).try_cast("double").alias("age"), F.upper(F.trim(first(("sex",)).cast("string"))).alias("sex"),
+    )
 
 
-def binary_label(c: Column, words: tuple[str, ...] = POSITIVE_WORDS) -> Column:
-    """Text with a positive word is 1, text of digits its number, any other text 0 (so '1.0' is 0); null stays null."""
+def binary_label(c: Column, words: tuple[str, ...] = POSITIVE_WORDS, numeric: bool = False) -> Column:
+    """Text that holds a positive word is 1, text of digits its number, any other text 0 (so '1.0' is 0); of a numeric column the
+    integer part, null where it has none. Null stays null."""
+    if numeric:
+        return c.try_cast("int")
     text = F.lower(F.trim(c.cast("string")))
-    return F.when(text.isNull(), None).when(text.rlike("|".join(words)), F.lit(1)).when(text.rlike("^[0-9]+$"), text.cast("int")).otherwise(F.lit(0))
+    held = reduce(or_, [F.contains(text, F.lit(w)) for w in words])
+    return F.when(text.isNull(), None).when(held, F.lit(1)).when(text.rlike("^[0-9]+$"), text.try_cast("int")).otherwise(F.lit(0))
 
 
 def label_by_words(c: Column, table: dict[str, int]) -> Column:

@@ -1,7 +1,7 @@
-"""Classifier heads on Spark ML, repeated evaluation, selection and stacking.
+"""Classifier heads, repeated evaluation, selection and stacking.
 
-Balanced weights are n / (2 n_class). A solver weight C maps to regParam 1 / (C n) on the mean loss. Many small fits run as
-Spark ML jobs from a few threads, like a cross-validator's; matrices stay distributed.
+Linear heads of all splits and settings are fitted together (see grouped); the Gaussian, calibrated and MLP heads are fitted
+split by split from a few threads, like a cross-validator's. Matrices stay distributed.
 """
 
 from __future__ import annotations
@@ -9,17 +9,21 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.ml.classification import LinearSVC, LogisticRegression, MultilayerPerceptronClassifier
+import numpy as np
+from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GeneralizedLinearRegression, LinearRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import grouped
 from .metrics import best_per_group, both_areas, cv_summary, nan_summary, roc_auc, summary_stats
-from .splits import minmax, standardise, stratified_folds, stratified_repeats
+from .ranks import numbered
+from .splits import standardise, stratified_folds, stratified_repeats
 
 THREADS = 4
 
@@ -28,40 +32,43 @@ def with_vector(df: DataFrame, column: str = "features") -> DataFrame:
     return df.withColumn("vector", array_to_vector(F.col(column)))
 
 
-def balanced(df: DataFrame, label: str = "label") -> tuple[DataFrame, int]:
-    """Adds weight, and counts the rows."""
-    n = {r[label]: r["count"] for r in df.groupBy(label).count().collect()}
-    total = sum(n.values())
-    weight = reduce(lambda w, k: w.when(F.col(label) == k, total / (2.0 * n[k])), n, F.when(F.lit(False), 0.0))
-    return df.withColumn("weight", weight), total
-
-
 def _probability(model, df: DataFrame) -> DataFrame:
     return model.transform(df).withColumn("score", vector_to_array("probability")[1])
 
 
-def _decision(model, df: DataFrame) -> DataFrame:
-    return model.transform(df).withColumn("score", vector_to_array("rawPrediction")[1])
+@dataclass
+class Linear:
+    """Coefficients and intercept of a fitted linear head."""
+
+    coefficients: np.ndarray
+    intercept: float
+
+    def decision(self, features: Column) -> Column:
+        weighted = F.zip_with(features, F.array(*map(F.lit, map(float, self.coefficients))), lambda x, w: x * w)
+        return F.aggregate(weighted, F.lit(float(self.intercept)), lambda a, x: a + x)
+
+
+def fit_linear(train: DataFrame, kind: str, params: dict) -> Linear:
+    """A linear head on all rows as they are."""
+    rows = grouped.kept(train.select(vector_to_array("vector").alias("features"), F.array(F.col("label").cast("int")).alias("target")))
+    found = grouped.fit(rows, 1, [(kind, params)], None)
+    return Linear(found.coef[0, 0], float(found.intercept[0, 0]))
 
 
 def fit_logistic(train: DataFrame, penalty: str = "l2", c: float = 1.0, l1_ratio: float = 0.0):
-    """(model, score function). penalty: l2, l1 or en."""
-    rows, n = balanced(train)
-    ratio = {"l2": 0.0, "l1": 1.0, "en": l1_ratio}[penalty]
-    model = LogisticRegression(featuresCol="vector", labelCol="label", weightCol="weight", regParam=1.0 / (c * n), elasticNetParam=ratio, standardization=False, maxIter=200, tol=1e-8).fit(rows)
-    return model, lambda df: _probability(model, df)
+    """(model, score function) of a balanced logistic. penalty: l2, l1 or en."""
+    model = fit_linear(train, f"logistic_{penalty}", {"c": c, "l1_ratio": l1_ratio})
+    return model, lambda df: df.withColumn("score", 1 / (1 + F.exp(-model.decision(vector_to_array("vector")))))
 
 
 def fit_linear_svc(train: DataFrame, c: float = 1.0):
-    """Balanced linear SVC (hinge loss); the score is the decision value."""
-    rows, n = balanced(train)
-    model = LinearSVC(featuresCol="vector", labelCol="label", weightCol="weight", regParam=1.0 / (c * n), standardization=False, maxIter=25, tol=1e-4).fit(rows)
-    return model, lambda df: _decision(model, df)
+    """Balanced linear SVC (squared hinge, at its minimum); the score is the decision value."""
+    model = fit_linear(train, "linear_svc", {"c": c})
+    return model, lambda df: df.withColumn("score", model.decision(vector_to_array("vector")))
 
 
 def fourier(df: DataFrame, dims: int, gamma: float, size: int = 128, seed: int = 7) -> DataFrame:
     """Replaces vector by random Fourier features of a Gaussian kernel exp(-gamma d^2)."""
-    import numpy as np
     import pandas as pd
 
     rng = np.random.default_rng(seed)
@@ -97,13 +104,12 @@ def fit_rbf_svc(train: DataFrame, c: float = 1.0, gamma: str | float = "scale"):
 def fit_calibrated_svc(train: DataFrame, c: float = 1.0, folds: int = 3):
     """A linear SVC per fold, sigmoids fitted on scores of rows left out, their mean as probability."""
     rows = stratified_folds(train, folds) if "patient_id" in train.columns else train.withColumn("fold", F.monotonically_increasing_id() % folds)
-    rows, parts = rows.cache(), []
+    rows, parts = grouped.kept(rows), []
     for k in range(folds):
         _, score = fit_linear_svc(rows.where(F.col("fold") != k).drop("weight"), c)
         left = score(rows.where(F.col("fold") == k)).select("label", F.array("score").alias("s"))
         sigmoid = LogisticRegression(featuresCol="vector", labelCol="label", regParam=1e-6).fit(with_vector(left, "s"))
         parts.append((score, sigmoid.coefficients[0], sigmoid.intercept))
-    rows.unpersist()
 
     def rate(df: DataFrame) -> DataFrame:
         out = df.withColumn("_sum", F.lit(0.0))
@@ -153,22 +159,27 @@ def fusion_pca(a: DataFrame, b: DataFrame, flag: str, key: str = "patient_id") -
     return pca_2d(left.join(right, key).withColumn("features", F.concat("features", "_b")).drop("_b"), flag)
 
 
-def evaluate_split(df: DataFrame, tests: DataFrame, repeat: int, kind: str, params: dict, scale: bool = True, key: str = "patient_id") -> DataFrame:
-    """Out-of-sample rows and training rows of one repeat and head: (repeat_id, model, key, label, is_test, prob_tts)."""
-    rows = df.join(tests.where(F.col("repeat_id") == repeat).select(key, "is_test"), key)
-    rows = with_vector(standardise(rows, "not is_test") if scale else rows).cache()
-    _, score = fit_head(rows.where("not is_test"), kind, **params)
-    out = score(rows).select(F.lit(repeat).alias("repeat_id"), F.lit(kind).alias("model"), key, "label", "is_test", F.col("score").alias("prob_tts"))
-    return out
+def _named(heads: list[tuple[str, dict]]) -> Column:
+    return F.element_at(F.array(*(F.lit(k) for k, _ in heads)), F.col("config") + 1)
 
 
 def all_predictions(df: DataFrame, heads: list[tuple[str, dict]], n: int, test: float = 0.2, seed: int = 42, scale: bool = True, key: str = "patient_id") -> DataFrame:
-    """Training and test scores of each repeat and head, fitted from a few threads."""
-    tests = stratified_repeats(df, n, test, seed, key).cache()
-    df = df.cache()
-    jobs = [(r, kind, params) for r in range(n) for kind, params in heads]
+    """Training and test scores of each repeat and head: (repeat_id, model, key, label, is_test, prob_tts)."""
+    rows = grouped.kept(grouped.by_tests(df.select(key, "label", "features"), stratified_repeats(df, n, test, seed, key), key))
+    columns = ["repeat_id", "model", key, "label", "is_test", F.col("score").alias("prob_tts")]
+    linear, parts = [h for h in heads if h[0] in grouped.LINEAR], []
+    if linear:
+        found = grouped.fit(rows, n, linear, "standard" if scale else None)
+        parts.append(grouped.scores(rows, found, [key, "label"]).withColumn("model", _named(linear)).select(*columns))
+
+    def one(job):
+        r, kind, params = job
+        split = rows.withColumn("is_test", F.col("target")[r] < 0)
+        split = with_vector(standardise(split, "not is_test") if scale else split)
+        return fit_head(split.where("not is_test"), kind, **params)[1](split).withColumns({"repeat_id": F.lit(r), "model": F.lit(kind)}).select(*columns)
+
     with ThreadPoolExecutor(THREADS) as pool:
-        parts = list(pool.map(lambda j: evaluate_split(df, tests, *j, scale=scale, key=key), jobs))
+        parts += list(pool.map(one, [(r, *h) for r in range(n) for h in heads if h not in linear]))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -193,25 +204,29 @@ def eval_summary(repeats: DataFrame) -> DataFrame:
 
 
 def kfold_scores(df: DataFrame, heads: list[tuple[str, dict]], k: int = 5, key: str = "patient_id") -> DataFrame:
-    """(model, fold, roc_auc) of stratified folds."""
-    rows = stratified_folds(df, k, key=key).cache()
-    jobs = [(f, i, kind, params) for i, (kind, params) in enumerate(heads) for f in range(k)]
+    """(model, config, fold, roc_auc) of stratified folds; each fold is a split of one grouped fit."""
+    folds = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda f: F.when(f == F.col("fold"), -1).otherwise(F.col("label")).cast("int"))
+    rows = grouped.kept(stratified_folds(df, k, key=key).select(key, "label", "features", folds.alias("target")))
+    linear = [(i, h) for i, h in enumerate(heads) if h[0] in grouped.LINEAR]
+    parts = []
+    if linear:
+        found = grouped.scores(rows, grouped.fit(rows, k, [h for _, h in linear]), ["label"]).withColumn("config", F.element_at(F.array(*(F.lit(i) for i, _ in linear)), F.col("config") + 1))
+        parts.append(found.where("is_test").select("config", F.col("repeat_id").alias("fold"), "label", "score"))
 
     def one(job):
-        fold, i, kind, params = job
-        part = with_vector(standardise(rows.withColumn("_train", F.col("fold") != fold), "_train"))
-        _, score = fit_head(part.where("_train"), kind, **params)
-        name = kind + "".join(f"_{a}{b:g}" if isinstance(b, float) else f"_{a}{b}" for a, b in params.items())
-        return roc_auc(score(part.where("not _train")), "score", []).select(F.lit(name).alias("model"), F.lit(i).alias("config"), F.lit(fold).alias("fold"), "roc_auc")
+        f, i, kind, params = job
+        part = with_vector(standardise(rows.withColumn("_train", F.col("target")[f] >= 0), "_train"))
+        return fit_head(part.where("_train"), kind, **params)[1](part.where("not _train")).select(F.lit(i).alias("config"), F.lit(f).alias("fold"), "label", "score")
 
     with ThreadPoolExecutor(THREADS) as pool:
-        return reduce(DataFrame.unionByName, list(pool.map(one, jobs)))
+        parts += list(pool.map(one, [(f, i, *h) for i, h in enumerate(heads) if h[0] not in grouped.LINEAR for f in range(k)]))
+    names = [kind + "".join(f"_{a}{b:g}" if isinstance(b, float) else f"_{a}{b}" for a, b in params.items()) for kind, params in heads]
+    areas = roc_auc(reduce(DataFrame.unionByName, parts), "score", ["config", "fold"])
+    return areas.select(F.element_at(F.array(*map(F.lit, names)), F.col("config") + 1).alias("model"), "config", "fold", "roc_auc")
 
 
 def kfold_select(df: DataFrame, heads: list[tuple[str, dict]], k: int = 5, key: str = "patient_id") -> DataFrame:
     """Configurations by mean of the folds, with the best flagged."""
-    from pyspark.sql import Window
-
     s = cv_summary(kfold_scores(df, heads, k, key).where("not isnan(roc_auc)"), ["model", "config"], "roc_auc")
     return s.withColumn("best", F.row_number().over(Window.orderBy(F.col("mean").desc(), "config")) == 1)
 
@@ -222,7 +237,7 @@ def refit_and_test(df: DataFrame, flag: str, kind: str, params: dict, n: int = 1
 
     rows = with_vector(standardise(df, flag))
     _, score = fit_head(rows.where(flag), kind, **params)
-    test = score(rows.where(f"not ({flag})")).select(key, "label", "score").cache()
+    test = grouped.kept(score(rows.where(f"not ({flag})")).select(key, "label", "score"))
     return both_areas(test, "score", []).join(bootstrap_metric(test, "score", key, n, seed))
 
 
@@ -233,26 +248,16 @@ def grid_search(df: DataFrame, kind: str, grid: list[dict], k: int = 3, key: str
 
 
 def clinical_baseline(cohort: DataFrame, n: int, test: float = 0.2, seed: int = 42) -> DataFrame:
-    """Repeated evaluation of min-max age and sex."""
+    """Repeated evaluation of min-max age and sex by a balanced logistic."""
     df = cohort.select("patient_id", "label", F.array("age", "sex_code").alias("features"))
-    tests = stratified_repeats(df, n, test, seed)
-    parts = []
-    for r in range(n):
-        rows = minmax(df.join(tests.where(F.col("repeat_id") == r).select("patient_id", "is_test"), "patient_id"), "not is_test")
-        parts.append(_fit_and_score(rows, r, "clinical"))
-    return reduce(DataFrame.unionByName, parts)
+    return _clinical(grouped.by_tests(df, stratified_repeats(df, n, test, seed)), n, "clinical")
 
 
-def _fit_and_score(rows: DataFrame, repeat: int, name: str) -> DataFrame:
-    """A balanced logistic on the rows' training part; with one class every score is NaN."""
-    rows = with_vector(rows)
-    train = rows.where("not is_test")
-    if train.select("label").distinct().count() < 2:
-        scored = rows.withColumn("score", F.lit(float("nan")))
-    else:
-        _, score = fit_logistic(train)
-        scored = score(rows)
-    return scored.select(F.lit(repeat).alias("repeat_id"), F.lit(name).alias("model"), "patient_id", "label", "is_test", F.col("score").alias("prob_tts"))
+def _clinical(rows: DataFrame, n: int, name: str) -> DataFrame:
+    """A balanced logistic on min-max features of each split; a split with one class in training has NaN scores."""
+    rows = grouped.kept(rows.select("patient_id", "label", "features", "target", *["repeat_id"] * ("repeat_id" in rows.columns)))
+    found = grouped.scores(rows, grouped.fit(rows, n, [("logistic_l2", {"c": 1.0})], "minmax"), ["patient_id", "label"])
+    return found.select("repeat_id", F.lit(name).alias("model"), "patient_id", "label", "is_test", F.col("score").alias("prob_tts"))
 
 
 def stack_features(preds: DataFrame, cohort: DataFrame, blend: str = "prob") -> DataFrame:
@@ -266,45 +271,39 @@ def stack_features(preds: DataFrame, cohort: DataFrame, blend: str = "prob") ->
     return rows.select("repeat_id", "patient_id", "label", "age", "sex_code", F.col("_own").isNotNull().alias("is_test"), F.coalesce("_own", "_mean", "_all").alias("stacked"))
 
 
+def _stacked(rows: DataFrame, names: list[str], name: str) -> DataFrame:
+    n = rows.agg(F.max("repeat_id")).first()[0] + 1
+    target = F.array(F.when(F.col("is_test"), -1).otherwise(F.col("label")).cast("int"))
+    return _clinical(rows.select(F.col("repeat_id").cast("int").alias("repeat_id"), "patient_id", "label", F.array(*names).alias("features"), target.alias("target")), n, name)
+
+
 def clinical_stack(preds: DataFrame, cohort: DataFrame, blend: str = "prob") -> DataFrame:
     """Per split a balanced logistic on min-max stacked score, min-max age and sex."""
-    rows = stack_features(preds, cohort, blend).withColumn("features", F.array("stacked", "age", "sex_code")).cache()
-    repeats = [r.repeat_id for r in rows.select("repeat_id").distinct().orderBy("repeat_id").collect()]
-    with ThreadPoolExecutor(THREADS) as pool:
-        return reduce(DataFrame.unionByName, list(pool.map(lambda r: _fit_and_score(minmax(rows.where(F.col("repeat_id") == r), "not is_test"), r, "stack"), repeats)))
+    return _stacked(stack_features(preds, cohort, blend), ["stacked", "age", "sex_code"], "stack")
 
 
 def clinical_vs_stack(preds: DataFrame, cohort: DataFrame, blend: str = "prob") -> DataFrame:
     """Per split: areas of clinical alone and of the stack on the same rows, and their differences."""
-    stack = clinical_stack(preds, cohort, blend)
-    rows = stack_features(preds, cohort, blend).withColumn("features", F.array("age", "sex_code")).cache()
-    repeats = [r.repeat_id for r in rows.select("repeat_id").distinct().orderBy("repeat_id").collect()]
-    with ThreadPoolExecutor(THREADS) as pool:
-        alone = reduce(DataFrame.unionByName, list(pool.map(lambda r: _fit_and_score(minmax(rows.where(F.col("repeat_id") == r), "not is_test"), r, "clinical"), repeats)))
+    rows = grouped.kept(stack_features(preds, cohort, blend))
+    stack, alone = _stacked(rows, ["stacked", "age", "sex_code"], "stack"), _stacked(rows, ["age", "sex_code"], "clinical")
     area = lambda df, s: both_areas(df.where("is_test"), "prob_tts", ["repeat_id"]).withColumnsRenamed({"roc_auc": f"roc_{s}", "pr_auc": f"pr_{s}"})
     return area(alone, "clinical").join(area(stack, "stack"), "repeat_id").withColumns({"delta_roc": F.col("roc_stack") - F.col("roc_clinical"), "delta_pr": F.col("pr_stack") - F.col("pr_clinical")})
 
 
 def coef_table(spark, model) -> DataFrame:
     """(d, coef, abs_coef), largest first."""
-    rows = [(i, float(x), abs(float(x))) for i, x in enumerate(model.coefficients.toArray())]
+    rows = [(i, float(x), abs(float(x))) for i, x in enumerate(model.coefficients)]
     return spark.createDataFrame(rows, "d int, coef double, abs_coef double").orderBy(F.col("abs_coef").desc(), "d")
 
 
 def coef_repeat_matrix(df: DataFrame, n: int, c: float, l1_ratio: float, seed: int = 42) -> DataFrame:
     """(repeat_id, feature, coef) of an elastic net per repeat."""
-    tests, spark = stratified_repeats(df, n, 0.2, seed).cache(), df.sparkSession
-
-    def one(r: int) -> list:
-        rows = with_vector(standardise(df.join(tests.where(F.col("repeat_id") == r).select("patient_id", "is_test"), "patient_id"), "not is_test"))
-        model, _ = fit_logistic(rows.where("not is_test"), "en", c, l1_ratio)
-        return [(r, i, float(x)) for i, x in enumerate(model.coefficients.toArray())]
-
-    with ThreadPoolExecutor(THREADS) as pool:
-        return spark.createDataFrame([x for rows in pool.map(one, range(n)) for x in rows], "repeat_id int, feature int, coef double")
+    rows = grouped.kept(grouped.by_tests(df.select("patient_id", "label", "features"), stratified_repeats(df, n, 0.2, seed)))
+    found = grouped.fit(rows, n, [("logistic_en", {"c": c, "l1_ratio": l1_ratio})]).coef[:, 0]
+    return df.sparkSession.createDataFrame([(r, i, float(x)) for r, each in enumerate(found) for i, x in enumerate(each)], "repeat_id int, feature int, coef double")
 
 
-def pooling_ablation(features: dict[str, DataFrame], cohort: DataFrame, heads: list[tuple[str, dict]], n: int = 2) -> DataFrame:
+def pooling_ablation(features: dict[str, DataFrame], cohort: DataFrame, heads: list[tuple[str, dict]], n: int = 100) -> DataFrame:
     """(pooling, model, statistics) of each pooling and head."""
     parts = []
     for name, f in features.items():
@@ -313,12 +312,20 @@ def pooling_ablation(features: dict[str, DataFrame], cohort: DataFrame, heads: l
     return reduce(DataFrame.unionByName, parts)
 
 
-def batch_from_settings(settings: DataFrame, features: dict[str, DataFrame], cohort: DataFrame, n: int) -> DataFrame:
-    """Run each (tag, pooling, model, c) row of a settings table under its own tag."""
+def batch_from_settings(settings: DataFrame, features: dict[str, DataFrame], cohort: DataFrame, n: int, most: int = 10_000) -> DataFrame:
+    """Run each (tag, pooling, model, c) row of a settings table, at most `most` rows, under its own tag; a pooling's rows are fitted together."""
+    found = settings.orderBy("tag").limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"more than {most} settings")
     parts = []
-    for s in settings.orderBy("tag").collect():
-        scored = all_predictions(features[s.pooling].join(cohort.select("patient_id", "label"), "patient_id"), [(s.model, {"c": s.c})], n)
-        parts.append(repeated_eval(scored).select(F.lit(s.tag).alias("tag"), "repeat_id", "model", "roc_auc", "pr_auc"))
+    for pooling in dict.fromkeys(s.pooling for s in found):
+        mine = [s for s in found if s.pooling == pooling]
+        f = features[pooling].join(cohort.select("patient_id", "label"), "patient_id")
+        rows = grouped.kept(grouped.by_tests(f.select("patient_id", "label", "features"), stratified_repeats(f, n)))
+        heads = [(s.model, {"c": s.c}) for s in mine]
+        scored = grouped.scores(rows, grouped.fit(rows, n, heads), ["patient_id", "label"]).withColumnsRenamed({"config": "model", "score": "prob_tts"})
+        tag, model = (F.element_at(F.array(*(F.lit(x) for x in xs)), F.col("model") + 1) for xs in ([s.tag for s in mine], [s.model for s in mine]))
+        parts.append(repeated_eval(scored).select(tag.alias("tag"), "repeat_id", model.alias("model"), "roc_auc", "pr_auc"))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -327,23 +334,17 @@ def best_of_sources(summary: DataFrame, by: str, tie: str) -> DataFrame:
 
 
 def label_shuffle_null(df: DataFrame, flag: str, kind: str, params: dict, n: int, seed: int = 42, key: str = "patient_id") -> DataFrame:
-    """(true_auc, p): test area against those of refits on permuted training labels."""
-    from pyspark.sql import Window
-
-    rows = with_vector(standardise(df, flag)).cache()
-    area = lambda t: roc_auc(fit_head(t.where(flag), kind, **params)[1](rows.where(f"not ({flag})")), "score", []).first()[0]
-    true = area(rows)
-    train = rows.where(flag)
-
-    def shuffled(i: int) -> float:
-        order = F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(i)), F.lit(str(seed))))
-        numbered = train.withColumn("_i", F.row_number().over(Window.orderBy(key)))
-        labels = train.select("label", F.row_number().over(Window.orderBy(order, key)).alias("_i"))
-        return area(numbered.drop("label").join(labels, "_i").drop("_i"))
-
-    with ThreadPoolExecutor(THREADS) as pool:
-        null = list(pool.map(shuffled, range(n)))
-    return df.sparkSession.createDataFrame([(float(true), n, sum(x >= true for x in null) / n)], "true_auc double, n int, p double")
+    """(true_auc, n, p): test area against those of refits on permuted training labels; all refits of a linear head are one grouped fit."""
+    train = numbered(df.where(flag).select(key, "label"), key, "_i")
+    order = F.md5(F.concat_ws("|", F.col(key).cast("string"), F.col("replicate").cast("string"), F.lit(str(seed))))
+    drawn = train.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    drawn = drawn.select("replicate", "label", (F.row_number().over(Window.partitionBy("replicate").orderBy(order, key)) - 1).alias("_i"))
+    lists = drawn.groupBy("_i").agg(F.transform(F.sort_array(F.collect_list(F.struct("replicate", "label"))), lambda x: x.label.cast("int")).alias("_l"))
+    targets = train.join(lists, "_i").select(key, F.concat(F.array(F.col("label").cast("int")), "_l").alias("target"))
+    rows = grouped.kept(df.select(key, "label", "features").join(targets, key, "left").withColumn("target", F.coalesce("target", F.array_repeat(F.lit(-1), n + 1))))
+    found = roc_auc(grouped.scores(rows, grouped.fit(rows, n + 1, [(kind, params)]), ["label"]).where("is_test"), "score", ["repeat_id"])
+    true = found.where("repeat_id = 0").select(F.col("roc_auc").alias("true_auc"))
+    return found.where("repeat_id > 0").join(F.broadcast(true)).groupBy("true_auc").agg(F.count("*").cast("int").alias("n"), F.avg((F.col("roc_auc") >= F.col("true_auc")).cast("double")).alias("p"))  # one row
 
 
 def confounder_models(df: DataFrame, score: str = "score", site: str | None = None) -> DataFrame:

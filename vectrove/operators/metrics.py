@@ -10,6 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import running
 
 
 def _ties(df: DataFrame, score: str, by: list[str], label: str) -> DataFrame:
@@ -19,18 +20,19 @@ def _ties(df: DataFrame, score: str, by: list[str], label: str) -> DataFrame:
 
 def roc_auc(df: DataFrame, score: str, by: list[str], label: str = "label") -> DataFrame:
     """(by, roc_auc): chance that a positive ranks above a negative, ties half; NaN with one class."""
-    ties = _ties(df, score, by, label)
-    below = F.sum(F.col("n") - F.col("pos")).over(Window.partitionBy(*by).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1))
-    part = ties.withColumn("_won", F.col("pos") * (F.coalesce(below, F.lit(0)) + (F.col("n") - F.col("pos")) / 2.0))
+    below = running(_ties(df, score, by, label), "_s", by, {"_below": F.col("n") - F.col("pos")})
+    part = below.withColumn("_won", F.col("pos") * (F.col("_below") + (F.col("n") - F.col("pos")) / 2.0))
     out = part.groupBy(*by).agg(F.sum("_won").alias("won"), F.sum("pos").alias("p"), F.sum(F.col("n") - F.col("pos")).alias("q"))
     return out.select(*by, F.when(F.col("p") * F.col("q") > 0, F.col("won") / (F.col("p") * F.col("q"))).otherwise(F.lit(float("nan"))).alias("roc_auc"))
 
 
 def curve(df: DataFrame, score: str, by: list[str], label: str = "label") -> DataFrame:
-    """(by, threshold, tp, fp, p, q) at each distinct score, from the highest."""
-    down, whole = Window.partitionBy(*by).orderBy(F.col("_s").desc()).rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(*by)
-    negatives = F.col("n") - F.col("pos")
-    return _ties(df, score, by, label).select(*by, F.col("_s").alias("threshold"), F.sum("pos").over(down).alias("tp"), F.sum(negatives).over(down).alias("fp"), F.sum("pos").over(whole).alias("p"), F.sum(negatives).over(whole).alias("q"), "pos")
+    """(by, threshold, tp, fp, p, q) at each distinct score."""
+    rows = _ties(df, score, by, label)
+    whole = rows.groupBy(*by).agg(F.sum("pos").alias("p"), F.sum(F.col("n") - F.col("pos")).alias("q"))
+    below = running(rows, "_s", by, {"_pos": F.col("pos"), "_neg": F.col("n") - F.col("pos")})
+    out = below.join(whole, by) if by else below.join(F.broadcast(whole))  # one row
+    return out.select(*by, F.col("_s").alias("threshold"), (F.col("p") - F.col("_pos")).alias("tp"), (F.col("q") - F.col("_neg")).alias("fp"), "p", "q", "pos")
 
 
 def average_precision(df: DataFrame, score: str, by: list[str], label: str = "label") -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from .metrics import both_areas, youden_threshold
-from .sequences import average_rank
+from .ranks import numbered, ties
 
 
 def uniform(*parts: Column) -> Column:
@@ -77,7 +77,8 @@ def score_agreement(df: DataFrame, a: str = "prob_a", b: str = "prob_b", by: str
 def correlations(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
     """(by, n, pearson, spearman, note) over finite pairs."""
     good = df.where(f"{x} is not null and {y} is not null and not isnan({x}) and not isnan({y})")
-    ranked = good.withColumns({"_rx": average_rank(x, by), "_ry": average_rank(y, by)})
+    rank = lambda c, name: ties(good, c, by).select(*by, c, F.col("rank").alias(name))
+    ranked = good.select(*by, x, y).join(rank(x, "_rx"), [*by, x]).join(rank(y, "_ry"), [*by, y])
     out = ranked.groupBy(*by).agg(F.count("*").alias("n"), F.corr(x, y).alias("pearson"), F.corr("_rx", "_ry").alias("spearman"), F.min(x).alias("_l"), F.max(x).alias("_h"))
     note = F.when(F.col("n") < 3, "too_few_finite_pairs").when(F.col("_l") == F.col("_h"), "x_constant").otherwise("")
     return out.withColumn("note", note).drop("_l", "_h")
@@ -85,10 +86,9 @@ def correlations(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
 
 def mann_whitney(df: DataFrame, value: str, by: list[str], label: str = "label") -> DataFrame:
     """(by, n1, n0, u, z, p): U of label 1, z with tie and continuity correction."""
-    ranked = df.where(F.col(value).isNotNull()).withColumn("_r", average_rank(value, by))
-    sums = ranked.groupBy(*by).agg(F.sum(F.when(F.col(label) == 1, F.col("_r"))).alias("_rs"), F.sum(label).alias("n1"), F.sum(1 - F.col(label)).alias("n0"))
-    tie = df.where(F.col(value).isNotNull()).groupBy(*by, value).count().groupBy(*by).agg(F.sum(F.col("count").cast("double") ** 3 - F.col("count")).alias("_t"))
-    out = (sums.join(tie, by) if by else sums.join(tie)).withColumn("u", F.col("_rs") - F.col("n1") * (F.col("n1") + 1) / 2.0)
+    ranked = ties(df, value, by, ones=F.sum(label), rest=F.sum(1 - F.col(label)))
+    out = ranked.groupBy(*by).agg(F.sum(F.col("ones") * F.col("rank")).alias("_rs"), F.sum("ones").alias("n1"), F.sum("rest").alias("n0"), F.sum(F.col("n").cast("double") ** 3 - F.col("n")).alias("_t"))
+    out = out.withColumn("u", F.col("_rs") - F.col("n1") * (F.col("n1") + 1) / 2.0)
     n = F.col("n1") + F.col("n0")
     spread = F.sqrt(F.col("n1") * F.col("n0") / 12.0 * ((n + 1) - F.try_divide("_t", n * (n - 1))))
     gap = F.col("u") - F.col("n1") * F.col("n0") / 2.0
@@ -131,10 +131,11 @@ def bootstrap_rows(df: DataFrame, key: str, n: int, seed: int, strata: str | Non
     are numbered by key.
     """
     by = [strata] if strata else []
-    w = Window.partitionBy(*by)
-    numbered = df.withColumn("_i", F.row_number().over(w.orderBy(key)) - 1).withColumn("_n", F.count("*").over(w))
-    draws = _replicates(numbered.select(*by, "_i", "_n"), n).withColumn("_pick", F.least(F.floor(uniform(F.col("_i"), F.col("replicate"), F.lit(seed)) * F.col("_n")), F.col("_n") - 1).cast("int"))
-    return draws.select(*by, "replicate", F.col("_pick").alias("_i")).join(numbered.drop("_n"), [*by, "_i"]).drop("_i")
+    sizes = df.groupBy(*by).agg(F.count("*").alias("_n"))
+    rows = numbered(df, key, "_i", tuple(by))
+    rows = rows.join(F.broadcast(sizes), by) if by else rows.join(F.broadcast(sizes))  # a row a stratum
+    draws = _replicates(rows.select(*by, "_i", "_n"), n).withColumn("_pick", F.least(F.floor(uniform(F.col("_i"), F.col("replicate"), F.lit(seed)) * F.col("_n")), F.col("_n") - 1).cast("int"))
+    return draws.select(*by, "replicate", F.col("_pick").alias("_i")).join(rows.drop("_n"), [*by, "_i"]).drop("_i")
 
 
 def _interval(df: DataFrame, value: str, alpha: float = 0.05) -> list[Column]:
@@ -163,10 +164,8 @@ def bootstrap_mean_ci(df: DataFrame, value: str, key: str, n: int, seed: int, al
 def wilcoxon(df: DataFrame, difference: str, by: list[str]) -> DataFrame:
     """(by, n, w_plus, z, p, note): zeros dropped, ties at mean ranks; fewer than three pairs give a note."""
     rows = df.where(F.col(difference) != 0).withColumn("_a", F.abs(difference))
-    ranked = rows.withColumn("_r", average_rank("_a", by))
-    tie = rows.groupBy(*by, "_a").count().groupBy(*by).agg(F.sum(F.col("count").cast("double") ** 3 - F.col("count")).alias("_t"))
-    sums = ranked.groupBy(*by).agg(F.count("*").alias("n"), F.sum(F.when(F.col(difference) > 0, F.col("_r")).otherwise(0.0)).alias("w_plus"))
-    out = sums.join(tie, by) if by else sums.join(tie)
+    ranked = ties(rows, "_a", by, ups=F.sum((F.col(difference) > 0).cast("int")))
+    out = ranked.groupBy(*by).agg(F.sum("n").alias("n"), F.sum(F.col("ups") * F.col("rank")).alias("w_plus"), F.sum(F.col("n").cast("double") ** 3 - F.col("n")).alias("_t"))
     n = F.col("n")
     z = (F.col("w_plus") - n * (n + 1) / 4.0) / F.sqrt(n * (n + 1) * (2 * n + 1) / 24.0 - F.col("_t") / 48.0)
     return out.withColumn("z", F.when(n >= 3, z)).withColumn("p", normal_two_sided(F.col("z"))).withColumn("note", F.when(n < 3, "too_few_pairs").otherwise("")).drop("_t")

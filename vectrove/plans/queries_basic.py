@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
@@ -16,8 +17,11 @@ from .views import Data
 
 
 def scratch(d: Data, name: str) -> str:
-    """A new folder that driver and executors share: in spark.checkpoint.dir, else (one machine) below /tmp."""
-    root = d.spark.conf.get("spark.checkpoint.dir", None) or d.spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "/tmp/vectrove"
+    """A new folder that driver and executors share: in spark.checkpoint.dir, which only a session on one machine may leave unset."""
+    root = d.spark.conf.get("spark.checkpoint.dir", None) or d.spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not root and not d.spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
+    root = root or f"file://{tempfile.mkdtemp(prefix='spark-', dir='/tmp')}"
     return f"{root}/{name}-{uuid.uuid4().hex}"
 
 
@@ -112,10 +116,14 @@ def p01_harmonise_cohort(d: Data) -> DataFrame:
     return C.harmonise_cohort(d.customer.select(F.col("c_custkey").alias("ID"), F.col("c_nationkey").alias("case"), F.col("c_acctbal").alias("age"), F.when(F.col("c_custkey") % 2 == 0, "M").otherwise("F").alias("sex")))
 
 
-@query("SELECT o_orderkey, CASE WHEN t LIKE '%case%' THEN 1 WHEN regexp_full_match(t, '[0-9]+') THEN CAST(t AS INTEGER) ELSE 0 END AS label FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN 'case' WHEN o_orderkey % 4 = 1 THEN CAST(o_orderkey % 9 AS VARCHAR) WHEN o_orderkey % 4 = 2 THEN '1.0' ELSE o_orderstatus END AS t FROM orders)")
+@query("""SELECT o_orderkey, CASE WHEN t LIKE '%tts%' OR t LIKE '%takotsubo%' THEN 1 WHEN regexp_full_match(t, '[0-9]+') THEN CAST(t AS INTEGER) WHEN t IS NOT NULL THEN 0 END AS label, CASE WHEN v LIKE '%case%' THEN 1 WHEN v IS NOT NULL THEN 0 END AS other_words, CAST(trunc(x) AS INTEGER) AS from_number
+FROM (SELECT o_orderkey, lower(CASE o_orderkey % 7 WHEN 0 THEN 'Takotsubo' WHEN 1 THEN CAST(o_orderkey % 9 AS VARCHAR) WHEN 2 THEN '1.0' WHEN 3 THEN 'definite TTS ' WHEN 4 THEN NULL WHEN 5 THEN 'control case' ELSE o_orderstatus END) AS t, CASE WHEN o_orderkey % 3 > 0 THEN CASE WHEN o_orderkey % 3 = 1 THEN 'case' ELSE 'x' END END AS v, CASE WHEN o_orderkey % 4 > 0 THEN CAST(o_orderkey % 4 AS DOUBLE) / 2 END AS x FROM orders)""")
 def p02_binary_label(d: Data) -> DataFrame:
-    text = F.when(F.col("o_orderkey") % 4 == 0, "Case ").when(F.col("o_orderkey") % 4 == 1, (F.col("o_orderkey") % 9).cast("string")).when(F.col("o_orderkey") % 4 == 2, "1.0").otherwise(F.col("o_orderstatus"))
-    return d.orders.select("o_orderkey", C.binary_label(text).alias("label"))
+    k = F.col("o_orderkey")
+    text = F.when(k % 7 == 0, "Takotsubo").when(k % 7 == 1, (k % 9).cast("string")).when(k % 7 == 2, "1.0").when(k % 7 == 3, "definite TTS ").when(k % 7 == 4, None).when(k % 7 == 5, "control case").otherwise(F.col("o_orderstatus"))
+    other = F.when(k % 3 == 1, "Case ").when(k % 3 == 2, "x")
+    number = F.when(k % 4 > 0, (k % 4).cast("double") / 2)
+    return d.orders.select("o_orderkey", C.binary_label(text).alias("label"), C.binary_label(other, ("case",)).alias("other_words"), C.binary_label(number, numeric=True).alias("from_number"))
 
 
 @query("SELECT patient_id, CASE sex WHEN 'M' THEN 0.0 ELSE 1.0 END::DOUBLE AS m0f1, CASE sex WHEN 'M' THEN 1.0 ELSE 0.0 END::DOUBLE AS f0m1, CASE sex WHEN 'M' THEN 1.0 ELSE 0.0 END::DOUBLE AS male, CASE sex WHEN 'M' THEN 1.0 ELSE 0.0 END::DOUBLE AS half FROM cohort")

@@ -227,7 +227,7 @@ def test_stacks_take_every_repeat(spark, sf_dir):
     for _, p, s in preds:
         mine.setdefault(p, []).append(s)
     whole, ids = np.mean([s for _, _, s in preds]), [r.doc_id for r in d.labels.collect()]
-    assert repeats == list(range(10))
+    assert repeats == list(range(100))
     expected = {(r, p): ((r, p) in own, own.get((r, p), np.mean(mine[p]) if p in mine else whole)) for r in repeats for p in ids}
     got = {(r.repeat_id, r.patient_id): (r.is_test, r.stacked) for r in catalog.queries()["t23_stack_features_whole"](spark, sf_dir).collect()}
     assert got.keys() == expected.keys()
@@ -238,3 +238,99 @@ def test_heads_fit_all_dimensions(spark, sf_dir):
     assert {r.d for r in catalog.queries()["t26_coef_table"](spark, sf_dir).collect()} == set(range(64))
     got = [(r.repeat_id, r.feature) for r in catalog.queries()["t28_coef_repeat_matrix"](spark, sf_dir).collect()]
     assert sorted(got) == [(r, f) for r in range(queries_models.REPEATS) for f in range(64)]
+
+
+def grouped_rows(spark, n=160, d=5, repeats=4):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(n, d)) * [1, 5, 0.1, 1, 0] + 3
+    y = (x[:, 0] - x[:, 1] * 0.2 + rng.normal(size=n) > 2.4).astype(int)
+    target = np.where(rng.random((n, repeats)) < 0.25, -1, y[:, None])
+    rows = spark.createDataFrame([(i, x[i].tolist(), int(y[i]), target[i].tolist()) for i in range(n)], "patient_id int, features array<double>, label int, target array<int>").repartition(5)
+    return x, y, target, rows
+
+
+def test_grouped_fits_are_at_the_optimum(spark):
+    from vectrove.operators import grouped as G
+
+    x, y, target, rows = grouped_rows(spark)
+    heads = [("logistic_l2", {"c": 1.0}), ("logistic_l1", {"c": 0.3}), ("logistic_en", {"c": 0.1, "l1_ratio": 0.2}), ("linear_svc", {"c": 1.0})]
+    found = G.fit(rows, 4, heads)
+    scores = {(r.repeat_id, r.config, r.patient_id): (r.is_test, r.score) for r in G.scores(rows, found, ["patient_id"]).collect()}
+    for r in range(4):
+        inside = target[:, r] >= 0
+        std = x[inside].std(axis=0)
+        z = (x - x[inside].mean(axis=0)) / np.where(std > 0, std, 1)
+        ones = y[inside].sum()
+        w = np.where(y == 1, inside.sum() / (2 * ones), inside.sum() / (2 * (inside.sum() - ones))) * inside
+        for h, (kind, p) in enumerate(heads):
+            b, a = found.coef[r, h], found.intercept[r, h]
+            m, sign, c = z @ b + a, 2 * y - 1, p["c"]
+            slope = -2 * sign * np.maximum(0, 1 - sign * m) if kind == "linear_svc" else 1 / (1 + np.exp(-m)) - y
+            ratio = {"logistic_l1": 1.0, "logistic_en": 0.2}.get(kind, 0.0)
+            g = c * z.T @ (w * slope) + (1 - ratio) * b
+            assert np.where(b != 0, np.abs(g + ratio * np.sign(b)), np.maximum(0, np.abs(g) - ratio)).max() < 1e-6
+            assert abs(c * (w * slope).sum() + (a if kind == "linear_svc" else 0)) < 1e-6
+            for i in (0, 7, 33):
+                test, score = scores[(r, h, i)]
+                assert test == (not inside[i]) and abs(score - (m[i] if kind == "linear_svc" else 1 / (1 + np.exp(-m[i])))) < 1e-9
+
+
+def test_grouped_fits_in_parts_by_split_and_of_one_class(spark, monkeypatch):
+    from vectrove.operators import grouped as G
+
+    _, _, target, rows = grouped_rows(spark)
+    heads = [("logistic_l2", {"c": 1.0}), ("linear_svc", {"c": 0.5})]
+    whole = G.fit(rows, 4, heads)
+    monkeypatch.setattr(G, "SUMS", 3 * 36)  # three fits at a time
+    assert np.allclose(whole.coef, G.fit(rows, 4, heads).coef)
+    long = rows.select("patient_id", "label", "features", F.posexplode("target").alias("repeat_id", "t")).withColumn("target", F.array("t"))
+    assert np.allclose(whole.coef, G.fit(long, 4, heads).coef)
+    one = rows.withColumn("target", F.transform("target", lambda t: F.when(t == 1, -1).otherwise(t)))
+    assert np.isnan(G.fit(one, 4, heads).coef).all()
+    with pytest.raises(ValueError):
+        G.fit(rows.limit(0), 4, heads)
+    assert G.scores(long, whole, ["patient_id"]).count() == 160 * 4 * 2
+
+
+def test_ranks_by_ranges(spark):
+    from vectrove.operators import ranks as R
+
+    rng = np.random.default_rng(3)
+    rows = [(int(i), ["a", "b", None][i % 3], float(v)) for i, v in enumerate(rng.integers(0, 40, 500))] + [(500, "a", float("nan")), (501, "a", None)]
+    df = spark.createDataFrame(rows, "k long, g string, v double")
+    good = [r for r in rows if r[2] is not None and r[2] == r[2]]
+    for by in ([], ["g"]):
+        got = {(r["g"] if by else 0, r.v): (r.n, r["rank"]) for r in R.ties(df, "v", by).collect()}
+        groups = {}
+        for _, g, v in good:
+            groups.setdefault(g if by else 0, []).append(v)
+        want = {(g, v): (vs.count(v), sum(x < v for x in vs) + (vs.count(v) + 1) / 2) for g, vs in groups.items() for v in set(vs)}
+        assert got == want
+    assert [r.i for r in R.numbered(df, "k", "i").orderBy("k").collect()] == list(range(502))
+    named = R.numbered(df.withColumn("s", F.col("k").cast("string")), "s", "i").select("s", "i").collect()
+    assert [r.i for r in sorted(named, key=lambda r: r.s)] == list(range(502))
+    assert R.ties(df.limit(0), "v", []).count() == 0 and R.numbered(df.limit(0), "k", "i").count() == 0
+
+
+def test_permutations_against_brute_force(spark):
+    import hashlib
+
+    from vectrove.operators import tests_of_hypotheses as T
+
+    rng = np.random.default_rng(6)
+    rows = [(i, float(v), int(y)) for i, (v, y) in enumerate(zip(rng.normal(size=60), rng.integers(0, 2, 60)))]
+    got = T.permutation_p(spark.createDataFrame(rows, "k long, v double, label int"), "v", "k", 40, 42).first()
+    k = sum(y for _, _, y in rows)
+    true = np.mean([v for _, v, y in rows if y]) - np.mean([v for _, v, y in rows if not y])
+    far = 0
+    for r in range(40):
+        order = sorted(rows, key=lambda x: (hashlib.md5(f"{x[0]}|{r}|42".encode()).hexdigest(), x[0]))
+        far += abs(np.mean([v for _, v, _ in order[:k]]) - np.mean([v for _, v, _ in order[k:]])) >= abs(true) - 1e-12
+    assert abs(got.difference - true) < 1e-12 and abs(got.p - (far + 1) / 41) < 1e-12
+
+
+def test_cohort_files_with_numeric_and_text_labels(spark):
+    numbers = spark.createDataFrame([("1", 1.0, "61", " m "), ("2", 0.0, "x", "F"), ("3", None, None, None)], "ID string, case double, age string, sex string")
+    assert [(r.label, r.age, r.sex) for r in C.harmonise_cohort(numbers).orderBy("patient_id").collect()] == [(1, 61.0, "M"), (0, None, "F"), (None, None, None)]
+    texts = spark.createDataFrame([("1", "Takotsubo", 1, "F"), ("2", "control case", 1, "F"), ("3", "12", 1, "F"), ("4", "1.0", 1, "F"), ("5", None, 1, "F")], "id string, Label string, age int, sex string")
+    assert [r.label for r in C.harmonise_cohort(texts).orderBy("patient_id").collect()] == [1, 0, 12, 0, None]

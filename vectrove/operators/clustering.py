@@ -1,17 +1,18 @@
 """Spherical k-means in Spark: prototypes are a small matrix, tokens stay where they are.
 
-Each round is one map over the tokens: a task adds up its members of each cluster, K rows leave it, and Spark sums them. The same
-map counts tokens whose nearest prototype differs between the last two rounds, which is the test to stop.
+Each round is one pass over the stored unit vectors: a task adds up its members of each cluster, K rows leave it, and Spark sums
+them. The same pass counts tokens whose nearest prototype differs between the last two rounds, which is the test to stop.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import l2_normalise
+from ..shared import stored
+from .grouped import added, matrix
 from .joins import assign_prototypes
 
 
@@ -33,40 +34,32 @@ def spherical_kmeans(tokens: DataFrame, k: int = 64, most: int = 50, seed: int =
     rounds run out, assignments are those before the last move.
     """
     spark = tokens.sparkSession
-    rows = tokens.select(key, l2_normalise(F.col(vector)).alias("x"))
+    rows = stored(tokens.select(key, l2_normalise(F.col(vector)).alias("x")), "unit-vectors")
     firsts = _starts(rows, key, k, seed)
     if len(firsts) < k:
         raise ValueError(f"{len(firsts)} tokens cannot make {k} clusters")
     now, before, spare, used = _unit(np.array(firsts)), None, [], 0
 
-    def sums(old, new):
-        def add(batches):
-            total, n, moved = np.zeros(new.shape), np.zeros(len(new), np.int64), 0
-            for batch in batches:
-                flat = batch.column("x").flatten().to_numpy()
-                x = flat.reshape(batch.num_rows, -1)
-                if not len(x):
-                    continue
-                to = (x @ new.T).argmax(axis=1)
-                moved += int((to != ((x @ old.T).argmax(axis=1) if old is not None else 0)).sum())
-                np.add.at(total, to, x)
-                n += np.bincount(to, minlength=len(new))
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(new)), pa.int32()), pa.array(n), pa.array([moved] * len(new), pa.int64()), pa.array(list(total), pa.list_(pa.float64()))], names=["k", "n", "moved", "total"])
-
-        return add
+    def members(old, new):
+        def partial(batch):
+            x = matrix(batch.column("x"))
+            to = (x @ new.T).argmax(axis=1)
+            moved = to != ((x @ old.T).argmax(axis=1) if old is not None else 0)
+            order = np.argsort(to, kind="stable")
+            found, first = np.unique(to[order], return_index=True)
+            for c, n, m, total in zip(found, np.diff(np.r_[first, len(to)]), np.bincount(to, moved)[found], np.add.reduceat(x[order], first)):
+                yield int(c), np.r_[n, m, total]
+
+        return partial
 
     for _ in range(most):
-        part = rows.mapInArrow(sums(before, now), "k int, n long, moved long, total array<double>")
-        size = part.groupBy("k").agg(F.sum("n").alias("n"), F.sum("moved").alias("moved")).collect()
-        if size[0].moved == 0:
+        sums = added(rows.select("x"), members(before, now), np.add)
+        if not sum(s[1] for s in sums.values()):
             before = now
             break
-        mean = part.select("k", F.posexplode("total").alias("d", "v")).groupBy("k", "d").agg(F.sum("v").alias("v")).collect()
         total, n = np.zeros(now.shape), np.zeros(k)
-        for r in mean:
-            total[r.k, r.d] = r.v
-        for r in size:
-            n[r.k] = r.n
+        for c, s in sums.items():
+            n[c], total[c] = s[0], s[2:]
         new = total / np.maximum(n, 1)[:, None]
         for c in np.flatnonzero(n == 0):
             if used >= len(spare):

@@ -47,15 +47,15 @@ def by_tests(df: DataFrame, tests: DataFrame, key: str = "patient_id", label: st
     return df.join(each, key).withColumn("target", F.transform("_t", lambda t: F.when(t.is_test, -1).otherwise(F.col(label)).cast("int"))).drop("_t")
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
+def matrix(column: pa.Array) -> np.ndarray:
     flat = column.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)
     return flat.reshape(len(column), -1) if len(column) else np.empty((0, 0))
 
 
 def _members(batch: pa.RecordBatch):
     """(split, rows, classes) of a batch's training rows; rows with a repeat_id belong to that split alone."""
-    x = _matrix(batch.column("features"))
-    target = _matrix(batch.column("target")).astype(np.int64)
+    x = matrix(batch.column("features"))
+    target = matrix(batch.column("target")).astype(np.int64)
     if "repeat_id" in batch.schema.names:
         mine = batch.column("repeat_id").to_numpy()
         for r in np.unique(mine):
@@ -67,7 +67,7 @@ def _members(batch: pa.RecordBatch):
             yield r, x[at], target[at, r]
 
 
-def _added(rows: DataFrame, partial, add) -> dict[int, np.ndarray]:
+def added(rows: DataFrame, partial, add) -> dict[int, np.ndarray]:
     """partial(batch) gives (group, numbers); all numbers of a group are brought together by add, first within SALT parts."""
     schema = pa.schema([("g", pa.int32()), ("salt", pa.int32()), ("sums", pa.binary())])
 
@@ -112,7 +112,7 @@ def _moments(rows: DataFrame) -> dict[int, np.ndarray]:
         spread = a[2 + d : 2 + 2 * d] + b[2 + d : 2 + 2 * d] + gap**2 * a[0] * b[0] / n
         return np.r_[n, a[1] + b[1], mean, spread, np.minimum(a[2 + 2 * d : 2 + 3 * d], b[2 + 2 * d : 2 + 3 * d]), np.maximum(a[2 + 3 * d :], b[2 + 3 * d :])]
 
-    return _added(rows, partial, add)
+    return added(rows, partial, add)
 
 
 def _loss(kind: str, margin: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -207,7 +207,7 @@ def _fit_some(rows, fits, heads, shift, width, n, ones, d):
                     value, first, second = _loss(kinds[k], z @ points[k], y)
                     yield k, c[k] * np.r_[w @ value, z.T @ (w * first), (z.T @ ((w * second)[:, None] * z)).ravel()]
 
-        sums = _added(rows, partial, np.add)
+        sums = added(rows, partial, np.add)
         for k in open_:
             s = sums[int(k)]
             objective = s[0] + l1[k] @ np.abs(tried[k]) + 0.5 * l2[k] @ tried[k] ** 2
@@ -241,7 +241,7 @@ def scores(rows: DataFrame, fits: Fits, keep: list[str]) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)
-                x, target = _matrix(part.column("features")), _matrix(part.column("target")).astype(np.int64)
+                x, target = matrix(part.column("features")), matrix(part.column("target")).astype(np.int64)
                 mine = part.column("repeat_id").to_numpy() if own else None
                 for r in np.unique(mine) if own else range(target.shape[1]):
                     i = np.flatnonzero(mine == r) if own else np.arange(len(x))

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from ..shared import stored
 from .metrics import both_areas, youden_threshold
 from .ranks import numbered, ties
 
@@ -109,12 +110,23 @@ def _replicates(df: DataFrame, n: int) -> DataFrame:
     return df.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
 
 
-def permutation_p(df: DataFrame, value: str, key: str, n: int, seed: int, label: str = "label") -> DataFrame:
-    """(difference, p) of class means under n permutations of the labels: (times as far + 1) / (n + 1)."""
-    ones = df.agg(F.sum(label).alias("_k"), (F.avg(F.when(F.col(label) == 1, F.col(value))) - F.avg(F.when(F.col(label) == 0, F.col(value)))).alias("difference"))
+def permutation_p(df: DataFrame, value: str, key: str, n: int, seed: int, label: str = "label", parts: int = 2) -> DataFrame:
+    """(difference, p) of class means under n permutations of the labels: (times as far + 1) / (n + 1).
+
+    The rows of least md5 get label 1. They are counted by the first `parts` hex digits, so only one part of a replicate is
+    put in order. Rows without a value take part in the order, not in the means.
+    """
+    one = lambda c, k: F.avg(F.when(F.col(label) == k, F.col(c)))
+    whole = df.agg(F.sum(label).alias("_k"), (one(value, 1) - one(value, 0)).alias("difference"), F.sum(value).alias("_all"), F.count(value).alias("_m"))
     order = F.md5(F.concat_ws("|", F.col(key).cast("string"), F.col("replicate").cast("string"), F.lit(str(seed))))
-    drawn = _replicates(df.select(key, value), n).withColumn("_i", F.row_number().over(Window.partitionBy("replicate").orderBy(order, key)))
-    each = drawn.join(F.broadcast(ones)).groupBy("replicate", "difference").agg((F.avg(F.when(F.col("_i") <= F.col("_k"), F.col(value))) - F.avg(F.when(F.col("_i") > F.col("_k"), F.col(value)))).alias("_d"))  # one row
+    drawn = _replicates(df.select(key, F.col(value).alias("_x")), n).withColumn("_o", order).withColumn("_part", F.substring("_o", 1, parts))
+    counts = drawn.groupBy("replicate", "_part").agg(F.count("*").alias("_n"), F.sum("_x").alias("_s"), F.count("_x").alias("_c"))
+    counts = counts.withColumn("_upto", F.sum("_n").over(Window.partitionBy("replicate").orderBy("_part"))).join(F.broadcast(whole))  # one row
+    inside = counts.where("_upto <= _k").groupBy("replicate").agg(F.sum("_s").alias("_s"), F.sum("_c").alias("_c"))
+    cut = counts.where("_upto > _k and _upto - _n < _k").select("replicate", "_part", (F.col("_k") - F.col("_upto") + F.col("_n")).alias("_need"))
+    ranked = drawn.join(cut, ["replicate", "_part"]).withColumn("_i", F.row_number().over(Window.partitionBy("replicate").orderBy("_o", key))).where("_i <= _need")
+    taken = inside.unionByName(ranked.groupBy("replicate").agg(F.sum("_x").alias("_s"), F.count("_x").alias("_c"))).groupBy("replicate").agg(F.sum("_s").alias("_s"), F.sum("_c").alias("_c"))
+    each = taken.join(F.broadcast(whole)).withColumn("_d", F.try_divide(F.coalesce("_s", F.lit(0.0)), "_c") - F.try_divide(F.col("_all") - F.coalesce("_s", F.lit(0.0)), F.col("_m") - F.col("_c")))  # one row
     return each.groupBy("difference").agg(((F.sum((F.abs("_d") >= F.abs("difference") - 1e-12).cast("int")) + 1) / F.lit(n + 1.0)).alias("p"))
 
 
@@ -173,7 +185,7 @@ def wilcoxon(df: DataFrame, difference: str, by: list[str]) -> DataFrame:
 
 def paired_delta(splits: DataFrame, reference: str, challenger: str, n: int, seed: int, split: str = "repeat_id") -> DataFrame:
     """Per-split difference of two metrics: mean, bootstrap interval, Wilcoxon."""
-    d = splits.select(split, (F.col(challenger) - F.col(reference)).alias("delta"))
+    d = stored(splits.select(split, (F.col(challenger) - F.col(reference)).alias("delta")), "differences")
     return bootstrap_mean_ci(d, "delta", split, n, seed).join(wilcoxon(d, "delta", []).select("w_plus", "z", "p"))
 
 

@@ -403,7 +403,9 @@ def j07_resolve_ids(d: Data) -> DataFrame:
     return J.resolve_ids(id_variants(d.customer.where("c_custkey % 20 < 3")), d.customer.select(F.col("c_name").alias("id")))
 
 
-@query()
+@query("""WITH l AS (SELECT CASE c_custkey % 3 WHEN 0 THEN c_name WHEN 1 THEN upper(c_name) ELSE substr(c_name, 1, 17) END AS id FROM customer), r AS (SELECT c_name AS id FROM customer), sizes AS (SELECT DISTINCT length(id) AS n FROM l),
+m AS (SELECT l.id, r.id AS match, 1 AS tier FROM l JOIN r ON l.id = r.id UNION ALL SELECT l.id, r.id, 2 FROM l JOIN r ON lower(l.id) = lower(r.id) UNION ALL SELECT l.id, p.id, 3 FROM (SELECT r.id, substr(r.id, 1, n) AS part FROM r JOIN sizes ON length(r.id) >= n) p JOIN l ON l.id = p.part)
+SELECT id, match, tier FROM m QUALIFY row_number() OVER (PARTITION BY id ORDER BY tier, match) = 1""")
 def j07_resolve_ids_whole(d: Data) -> DataFrame:
     """Every customer; the SQL above compares all pairs by starts_with, and covers three in twenty."""
     return J.resolve_ids(id_variants(d.customer), d.customer.select(F.col("c_name").alias("id")))
@@ -414,10 +416,10 @@ def j08_align_sources(d: Data) -> DataFrame:
     return J.align_sources([d.orders.select(F.col("o_custkey").alias("patient_id")), d.customer.where("c_acctbal > 0").select(F.col("c_custkey").alias("patient_id")), d.events.select(F.col("user_id").alias("patient_id"))])
 
 
-_WEIGHTS = [0.0, 0.25, 0.5, 0.75, 1.0]
+_WEIGHTS = [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]
 
 
-@query("SELECT repeat_id, w, avg(w * prob_a + (1 - w) * prob_b) AS blend FROM preds CROSS JOIN (SELECT unnest([0.0, 0.25, 0.5, 0.75, 1.0]::DOUBLE[]) AS w) GROUP BY 1, 2", "w blend")
+@query("SELECT repeat_id, w, avg(w * prob_a + (1 - w) * prob_b) AS blend FROM preds CROSS JOIN (SELECT unnest([0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]::DOUBLE[]) AS w) GROUP BY 1, 2", "w blend")
 def j09_scan_weights(d: Data) -> DataFrame:
     return J.scan_weights(d.preds, _WEIGHTS).groupBy("repeat_id", "w").agg(F.avg(F.expr("w * prob_a + (1 - w) * prob_b")).alias("blend"))
 

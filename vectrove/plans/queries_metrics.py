@@ -47,6 +47,11 @@ def m01_big_roc_auc(d: Data) -> DataFrame:
     return M.roc_auc(d.big, "score_a", [])
 
 
+@query(f"WITH {auc_sql('big', 'value', '')} SELECT * FROM auc", "roc_auc")
+def m01_big_roc_auc_of_prices(d: Data) -> DataFrame:
+    return M.roc_auc(d.big, "value", [])
+
+
 @query(f"WITH {ap_sql('scores', 'score_b', 'site')} SELECT * FROM ap", "pr_auc")
 def m02_average_precision(d: Data) -> DataFrame:
     return M.average_precision(d.scores, "score_b", ["site"])
@@ -73,8 +78,8 @@ def m06_blend(d: Data) -> DataFrame:
     return d.preds.select("repeat_id", "patient_id", M.blend(F.col("prob_a"), F.col("prob_b"), 0.3).alias("half"), M.blend(F.col("prob_a"), F.col("prob_b"), 1.7).alias("high"))
 
 
-GRID = [0.0, 0.25, 0.5, 0.75, 1.0]
-BLENDS = "bl AS (SELECT repeat_id, label, w, w * prob_a + (1 - w) * prob_b AS s0 FROM preds CROSS JOIN (SELECT unnest([0.0, 0.25, 0.5, 0.75, 1.0]::DOUBLE[]) AS w))"
+GRID = [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]
+BLENDS = "bl AS (SELECT repeat_id, label, w, w * prob_a + (1 - w) * prob_b AS s0 FROM preds CROSS JOIN (SELECT unnest([0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]::DOUBLE[]) AS w))"
 
 
 @query(f"WITH {BLENDS}, {auc_sql('bl', 's0', 'repeat_id, w')}, {ap_sql('bl', 's0', 'repeat_id, w')} SELECT * FROM auc JOIN ap USING (repeat_id, w)", "w roc_auc pr_auc")
@@ -134,10 +139,10 @@ def m14_welch_t(d: Data) -> DataFrame:
 
 
 @query("""WITH o AS (SELECT sum(label) AS k, avg(score_b) FILTER (WHERE label = 1) - avg(score_b) FILTER (WHERE label = 0) AS difference FROM scores),
-p AS (SELECT r, score_b, row_number() OVER (PARTITION BY r ORDER BY md5(concat(CAST(patient_id AS VARCHAR), '|', CAST(r AS VARCHAR), '|42')), patient_id) AS i FROM scores CROSS JOIN (SELECT unnest(range(50)) AS r)),
-e AS (SELECT r, avg(score_b) FILTER (WHERE i <= k) - avg(score_b) FILTER (WHERE i > k) AS d FROM p CROSS JOIN o GROUP BY 1) SELECT difference, (count(*) FILTER (WHERE abs(d) >= abs(difference) - 1e-12) + 1) / 51.0::DOUBLE AS p FROM e CROSS JOIN o GROUP BY 1""", "difference p")
+p AS (SELECT r, score_b, row_number() OVER (PARTITION BY r ORDER BY md5(concat(CAST(patient_id AS VARCHAR), '|', CAST(r AS VARCHAR), '|42')), patient_id) AS i FROM scores CROSS JOIN (SELECT unnest(range(20000)) AS r)),
+e AS (SELECT r, avg(score_b) FILTER (WHERE i <= k) - avg(score_b) FILTER (WHERE i > k) AS d FROM p CROSS JOIN o GROUP BY 1) SELECT difference, (count(*) FILTER (WHERE abs(d) >= abs(difference) - 1e-12) + 1) / 20001.0::DOUBLE AS p FROM e CROSS JOIN o GROUP BY 1""", "difference p")
 def m15_permutation_p(d: Data) -> DataFrame:
-    return H.permutation_p(d.scores, "score_b", "patient_id", 50, 42)
+    return H.permutation_p(d.scores, "score_b", "patient_id", 20000, 42)
 
 
 @query(f"WITH {MWU} SELECT site, coalesce(2 * u / nullif(n1 * n0, 0) - 1, 0) AS delta FROM mwu", "delta")
@@ -150,7 +155,7 @@ def boot_sql(strata: str = "") -> str:
     on = f"n.{strata} = d.{strata} AND " if strata else ""
     n = f"count(*) OVER (PARTITION BY {strata})" if strata else "count(*) OVER ()"
     return f"""nb AS (SELECT patient_id, label, score_b, row_number() OVER ({part}ORDER BY patient_id) - 1 AS i, {n} AS n FROM scores),
-dr AS (SELECT {s}r AS replicate, CAST(least(floor($U(concat(CAST(i AS VARCHAR), '|', CAST(r AS VARCHAR), '|7')) * n), n - 1) AS BIGINT) AS pick FROM nb CROSS JOIN (SELECT unnest(range(20)) AS r)),
+dr AS (SELECT {s}r AS replicate, CAST(least(floor($U(concat(CAST(i AS VARCHAR), '|', CAST(r AS VARCHAR), '|7')) * n), n - 1) AS BIGINT) AS pick FROM nb CROSS JOIN (SELECT unnest(range(2000)) AS r)),
 bt AS (SELECT d.replicate, n.label, n.score_b FROM dr d JOIN nb n ON {on}n.i = d.pick)"""
 
 
@@ -160,29 +165,29 @@ def three(c: str, t: str) -> str:
 
 @query(f"WITH {boot_sql()}, {auc_sql('bt', 'score_b', 'replicate')}, {ap_sql('bt', 'score_b', 'replicate')}, m AS (SELECT * FROM auc JOIN ap USING (replicate)) SELECT count(*) AS n_valid, {three('roc_auc', 'm')}, {three('pr_auc', 'm')} FROM m", "roc_auc_low roc_auc_mid roc_auc_high pr_auc_low pr_auc_mid pr_auc_high")
 def m17_bootstrap_metric(d: Data) -> DataFrame:
-    return H.bootstrap_metric(d.scores.select("patient_id", "label", "score_b"), "score_b", "patient_id", 20, 7)
+    return H.bootstrap_metric(d.scores.select("patient_id", "label", "score_b"), "score_b", "patient_id", 2000, 7)
 
 
 @query(f"WITH {boot_sql('label')}, {ap_sql('bt', 'score_b', 'replicate')}, m AS (SELECT replicate, s AS threshold, tp / p - fp / q AS youden FROM cv WHERE p > 0 AND q > 0 QUALIFY row_number() OVER (PARTITION BY replicate ORDER BY tp / p - fp / q DESC, s DESC) = 1) SELECT {three('threshold', 'm')}, {three('youden', 'm')} FROM m", "threshold_low threshold_mid threshold_high youden_low youden_mid youden_high")
 def m18_bootstrap_threshold(d: Data) -> DataFrame:
-    return H.bootstrap_threshold(d.scores.select("patient_id", "label", "score_b"), "score_b", "patient_id", 20, 7)
+    return H.bootstrap_threshold(d.scores.select("patient_id", "label", "score_b"), "score_b", "patient_id", 2000, 7)
 
 
 @query(f"WITH {boot_sql()}, m AS (SELECT replicate, avg(score_b) AS score_b FROM bt GROUP BY 1) SELECT (SELECT avg(score_b) FROM scores) AS mean, {three('score_b', 'm')} FROM m", "mean score_b_low score_b_mid score_b_high")
 def m19_bootstrap_mean_ci(d: Data) -> DataFrame:
-    return H.bootstrap_mean_ci(d.scores, "score_b", "patient_id", 20, 7)
+    return H.bootstrap_mean_ci(d.scores, "score_b", "patient_id", 2000, 7)
 
 
 DIFFS = "df AS (SELECT repeat_id, patient_id, prob_b - prob_a AS d FROM preds), a AS (SELECT repeat_id, d, abs(d) AS m, rank() OVER (PARTITION BY repeat_id ORDER BY abs(d)) + (count(*) OVER (PARTITION BY repeat_id, abs(d)) - 1) / 2.0::DOUBLE AS r FROM df WHERE d <> 0), t AS (SELECT repeat_id, sum(c::DOUBLE ** 3 - c) AS t FROM (SELECT repeat_id, m, count(*) AS c FROM a GROUP BY 1, 2) GROUP BY 1)"
 
 
 @query(f"""WITH {SPLITS}, {auc_sql('preds', 'prob_b', 'repeat_id').replace('rk AS', 'rk2 AS').replace('FROM rk ', 'FROM rk2 ').replace('auc AS (', 'auc2 AS (')}, x AS (SELECT repeat_id, auc2.roc_auc - splits.roc_auc AS d FROM splits JOIN auc2 USING (repeat_id)),
-nb AS (SELECT d, row_number() OVER (ORDER BY repeat_id) - 1 AS i, count(*) OVER () AS n FROM x), dr AS (SELECT r, CAST(least(floor($U(concat(CAST(i AS VARCHAR), '|', CAST(r AS VARCHAR), '|7')) * n), n - 1) AS BIGINT) AS pick FROM nb CROSS JOIN (SELECT unnest(range(50)) AS r)), m AS (SELECT r, avg(d) AS delta FROM dr JOIN nb ON nb.i = dr.pick GROUP BY 1),
+nb AS (SELECT d, row_number() OVER (ORDER BY repeat_id) - 1 AS i, count(*) OVER () AS n FROM x), dr AS (SELECT r, CAST(least(floor($U(concat(CAST(i AS VARCHAR), '|', CAST(r AS VARCHAR), '|7')) * n), n - 1) AS BIGINT) AS pick FROM nb CROSS JOIN (SELECT unnest(range(5000)) AS r)), m AS (SELECT r, avg(d) AS delta FROM dr JOIN nb ON nb.i = dr.pick GROUP BY 1),
 a AS (SELECT d, rank() OVER (ORDER BY abs(d)) + (count(*) OVER (PARTITION BY abs(d)) - 1) / 2.0::DOUBLE AS r FROM x WHERE d <> 0)
 SELECT (SELECT avg(d) FROM x) AS mean, {three('delta', 'm')}, (SELECT sum(CASE WHEN d > 0 THEN r ELSE 0 END) FROM a) AS w_plus FROM m""", "mean delta_low delta_mid delta_high w_plus")
 def m20_paired_delta(d: Data) -> DataFrame:
     both = splits(d).select("repeat_id", F.col("roc_auc").alias("a")).join(splits(d, "prob_b").select("repeat_id", F.col("roc_auc").alias("b")), "repeat_id")
-    return H.paired_delta(both, "a", "b", 50, 7).drop("z", "p")
+    return H.paired_delta(both, "a", "b", 5000, 7).drop("z", "p")
 
 
 @query(f"WITH {DIFFS} SELECT a.repeat_id, count(*) AS n, sum(CASE WHEN d > 0 THEN r ELSE 0 END) AS w_plus, (sum(CASE WHEN d > 0 THEN r ELSE 0 END) - count(*) * (count(*) + 1) / 4.0::DOUBLE) / sqrt(count(*)::DOUBLE * (count(*) + 1) * (2 * count(*) + 1) / 24.0::DOUBLE - max(t) / 48.0::DOUBLE) AS z, '' AS note FROM a JOIN t USING (repeat_id) GROUP BY 1", "w_plus z")

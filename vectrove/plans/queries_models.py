@@ -15,7 +15,7 @@ from .queries_basic import prototypes, scratch
 from .registry import query
 from .views import Data
 
-REPEATS = 3
+REPEATS = 100
 
 
 def cohort(d: Data) -> DataFrame:
@@ -36,26 +36,26 @@ def doc_cohort(d: Data) -> DataFrame:
 
 
 UNIT = "ev AS (SELECT vec_id, CAST(unnest(range(len(embedding))) AS INTEGER) AS d, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings), en AS (SELECT vec_id, sqrt(sum(v * v)) + 1e-8 AS n FROM ev GROUP BY 1), x AS (SELECT vec_id, d, v / n AS v FROM ev JOIN en USING (vec_id))"
-ONE_STEP = f"""{UNIT}, st AS (SELECT vec_id, row_number() OVER (ORDER BY md5(concat(CAST(vec_id AS VARCHAR), '|42')), vec_id) - 1 AS k FROM embeddings), p0 AS (SELECT k, d, v FROM x JOIN st USING (vec_id) WHERE k < 6),
+ONE_STEP = f"""{UNIT}, st AS (SELECT vec_id, row_number() OVER (ORDER BY md5(concat(CAST(vec_id AS VARCHAR), '|42')), vec_id) - 1 AS k FROM embeddings), p0 AS (SELECT k, d, v FROM x JOIN st USING (vec_id) WHERE k < 64),
 pn AS (SELECT k, sqrt(sum(v * v)) + 1e-8 AS n FROM p0 GROUP BY 1), p AS (SELECT k, d, v / n AS v FROM p0 JOIN pn USING (k)), s AS (SELECT x.vec_id, p.k, sum(x.v * p.v) AS s FROM x JOIN p USING (d) GROUP BY 1, 2),
 a AS (SELECT vec_id, k FROM s QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, k) = 1)"""
 
 
 @query(f"WITH {ONE_STEP}, m AS (SELECT k, d, avg(v) AS v FROM x JOIN a USING (vec_id) GROUP BY 1, 2), mn AS (SELECT k, sqrt(sum(v * v)) + 1e-8 AS n FROM m GROUP BY 1) SELECT CAST(k AS INTEGER) AS k, d, v / n AS v FROM m JOIN mn USING (k)", "v")
 def t01_spherical_kmeans_step(d: Data) -> DataFrame:
-    found, _ = K.spherical_kmeans(d.tokens, 6, 1)
+    found, _ = K.spherical_kmeans(d.tokens, 64, 1)
     return found.select("k", F.posexplode("centroid").alias("d", "v"))
 
 
 @query()
 def t01_spherical_kmeans(d: Data) -> DataFrame:
-    _, assigned = K.spherical_kmeans(d.tokens, 8, 10)
+    _, assigned = K.spherical_kmeans(d.tokens, 64, 50)
     return assigned.select("token_id", "proto", "similarity")
 
 
 @query()
 def t02_fit_assign(d: Data) -> DataFrame:
-    _, assigned = K.fit_assign(d.tokens, d.cohort.where("patient_id % 5 <> 0"), 6, 5)
+    _, assigned = K.fit_assign(d.tokens, d.cohort.where("patient_id % 5 <> 0"), 64, 50)
     return assigned.select("token_id", "proto", "fitted")
 
 
@@ -81,9 +81,9 @@ def t05_append_clinical(d: Data) -> DataFrame:
 
 @query("""WITH c AS (SELECT quality AS label, count(*) AS c, sum(count(*)) OVER () AS n FROM labels GROUP BY 1), q AS (SELECT *, ceil(0.2::DOUBLE * n) AS want, ceil(0.2::DOUBLE * n) * c / n AS q FROM c), f AS (SELECT *, floor(q) AS fl, want - sum(floor(q)) OVER () AS rest FROM q),
 t AS (SELECT label, fl + CASE WHEN row_number() OVER (ORDER BY fl - q, label) <= rest THEN 1 ELSE 0 END AS take FROM f)
-SELECT d.repeat_id, d.patient_id, d.label, d.rn <= t.take AS is_test FROM draws d JOIN t USING (label) WHERE d.repeat_id < 5""")
+SELECT d.repeat_id, d.patient_id, d.label, d.rn <= t.take AS is_test FROM draws d JOIN t USING (label)""")
 def t06_stratified_repeats(d: Data) -> DataFrame:
-    return S.stratified_repeats(d.labels.select(F.col("doc_id").alias("patient_id"), F.col("quality").alias("label")), 5)
+    return S.stratified_repeats(d.labels.select(F.col("doc_id").alias("patient_id"), F.col("quality").alias("label")), REPEATS)
 
 
 @query("SELECT doc_id AS patient_id, CAST((row_number() OVER (PARTITION BY quality ORDER BY md5(concat(CAST(doc_id AS VARCHAR), '|42')), doc_id) - 1) % 5 AS INTEGER) AS fold FROM labels")
@@ -151,17 +151,17 @@ def t18_eval_summary(d: Data) -> DataFrame:
 
 @query()
 def t19_kfold_select(d: Data) -> DataFrame:
-    return H.kfold_select(features(d), [("logistic_l2", {"c": 0.1}), ("logistic_l2", {"c": 1.0})], 3)
+    return H.kfold_select(features(d), [("logistic_l2", {"c": 0.1}), ("logistic_l2", {"c": 1.0})], 5)
 
 
 @query()
 def t20_refit_and_test(d: Data) -> DataFrame:
-    return H.refit_and_test(features(d), "patient_id % 3 <> 0", "logistic_l2", {"c": 1.0}, 20)
+    return H.refit_and_test(features(d), "patient_id % 3 <> 0", "logistic_l2", {"c": 1.0}, 2000)
 
 
 @query()
 def t21_grid_search(d: Data) -> DataFrame:
-    best = H.grid_search(features(d), "logistic_l2", [{"c": 0.01}, {"c": 1.0}], 2)
+    best = H.grid_search(features(d), "logistic_l2", [{"c": 0.01}, {"c": 1.0}], 5)
     rows = H.with_vector(S.standardise(features(d), "true"))
     return H.fit_head(rows, "logistic_l2", **best)[1](rows).select("patient_id", F.lit(best["c"]).alias("c"), "score")
 
@@ -177,9 +177,10 @@ def t23_stack_features(d: Data) -> DataFrame:
     return H.stack_features(predictions(d).where("repeat_id < 2"), doc_cohort(d)).select("repeat_id", "patient_id", "is_test", "stacked")
 
 
-@query()
+@query("""WITH p AS (SELECT repeat_id, patient_id, (prob_a + prob_b) / 2 AS prob FROM preds), m AS (SELECT patient_id, avg(prob) AS m FROM p GROUP BY 1)
+SELECT r.repeat_id, l.doc_id AS patient_id, p.prob IS NOT NULL AS is_test, coalesce(p.prob, m.m, (SELECT avg(prob) FROM p)) AS stacked FROM labels l CROSS JOIN (SELECT DISTINCT repeat_id FROM p) r LEFT JOIN p ON p.repeat_id = r.repeat_id AND p.patient_id = l.doc_id LEFT JOIN m ON m.patient_id = l.doc_id""", "stacked")
 def t23_stack_features_whole(d: Data) -> DataFrame:
-    """All repeats; the SQL above covers two."""
+    """All repeats; the query above covers two."""
     return H.stack_features(predictions(d), doc_cohort(d)).select("repeat_id", "patient_id", "is_test", "stacked")
 
 
@@ -207,7 +208,7 @@ def t26_coef_table(d: Data) -> DataFrame:
 
 @query()
 def t27_pooling_ablation(d: Data) -> DataFrame:
-    return H.pooling_ablation({"mean": P.pool(d.tokens, "mean"), "std": P.pool(d.tokens, "std")}, d.cohort, [("logistic_l2", {"c": 1.0})], 2)
+    return H.pooling_ablation({"mean": P.pool(d.tokens, "mean"), "std": P.pool(d.tokens, "std")}, d.cohort, [("logistic_l2", {"c": 1.0})], REPEATS)
 
 
 @query()
@@ -218,7 +219,7 @@ def t28_coef_repeat_matrix(d: Data) -> DataFrame:
 @query()
 def t29_batch_from_settings(d: Data) -> DataFrame:
     settings = d.tokens.select(F.lit("std").alias("pooling")).distinct().select(F.concat(F.lit("run_"), "pooling").alias("tag"), "pooling", F.lit("logistic_l2").alias("model"), F.lit(1.0).alias("c"))
-    return H.batch_from_settings(settings, {"std": P.pool(d.tokens, "std")}, d.cohort, 2)
+    return H.batch_from_settings(settings, {"std": P.pool(d.tokens, "std")}, d.cohort, REPEATS)
 
 
 @query("""WITH r AS (SELECT c_nationkey AS source, avg(c_acctbal) AS roc_mean FROM customer WHERE c_nationkey % 4 <> 0 GROUP BY 1), p AS (SELECT s_nationkey AS source, avg(s_acctbal) AS pr_mean FROM supplier GROUP BY 1), x AS (SELECT n_nationkey AS source, n_name AS position FROM nation)
@@ -231,7 +232,7 @@ def t30_merge_summaries(d: Data) -> DataFrame:
 
 @query()
 def m22_label_shuffle_null(d: Data) -> DataFrame:
-    return H.label_shuffle_null(features(d), "patient_id % 3 <> 0", "logistic_l2", {"c": 1.0}, 5)
+    return H.label_shuffle_null(features(d), "patient_id % 3 <> 0", "logistic_l2", {"c": 1.0}, 200)
 
 
 @query("SELECT regr_slope(score_a / 1000, score_b) AS slope FROM scores", "slope")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: $HOURS: a timestamp's microseconds; $U(x): a number in [0, 1] from the md5 of a string; $GRID: ten repeat numbers; $TEXT: the string type.
+#: $HOURS: a timestamp's microseconds; $U(x): a number in [0, 1] from the md5 of a string; $GRID: a hundred repeat numbers; $TEXT: the string type.
 VIEWS = {
     "tokens": "SELECT vec_id AS token_id, vec_id % 25 AS patient_id, CAST((vec_id - vec_id % 25) / 25 AS BIGINT) AS slice_index, CAST((vec_id - vec_id % 25) / 25 AS DOUBLE) * CAST(1.5 AS DOUBLE) + CAST(vec_id % 7 AS DOUBLE) * CAST(0.1 AS DOUBLE) AS z_mm, CASE WHEN vec_id % 11 = 0 THEN 0 ELSE 1 END AS mask, CAST(label AS BIGINT) AS cluster_id, embedding FROM embeddings",
     "grid_tokens": "SELECT vec_id AS token_id, vec_id % 5 AS patient_id, CAST((vec_id - vec_id % 80) / 80 AS BIGINT) AS slice_index, CAST((vec_id % 80 - vec_id % 5) / 5 AS BIGINT) AS spatial_flat_idx, 4 AS grid_h, 4 AS grid_w, CAST(label AS BIGINT) AS cluster_id, embedding FROM embeddings",
@@ -31,11 +31,11 @@ def _dialect(text: str, hours: str, u: str, grid: str, kind: str) -> str:
 
 
 def spark_sql(text: str) -> str:
-    return _dialect(text.replace("$HOURS(", "timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', "), "", "(CAST(conv(substr(md5($X), 1, 8), 16, 10) AS DOUBLE) / CAST(4294967295 AS DOUBLE))", "(SELECT CAST(id AS INT) AS r FROM range(10)) g", "STRING")
+    return _dialect(text.replace("$HOURS(", "timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', "), "", "(CAST(conv(substr(md5($X), 1, 8), 16, 10) AS DOUBLE) / CAST(4294967295 AS DOUBLE))", "(SELECT CAST(id AS INT) AS r FROM range(100)) g", "STRING")
 
 
 def duck_sql(text: str) -> str:
-    return _dialect(text, "epoch_us", "(CAST(('0x' || substr(md5($X), 1, 8))::BIGINT AS DOUBLE) / CAST(4294967295 AS DOUBLE))", "(SELECT CAST(range AS INT) AS r FROM range(10)) g", "VARCHAR")
+    return _dialect(text, "epoch_us", "(CAST(('0x' || substr(md5($X), 1, 8))::BIGINT AS DOUBLE) / CAST(4294967295 AS DOUBLE))", "(SELECT CAST(range AS INT) AS r FROM range(100)) g", "VARCHAR")
 
 
 class Data:

@@ -17,6 +17,8 @@ from .storage import stored
 
 #: Distinct vectors of a cell before copies, on average; most pivots; vectors of a block.
 CELL, PIVOTS, SIDE = 4096, 256, 4096
+#: Left vectors of a block compared at once.
+STEP = 256
 #: Slack of distances, and of cosines in single precision, so that rounding loses no pair.
 NEAR, ROUGH = 1e-6, 1e-4
 
@@ -52,7 +54,7 @@ def metric_join(vectors: DataFrame, cosine: float, cell: int = CELL, side: int =
     base = dict(zip(sorted(pivots), np.cumsum([0, *(len(pivots[s]) for s in sorted(pivots))]).tolist()))
 
     def assign(batches):
-        """(cell, own, node, many, size, vector) for each cell within reach of each vector."""
+        """(own, cells, node, many, vector): the cell of each vector, and all cells within its reach."""
         for batch in batches:
             names, size, many, raw = (np.array(batch.column(i).to_pylist(), object) for i in range(4))
             for s in set(size.tolist()):
@@ -60,13 +62,14 @@ def metric_join(vectors: DataFrame, cosine: float, cell: int = CELL, side: int =
                 for at in range(0, len(mine), 1024):
                     some = mine[at : at + 1024]
                     own, near = cells_of(unit(raw[some].tolist()), pivots[s], reach)
-                    row, cell_ = np.nonzero(near)
-                    yield pa.RecordBatch.from_arrays([pa.array(cell_ + base[s], pa.int32()), pa.array(cell_ == own[row]), pa.array(names[some][row].tolist(), pa.int64()), pa.array(many[some][row].tolist(), pa.int64()), pa.array(raw[some][row].tolist(), pa.binary())], names=["cell", "own", "node", "many", "vector"])
-
-    placed = vectors.select("node", "size", "many", "vector").mapInArrow(assign, "cell int, own boolean, node long, many long, vector binary")
-    counts = {r.cell: (r.own_n, r.n) for r in placed.groupBy("cell").agg(F.sum(F.col("own").cast("int")).alias("own_n"), F.count("*").alias("n")).collect()}
-    blocks = spark.createDataFrame([(c, -(-own // side), -(-n // side)) for c, (own, n) in counts.items() if own], "cell int, owners int, members int")
-    dealt = placed.join(F.broadcast(blocks), "cell")  # a row per pivot
+                    edges = np.r_[0, np.cumsum(near.sum(axis=1))]
+                    cells = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(np.nonzero(near)[1] + base[s], pa.int32()))
+                    yield pa.RecordBatch.from_arrays([pa.array(own + base[s], pa.int32()), cells, pa.array(names[some].tolist(), pa.int64()), pa.array(many[some].tolist(), pa.int64()), pa.array(raw[some].tolist(), pa.binary())], names=["mine", "cells", "node", "many", "vector"])
+
+    placed = stored(vectors.select("node", "size", "many", "vector").mapInArrow(assign, "mine int, cells array<int>, node long, many long, vector binary"), "placed")
+    counts = placed.select("mine", F.explode("cells").alias("cell")).groupBy("cell").agg(F.count_if(F.col("mine") == F.col("cell")).alias("own_n"), F.count("*").alias("n")).collect()  # a row per pivot
+    blocks = spark.createDataFrame([(r.cell, -(-r.own_n // side), -(-r.n // side)) for r in counts if r.own_n], "cell int, owners int, members int")
+    dealt = placed.select(F.explode("cells").alias("cell"), "mine", "node", "many", "vector").withColumn("own", F.col("mine") == F.col("cell")).join(F.broadcast(blocks), "cell")
     left = dealt.where("own").select("cell", F.expr("cast(pmod(xxhash64(node), owners) as int)").alias("i"), F.explode(F.expr("sequence(0, members - 1)")).alias("j"), F.lit(True).alias("left"), "node", "many", "vector")
     right = dealt.select("cell", F.explode(F.expr("sequence(0, owners - 1)")).alias("i"), F.expr("cast(pmod(xxhash64(node, 7), members) as int)").alias("j"), F.lit(False).alias("left"), "node", "many", "vector")
     schema = pa.schema([("node", pa.int64()), ("links", pa.int64()), ("low", pa.int64())])
@@ -80,20 +83,24 @@ def metric_join(vectors: DataFrame, cosine: float, cell: int = CELL, side: int =
             return schema.empty_table()
         x, y = unit(raw[a].tolist()), unit(raw[b].tolist())
         x4, y4 = x.astype(np.float32), y.astype(np.float32)
-        links, pairs = np.zeros(len(a), np.int64), []
-        for at in range(0, len(a), 512):
-            row, col = np.nonzero(x4[at : at + 512] @ y4.T >= cosine - ROUGH)
-            row += at
-            exact = (np.einsum("ij,ij->i", x[row], y[col]) >= cosine) & (node[a[row]] != node[b[col]])
-            row, col = row[exact], col[exact]
-            np.add.at(links, row, many[b[col]])
-            pairs.append(np.stack([row, len(a) + col]))
-        row, col = np.concatenate(pairs, axis=1)
-        names, at = np.unique(np.r_[node[a], node[b]], return_inverse=True)
-        low = names[roots(len(names), at[row], at[col])]
-        linked = np.unique(at[np.r_[row, col]])
-        got = np.zeros(len(names), np.int64)
-        np.add.at(got, at[: len(a)], links)
+        names, place = np.unique(np.r_[node[a], node[b]], return_inverse=True)
+        left_at, right_at = place[: len(a)], place[len(a) :]
+        slack = max(ROUGH, 2 * x.shape[1] * 2.0**-23)
+        got, root, linked = np.zeros(len(names), np.int64), np.arange(len(names)), np.zeros(len(names), bool)
+        for at in range(0, len(a), STEP):
+            rough = x4[at : at + STEP] @ y4.T
+            near = rough >= cosine + slack
+            row, col = np.nonzero(~near & (rough >= cosine - slack))  # only these need double precision
+            for i in range(0, len(row), 1 << 16):
+                r, c = row[i : i + (1 << 16)], col[i : i + (1 << 16)]
+                near[r, c] = np.einsum("ij,ij->i", x[at + r], y[c]) >= cosine
+            near &= node[a[at : at + STEP], None] != node[b]
+            got[left_at[at : at + STEP]] += (near @ many[b].astype(np.float64)).astype(np.int64)
+            row, col = np.nonzero(near)
+            row, col = left_at[at + row], right_at[col]
+            linked[row] = linked[col] = True
+            root = roots(len(names), np.r_[np.arange(len(names)), row], np.r_[root, col])
+        low, linked = names[root], np.flatnonzero(linked)
         return pa.table([pa.array(names[linked]), pa.array(got[linked]), pa.array(low[linked])], schema=schema)
 
     found = stored(left.unionByName(right).groupBy("cell", "i", "j").applyInArrow(join, "node long, links long, low long"), "links")

@@ -29,6 +29,8 @@ from .words import U, codes, mixed, rolling, split_words
 BASE = 0xA0761D6478BD642F
 #: Documents of a block, and fragments, in the counting of overlaps.
 SIDE, FRAGMENTS = 512, 4
+#: A set's 128-bit name in hex digits.
+NODE = "S32"
 
 
 def shingles(text: bytes | None, n: int) -> np.ndarray:
@@ -131,9 +133,9 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
 
 
 def linked_sets(sets: DataFrame, percent: int) -> DataFrame:
-    """(node, component) of the candidate sets (name, n, shingles, keys) that link with a different set; nodes are int64."""
+    """(node, component) of the candidate sets (name, n, shingles, keys) that link with a different set; a node is a name in hex digits."""
     spark = sets.sparkSession
-    rows = sets.dropDuplicates(["name"]).select(F.expr("cast(conv(substr(hex(name), 1, 16), 16, -10) as long)").alias("node"), "n", "shingles", "keys")
+    rows = sets.dropDuplicates(["name"]).select(F.lower(F.hex("name")).alias("node"), "n", "shingles", "keys")
     rows = stored(rows, "candidates")
     held = rows.select("node", F.explode("keys").alias("key"))
     low = held.groupBy("key").agg(F.min("node").alias("low"))
@@ -153,7 +155,7 @@ def linked_sets(sets: DataFrame, percent: int) -> DataFrame:
     groups = max(parallelism(spark), 1) * 16
     units = pairs.mapInArrow(cut, pairs.schema).withColumn("unit", F.expr(f"if(i + j = 0, pmod(xxhash64(component, fragment), {groups}), xxhash64(component, i, j, fragment) | {1 << 62})"))
 
-    out = "component long, i int, j int, left_nodes binary, left_n binary, right_nodes binary, right_n binary, counts binary"
+    out = "component string, i int, j int, left_nodes binary, left_n binary, right_nodes binary, right_n binary, counts binary"
 
     def count(table: pa.Table) -> pa.Table:
         """Partial overlaps within the fragment, one matrix for each cluster and pair of blocks in the unit."""
@@ -170,9 +172,9 @@ def linked_sets(sets: DataFrame, percent: int) -> DataFrame:
             left.sort(key=lambda r: r[0])
             right.sort(key=lambda r: r[0])
             counts = overlaps([r[2] for r in left], [r[2] for r in right]).astype(np.int32)
-            names = {f"{side}_{what}": np.array([r[k] for r in side_rows], np.int64).tobytes() for side, side_rows in (("left", left), ("right", right)) for k, what in ((0, "nodes"), (1, "n"))}
+            names = {f"{side}_{what}": np.array([r[k] for r in side_rows], kind).tobytes() for side, side_rows in (("left", left), ("right", right)) for k, what, kind in ((0, "nodes", NODE), (1, "n", np.int64))}
             rows.append({"component": component, "i": i, "j": j, **names, "counts": counts.tobytes()})
-        return pa.Table.from_pylist(rows, pa.schema([("component", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), *((c, pa.binary()) for c in ("left_nodes", "left_n", "right_nodes", "right_n", "counts"))]))
+        return pa.Table.from_pylist(rows, pa.schema([("component", pa.string()), ("i", pa.int32()), ("j", pa.int32()), *((c, pa.binary()) for c in ("left_nodes", "left_n", "right_nodes", "right_n", "counts"))]))
 
     partial = units.groupBy("unit").applyInArrow(count, out)
 
@@ -185,16 +187,16 @@ def linked_sets(sets: DataFrame, percent: int) -> DataFrame:
             found[key] = (row, found[key][1] + sums if key in found else sums)
         edges = []
         for row, sums in found.values():
-            a, na, b, nb = (np.frombuffer(row[c], np.int64) for c in ("left_nodes", "left_n", "right_nodes", "right_n"))
+            a, na, b, nb = (np.frombuffer(row[c], kind) for c, kind in (("left_nodes", NODE), ("left_n", np.int64), ("right_nodes", NODE), ("right_n", np.int64)))
             both = sums.reshape(len(a), len(b)).astype(np.int64)
             x, y = np.nonzero((100 + percent) * both >= percent * (na[:, None] + nb[None, :]))
             names, at = np.unique(np.r_[a, b], return_inverse=True)
             root = roots(len(names), at[x], at[len(a) + y])
             moved = np.flatnonzero(root != np.arange(len(names)))
             edges += zip(names[moved].tolist(), names[root[moved]].tolist())
-        return pa.table({"u": pa.array([e[0] for e in edges], pa.int64()), "v": pa.array([e[1] for e in edges], pa.int64())})
+        return pa.table({"u": pa.array([e[0].decode() for e in edges], pa.string()), "v": pa.array([e[1].decode() for e in edges], pa.string())})
 
-    edges = partial.withColumn("unit", F.expr(f"if(i + j = 0, pmod(xxhash64(component), {groups}), xxhash64(component, i, j) | {1 << 62})")).groupBy("unit").applyInArrow(total, "u long, v long")
+    edges = partial.withColumn("unit", F.expr(f"if(i + j = 0, pmod(xxhash64(component), {groups}), xxhash64(component, i, j) | {1 << 62})")).groupBy("unit").applyInArrow(total, "u string, v string")
     return components(edges)
 
 
@@ -260,7 +262,7 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     sets = stored(blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(second, "hash binary, name binary, n long, shingles binary, keys array<long>"), "sets")
     found = linked_sets(sets.where("keys is not null"), percent)
 
-    named = sets.select("hash", "n", "name", F.expr("cast(conv(substr(hex(name), 1, 16), 16, -10) as long)").alias("node"))
+    named = sets.select("hash", "n", "name", F.lower(F.hex("name")).alias("node"))
     least = rows.groupBy("hash").agg(F.min("id").alias("least_id"))
     group = named.join(least, "hash").join(found, "node", "left").select("hash", "n", "name", "least_id", F.coalesce("component", "node").alias("group_key"))
     lowest = group.where("name is not null").groupBy("group_key").agg(F.min("least_id").alias("component_id"))

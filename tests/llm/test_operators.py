@@ -105,6 +105,45 @@ def test_quality(spark):
     assert kept.columns == d.columns and {r.doc_id for r in kept.collect() if r.doc_id is not None and r.doc_id < len(texts)} == {i for i, q in enumerate(y) if q}
 
 
+def test_quality_sums_against_one_solve(spark):
+    rng = np.random.default_rng(4)
+    x, fold = rng.normal(size=(200, quality.WIDTH)), rng.integers(0, quality.FOLDS, 200)
+    y = (x[:, 0] > 0).astype(int)
+    sample = spark.createDataFrame([(r.tolist(), int(a), int(f)) for r, a, f in zip(x, y, fold)], "x array<double>, y int, fold int").repartition(7)
+    middle, scale = np.zeros(quality.WIDTH), np.ones(quality.WIDTH)
+    weights, points, values = quality.train(sample, middle, scale, 1.0)
+    z = quality.fourier(x, middle, scale)
+    for k, w in enumerate(weights):  # the last is of all rows
+        mine = fold != k
+        want = np.linalg.solve(z[mine].T @ z[mine] + np.eye(z.shape[1]), z[mine].T @ y[mine])
+        assert np.allclose(w, want, atol=1e-6)
+    assert (np.diff(points) > 0).all() and (np.diff(values) >= 0).all()
+
+
+def test_labels_that_clash_count_as_one(spark):
+    texts, y = train_texts()
+    d = docs(spark, texts)
+    plain = [(i, q, 1 - q) for i, q in enumerate(y)]
+    clash = [(i, 0, 0) for i, q in enumerate(y) if q and i % 3 == 0]
+    for run in (quality.quality_scores, toxicity.toxicity_scores):
+        tables = [spark.createDataFrame(rows, "doc_id long, quality int, toxic int") for rows in (plain, plain + plain[::2])]
+        one, two = ({r.doc_id: r.score for r in run(d, t).collect()} for t in tables)
+        assert one == two
+    both = {r.doc_id: r.score for r in quality.quality_scores(d, spark.createDataFrame(clash + plain, "doc_id long, quality int, toxic int")).collect()}
+    assert both == {r.doc_id: r.score for r in quality.quality_scores(d, spark.createDataFrame(plain, "doc_id long, quality int, toxic int")).collect()}
+
+
+def test_embeddings_of_repeated_and_null_ids_and_many_copies(spark):
+    rng = np.random.default_rng(7)
+    base = rng.normal(size=24)
+    near = base + rng.normal(size=(700, 24)) * 0.01
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(near)] + [(3, near[3].tolist()), (None, near[5].tolist()), (9000, rng.normal(size=24).tolist())], "vec_id long, embedding array<double>")
+    got = neighbours.embedding_dedup(rows, cell=100, side=64).collect()
+    assert len(got) == 703
+    assert {r.n_links for r in got if r.vec_id is not None and r.vec_id < 700} == {700} and {r.component_id for r in got if r.vec_id is not None and r.vec_id < 700} == {0}
+    assert [(r.n_links, r.component_id) for r in got if r.vec_id is None] == [(0, None)] and [(r.n_links, r.component_id) for r in got if r.vec_id == 9000] == [(0, 9000)]
+
+
 def test_isotonic():
     assert quality.isotonic(np.array([0.0, 0.5, 0.2, 1.0]), np.array([1.0, 1, 1, 1])).tolist() == [0.0, 0.35, 0.35, 1.0]
 

@@ -128,7 +128,7 @@ LEARN = "crc32(cast(cast(id as string) as binary)) % 5 <> 0"
 
 def quality_model(base: DataFrame, labels: DataFrame, learn: str, most_labelled: int, ridge: float, id_col: str, label_col: str):
     """A function from statistics (rows of a matrix) to scores, learned from the labels of rows that `learn` allows."""
-    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("y in (0, 1)").where(learn).dropDuplicates(["id"])
+    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("y in (0, 1)").where(learn).groupBy("id").agg(F.max("y").alias("y"))
     n, up = known.agg(F.count("*"), F.sum("y")).first()
     share = up / n if n else 0.5
     constant = lambda x: np.full(len(x), share)
@@ -151,8 +151,9 @@ def quality_scores(docs: DataFrame, labels: DataFrame, learn: str = LEARN, most_
     Returns the id, held_out (not among the rows that `learn` allows for learning), score (0 to 1, higher: label 1
     likelier) and predicted (1 if score >= cut). Labels are learned from at most about most_labelled allowed rows, chosen by
     a hash of the id; nothing but the text enters a score. Null and empty texts get a score like others; without labels
-    of both kinds every score is the share of label 1, or 0.5; a null id is held out; repeated rows get equal scores;
-    other columns are ignored; no rows in, no rows out.
+    of both kinds every score is the share of label 1, or 0.5; an id with both labels counts as label 1, and all its rows
+    are learned from; labels other than 0 and 1 are left out; a null id is held out; repeated rows get equal scores; other
+    columns are ignored; no rows in, no rows out.
 
     Statistics are taken in one pass and stored. Normal equations are sums over partitions, one for each fold, added in two
     levels; isotonic regression runs on bins of scores that the other folds give.

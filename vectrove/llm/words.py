@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from xxhash import xxh3_64_intdigest
 
 U = np.uint64
@@ -16,6 +17,7 @@ def in_use(cache) -> None:
     if not _IN_USE or _IN_USE[0] is not cache:
         for other in _IN_USE:
             other.clear()
+            pa.default_memory_pool().release_unused()
         _IN_USE[:] = [cache]
 
 

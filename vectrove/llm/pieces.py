@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
-from itertools import repeat
+from itertools import compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +17,7 @@ _RARE = re.compile(r"[\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u20
 _SAFE = re.compile(rf"(?<=[^{SPACE}]) (?=[^{SPACE}])")
 
 #: Characters of text worked on at once; characters and pieces that a worker keeps.
-SLICE, CHARACTERS, PIECES = 3_000_000, 8_000_000, 600_000
+SLICE, CHARACTERS, PIECES = 3_000_000, 8_000_000, 800_000
 
 
 def keys(text: str) -> list[str]:
@@ -53,6 +53,11 @@ def runs(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return flat[np.repeat(start - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
 
 
+def lengths(texts: list[str]) -> np.ndarray:
+    """The number of characters of each."""
+    return np.fromiter(map(len, texts), np.int64, len(texts))
+
+
 def tame(piece: str) -> bool:
     """Whether the piece may follow another in one text without a match across the border."""
     return piece[0] == " " and not piece[-1].isspace() and not piece[1].isspace()
@@ -71,7 +76,7 @@ def slices(texts: list[str | None]):
 
 
 class Known:
-    """Ids of the pieces that a worker has met, within CHARACTERS and PIECES; emptied when full, so results never depend on it.
+    """Ids of the pieces that a worker has met, within CHARACTERS and PIECES; thinned out when full, so results never depend on it.
 
     `encode` takes distinct matches of the pattern and returns all their ids in one array and the number for each.
     """
@@ -83,14 +88,31 @@ class Known:
     def clear(self) -> None:
         self.at: dict[str, int] = {}
         self.flat, self.start, self.size = np.empty(1 << 16, np.uint32), np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
+        self.met = np.zeros(1 << 14, np.int32)  # the slices that met a piece
         self.used = self.held = 0
 
+    def _thin(self) -> None:
+        """Forget the pieces that fewest slices have met, so that half the room is free again; those met once always go."""
+        names, met, least = list(self.at), self.met[: len(self.at)], 2
+        length = lengths(names)
+        while True:
+            stay = np.flatnonzero(met >= least)
+            if 2 * len(stay) <= PIECES and 2 * length[stay].sum() <= CHARACTERS:
+                break
+            least *= 2
+        kept, ids, sizes, met = [names[i] for i in stay.tolist()], runs(self.flat, self.start[stay], self.size[stay]), self.size[stay], met[stay] // 2
+        self.clear()
+        if kept:
+            self._keep(kept, ids, sizes)
+            self.met[: len(kept)] = met
+
     def _keep(self, names: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
         n, m = len(self.at), len(names)
         while len(self.flat) < self.used + len(ids):
             self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
         while len(self.start) < n + m:
             self.start, self.size = np.concatenate([self.start, np.empty_like(self.start)]), np.concatenate([self.size, np.empty_like(self.size)])
+            self.met = np.concatenate([self.met, np.zeros_like(self.met)])
         self.flat[self.used : self.used + len(ids)] = ids
         self.size[n : n + m] = sizes
         self.start[n : n + m] = self.used + np.cumsum(sizes) - sizes
@@ -100,26 +122,26 @@ class Known:
 
     def _learn(self, new: list[str]) -> None:
         """Encode new pieces by their matches; pieces that allow it are searched for them as one text."""
-        joint = [k for k in new if k[0] != " " and not k[-1].isspace()]
+        joint, lone = [], []
+        for k in new:
+            (lone if k[0] == " " or k[-1].isspace() else joint).append(k)
         found = self.find(" " + " ".join(joint)) if joint else []
-        ends, wanted = np.cumsum([len(w) for w in found]), np.cumsum([len(k) + 1 for k in joint])
+        ends, wanted = np.cumsum(lengths(found)), np.cumsum(lengths(joint) + 1)
         if not joint or not found or ends[-1] != wanted[-1]:  # a pattern that leaves something out is applied to each alone
-            joint, many = [], np.empty(0, np.int64)
+            joint, lone, many = [], new, np.empty(0, np.int64)
         else:
             many = np.diff(np.searchsorted(ends, wanted), prepend=-1)
         begun = np.cumsum(many) - many
-        plain = [k for k, n in zip(joint, many.tolist()) if n == 1]
         split = np.flatnonzero(many != 1)
-        parted = [(joint[i], found[b:e]) for i, b, e in zip(split.tolist(), begun[split].tolist(), (begun + many)[split].tolist())]
-        done = set(joint)
-        parted += [(k, self.find(spelled(k))) for k in new if k not in done]
-        words = dict.fromkeys(plain)
-        words.update((k, None) for _, some in parted for w in some if (k := named(w)) not in self.at)
+        parted = [(joint[i], list(map(named, found[b:e]))) for i, b, e in zip(split.tolist(), begun[split].tolist(), (begun + many)[split].tolist())]
+        parted += [(k, list(map(named, self.find(spelled(k))))) for k in lone]
+        words = dict.fromkeys(compress(joint, (many == 1).tolist()))
+        words.update((w, None) for _, some in parted for w in some if w not in self.at)
         if words:
             self._keep(list(words), *self.encode([spelled(k) for k in words]))
         parted = [(k, some) for k, some in parted if k not in self.at]
         if parted:
-            where = np.array([self.at[named(w)] for _, some in parted for w in some], np.int64)
+            where = np.array([self.at[w] for _, some in parted for w in some], np.int64)
             ends = np.cumsum([len(some) for _, some in parted])
             total = np.r_[0, np.cumsum(self.size[where])]
             self._keep([k for k, _ in parted], runs(self.flat, self.start[where], self.size[where]), np.diff(total[ends], prepend=0))
@@ -132,12 +154,13 @@ class Known:
         met = pa.array([k for c in cut for k in c], pa.large_string()).dictionary_encode()
         names = met.dictionary.to_numpy(zero_copy_only=False).tolist()
         if self.held > CHARACTERS or len(self.at) > PIECES:
-            self.clear()
+            self._thin()
         where = np.fromiter(map(self.at.get, names, repeat(-1)), np.int64, len(names))
         new = np.flatnonzero(where < 0)
         if len(new):
             self._learn([names[i] for i in new])
             where[new] = [self.at[names[i]] for i in new]
+        self.met[where] += 1
         which = where[met.indices.to_numpy()]
         sizes = self.size[which]
         total = np.r_[0, np.cumsum(sizes)]

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, jaccard, media, neighbours, packing, quality, quotes, substring, toxicity, warc
+from . import bpe, jaccard, language, media, negatives, neighbours, packing, quality, quotes, substring, toxicity, warc, whitening
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,16 +50,32 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import functions as F
-
     found = quotes.link_quotes(quotes.with_quotes(table(spark, sf_dir, "conversations")))
     return found.select("conv_id", "turn", "role", "reply_to", "thread", "position", "n_quotes", F.sha2("text", 256).alias("text_sha256"), F.sha2("formatted", 256).alias("formatted_sha256"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whiten(table(spark, sf_dir, "embeddings"), components=8)
+    # null where the exact number does not fit a long, which takes millions of vectors
+    return found.withColumn("deviation", F.expr("try_cast(deviation as long)"))
+
+
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.predict_language(table(spark, sf_dir, "documents"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return negatives.hard_negatives(rows.withColumn("label", F.expr("if(vec_id % 7 = 0, (label + 1) % 10, label)")), anchors="vec_id % 100 = 0")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_substring_dedup, op2_media_columns, op3_quality_classifier, op4_toxicity, op5_ngram_jaccard_join, op6_warc, op7_embedding_dedup, op8_best_fit_packing, op9_byte_bpe, op10_quotation_linking)
-}
+    for f in (
+        op1_substring_dedup, op2_media_columns, op3_quality_classifier, op4_toxicity, op5_ngram_jaccard_join, op6_warc, op7_embedding_dedup, op8_best_fit_packing, op9_byte_bpe, op10_quotation_linking,
+        op11_embedding_whitening, op12_language_id, op13_hard_negatives,
+    )
+}
 
 _REACH = """
 hop(a, b) AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
@@ -105,4 +122,11 @@ FROM embeddings""",
 SELECT conv_id, turn, role, lag(turn) OVER w AS reply_to, first_value(turn) OVER w AS thread, row_number() OVER w AS position, CAST(least(row_number() OVER w - 1, 2) AS BIGINT) AS n_quotes,
   sha256(coalesce(text, '')) AS text_sha256, sha256('<|' || coalesce(role, 'unknown') || '|>' || chr(10) || coalesce(text, '') || chr(10)) AS formatted_sha256
 FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""",
+    "op13_hard_negatives": """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, CAST(list_dot_product(a.e, b.e) AS BIGINT) AS score FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, s.id AS negative_id, positive_score, s.score AS negative_score FROM p JOIN s USING (anchor_id)
+WHERE NOT same AND 80 * positive_score <= 100 * s.score AND s.score <= positive_score WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.id) QUALIFY row_number() OVER w <= 5""",
 }

@@ -62,7 +62,7 @@ def test_resolve_ids_of_every_customer(spark, sf_dir):
         i = (r.c_name, r.c_name.upper(), r.c_name[:17])[r.c_custkey % 3]
         found = [(1, n) for n in names if n == i] + [(2, n) for n in names if n.lower() == i.lower()] + [(3, n) for n in names if n.startswith(i)]
         expected[i] = min(found)
-    got = catalog.queries()["j07_resolve_ids_whole"](spark, sf_dir).collect()
+    got = catalog.queries()["j07_resolve_ids"](spark, sf_dir).collect()
     assert len(got) == len(expected) and {r.id: (r.tier, r.match) for r in got} == expected
 
 
@@ -229,7 +229,7 @@ def test_stacks_take_every_repeat(spark, sf_dir):
     whole, ids = np.mean([s for _, _, s in preds]), [r.doc_id for r in d.labels.collect()]
     assert repeats == list(range(100))
     expected = {(r, p): ((r, p) in own, own.get((r, p), np.mean(mine[p]) if p in mine else whole)) for r in repeats for p in ids}
-    got = {(r.repeat_id, r.patient_id): (r.is_test, r.stacked) for r in catalog.queries()["t23_stack_features_whole"](spark, sf_dir).collect()}
+    got = {(r.repeat_id, r.patient_id): (r.is_test, r.stacked) for r in catalog.queries()["t23_stack_features"](spark, sf_dir).collect()}
     assert got.keys() == expected.keys()
     assert all(got[k][0] == t and math.isclose(got[k][1], s, abs_tol=2e-6) for k, (t, s) in expected.items())
 

@@ -5,7 +5,7 @@ sums are added by fit in two levels, and only a fit's own sums (of its number of
 takes the Newton step. So 100 splits of three heads take as many passes as one, each row is read once a pass, and a row is
 not copied for each split. Fits are taken some at a time, so that the sums stay below SUMS numbers.
 
-Objectives: C sum w loss + (1 - r) / 2 |b|^2 + r |b|_1, with balanced weights w = n / (2 n_class). Logistic heads leave their
+A fit that has not converged after PASSES passes is an error. Objectives: C sum w loss + (1 - r) / 2 |b|^2 + r |b|_1, with balanced weights w = n / (2 n_class). Logistic heads leave their
 intercept out of the penalty; the linear SVC has the squared hinge and penalises it. Rows are scaled by each split's training
 rows. A split whose training rows have one class gives NaN scores.
 """
@@ -35,6 +35,26 @@ class Fits:
     coef: np.ndarray
     intercept: np.ndarray
 
+    def decision(self, r: int, x: np.ndarray) -> np.ndarray:
+        """Linear scores of rows by every head of a split."""
+        return ((x - self.shift[r]) / self.width[r]) @ self.coef[r].T + self.intercept[r]
+
+    def score(self, r: int, x: np.ndarray) -> np.ndarray:
+        """Probabilities of logistic heads, decision values of linear SVCs."""
+        margin = self.decision(r, x)
+        for h, (kind, _) in enumerate(self.heads):
+            if kind != "linear_svc":
+                margin[:, h] = sigmoid(margin[:, h])
+        return margin
+
+
+class Unconverged(RuntimeError):
+    """A fit has not reached its optimum within the passes allowed."""
+
+
+def sigmoid(x: np.ndarray) -> np.ndarray:
+    return 0.5 * (1 + np.tanh(x / 2))
+
 
 def by_flag(df: DataFrame, flag: str, label: str = "label") -> DataFrame:
     """Rows of one split: training rows are those of the flag."""
@@ -68,7 +88,7 @@ def _members(batch: pa.RecordBatch):
 
 
 def added(rows: DataFrame, partial, add) -> dict[int, np.ndarray]:
-    """partial(batch) gives (group, numbers); all numbers of a group are brought together by add, first within SALT parts."""
+    """partial(batch) gives (group, numbers); all numbers of a group are brought together by add, first within SALT parts where more tasks have some."""
     schema = pa.schema([("g", pa.int32()), ("salt", pa.int32()), ("sums", pa.binary())])
 
     def sums(batches):
@@ -91,7 +111,10 @@ def added(rows: DataFrame, partial, add) -> dict[int, np.ndarray]:
         return pa.table({"g": [table["g"][0].as_py()], "salt": [table["salt"][0].as_py()], "sums": [total.tobytes()]}, schema=schema)
 
     ddl = "g int, salt int, sums binary"
-    parts = rows.mapInArrow(sums, ddl).groupBy("g", "salt").applyInArrow(merged, ddl).groupBy("g").applyInArrow(merged, ddl)
+    parts = rows.mapInArrow(sums, ddl)
+    if rows.rdd.getNumPartitions() > SALT:
+        parts = parts.groupBy("g", "salt").applyInArrow(merged, ddl)
+    parts = parts.groupBy("g").applyInArrow(merged, ddl)
     return {r.g: np.frombuffer(bytes(r.sums), np.float64) for r in parts.collect()}  # a row a group
 
 
@@ -121,7 +144,7 @@ def _loss(kind: str, margin: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.
         sign = 2.0 * y - 1
         gap = np.maximum(0, 1 - sign * margin)
         return gap**2, -2 * sign * gap, 2.0 * (gap > 0)
-    p = 0.5 * (1 + np.tanh(margin / 2))
+    p = sigmoid(margin)
     return np.logaddexp(0, margin) - y * margin, p - y, p * (1 - p)
 
 
@@ -148,11 +171,19 @@ def _step(b: np.ndarray, slope: np.ndarray, curve: np.ndarray, l1: np.ndarray, l
     return new
 
 
-def fit(rows: DataFrame, splits: int, heads: list[tuple[str, dict]], scale: str | None = "standard") -> Fits:
-    """Fit every head on every split. rows: features (array<double>), target (array<int>, one for each split, -1 outside training);
-    with a repeat_id column each row has one target and belongs to that split. scale: standard, minmax or None."""
-    columns = ["features", "target"] + ["repeat_id"] * ("repeat_id" in rows.columns)
-    rows = rows.select(*columns)
+@dataclass
+class Scaling:
+    """Per split: number of training rows and of positive ones, and the scale of each feature; spread is the variance of all scaled entries."""
+
+    n: np.ndarray
+    ones: np.ndarray
+    shift: np.ndarray
+    width: np.ndarray
+    spread: np.ndarray
+
+
+def scaling(rows: DataFrame, splits: int, scale: str | None) -> Scaling:
+    """One pass. scale: standard, minmax or None."""
     found = _moments(rows)
     if not found:
         raise ValueError("no training rows")
@@ -168,7 +199,27 @@ def fit(rows: DataFrame, splits: int, heads: list[tuple[str, dict]], scale: str
         shift, width = low, np.where(high > low, high - low, np.inf)
     else:
         shift, width = np.zeros((splits, d)), np.ones((splits, d))
-    usable = (ones > 0) & (ones < n)
+    middle = (mean - shift) / width
+    squares = spread / np.maximum(n, 1)[:, None] / width**2 + middle**2
+    return Scaling(n, ones, shift, width, squares.mean(axis=1) - middle.mean(axis=1) ** 2)
+
+
+def fit(rows: DataFrame, splits: int, heads: list[tuple[str, dict]], scale: str | None = "standard", parent: np.ndarray | None = None, first: int = 0) -> Fits:
+    """Fit every head on every split. rows: features (array<double>), target (array<int>, one for each split, -1 outside training);
+    with a repeat_id column each row has one target and belongs to that split. scale: standard, minmax or None. A split may
+    take the scale of another, its parent; splits before `first` are not fitted. Kinds outside LINEAR are an error, and so is a
+    fit that has not converged."""
+    for kind, _ in heads:
+        if kind not in LINEAR:
+            raise ValueError(f"not a linear head: {kind}")
+    columns = ["features", "target"] + ["repeat_id"] * ("repeat_id" in rows.columns)
+    rows = rows.select(*columns)
+    found = scaling(rows, splits, scale)
+    n, ones, shift, width = found.n, found.ones, found.shift, found.width
+    if parent is not None:
+        shift, width = shift[parent], width[parent]
+    d = shift.shape[1]
+    usable = (ones > 0) & (ones < n) & (np.arange(splits) >= first)
     coef, intercept = np.full((splits, len(heads), d), np.nan), np.full((splits, len(heads)), np.nan)
     fits = [(r, h) for r in range(splits) if usable[r] for h in range(len(heads))]
     at_once = max(1, SUMS // (d + 1) ** 2)
@@ -223,16 +274,18 @@ def _fit_some(rows, fits, heads, shift, width, n, ones, d):
         aim = _step(b[open_], slope[open_], curve[open_], l1[open_], l2[open_])
         tried[open_] = b[open_] + size[open_, None] * (aim - b[open_])
         done[open_] = np.abs(tried[open_] - b[open_]).max(axis=1) < ENOUGH
+    if not done.all():
+        raise Unconverged(f"{int((~done).sum())} of {len(done)} fits after {PASSES} passes")
     return b
 
 
-def scores(rows: DataFrame, fits: Fits, keep: list[str]) -> DataFrame:
+def scores(rows: DataFrame, fits, keep: list[str]) -> DataFrame:
     """(repeat_id, config, keep..., is_test, score) of every row for every fit, or of its own split's if it has a repeat_id.
 
-    The score of a logistic head is a probability, of a linear SVC the decision value.
+    fits has heads, and score(split, matrix) with a column for each of them: the score of a linear SVC is the decision value,
+    of other heads a probability.
     """
     own = "repeat_id" in rows.columns
-    kinds = [k for k, _ in fits.heads]
     names = [c for c in keep if c != "repeat_id"]
     types = [(c, rows.schema[c].dataType.simpleString()) for c in names]
     rows = rows.select(*names, "features", "target", *["repeat_id"] * own)
@@ -246,10 +299,9 @@ def scores(rows: DataFrame, fits: Fits, keep: list[str]) -> DataFrame:
                 for r in np.unique(mine) if own else range(target.shape[1]):
                     i = np.flatnonzero(mine == r) if own else np.arange(len(x))
                     test = target[i, 0 if own else r] < 0
-                    margin = ((x[i] - fits.shift[r]) / fits.width[r]) @ fits.coef[r].T + fits.intercept[r]
-                    for h, kind in enumerate(kinds):
-                        value = margin[:, h] if kind == "linear_svc" else 0.5 * (1 + np.tanh(margin[:, h] / 2))
-                        columns = [pa.array(np.full(len(i), r), pa.int32()), pa.array(np.full(len(i), h), pa.int32())] + [part.column(c).take(pa.array(i)) for c in names] + [pa.array(test), pa.array(value)]
+                    value = fits.score(int(r), x[i])
+                    for h in range(len(fits.heads)):
+                        columns = [pa.array(np.full(len(i), r), pa.int32()), pa.array(np.full(len(i), h), pa.int32())] + [part.column(c).take(pa.array(i)) for c in names] + [pa.array(test), pa.array(value[:, h])]
                         yield pa.RecordBatch.from_arrays(columns, names=["repeat_id", "config", *names, "is_test", "score"])
 
     ddl = ", ".join(["repeat_id int", "config int", *(f"{c} {t}" for c, t in types), "is_test boolean", "score double"])

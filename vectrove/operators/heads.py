@@ -1,39 +1,68 @@
 """Classifier heads, repeated evaluation, selection and stacking.
 
-Linear heads of all splits and settings are fitted together (see grouped); the Gaussian, calibrated and MLP heads are fitted
-split by split from a few threads, like a cross-validator's. Matrices stay distributed.
+Heads of all splits and settings are fitted together, linear ones in grouped, Gaussian and calibrated SVCs in kernels,
+perceptrons in perceptron. Matrices stay distributed.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
-from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
+import pandas as pd
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GeneralizedLinearRegression, LinearRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import grouped
+from . import grouped, kernels, perceptron
 from .metrics import best_per_group, both_areas, cv_summary, nan_summary, roc_auc, summary_stats
 from .ranks import numbered
 from .splits import standardise, stratified_folds, stratified_repeats
 
-THREADS = 4
+#: Most levels of a site in the confounder models.
+SITES = 500
 
 
 def with_vector(df: DataFrame, column: str = "features") -> DataFrame:
     return df.withColumn("vector", array_to_vector(F.col(column)))
 
 
-def _probability(model, df: DataFrame) -> DataFrame:
-    return model.transform(df).withColumn("score", vector_to_array("probability")[1])
+def with_inner_folds(df: DataFrame, key: str = "patient_id", label: str = "label") -> DataFrame:
+    """Adds fold, from which heads take the rows that they leave out of their own training rows."""
+    return stratified_folds(df, kernels.FOLD, 7, key, label)
+
+
+@dataclass
+class Together:
+    """Fits of heads of any kinds: per family, its places among the heads."""
+
+    heads: list[tuple[str, dict]]
+    parts: list[tuple[list[int], object]]
+
+    def score(self, r: int, x: np.ndarray) -> np.ndarray:
+        out = np.empty((len(x), len(self.heads)))
+        for places, fits in self.parts:
+            out[:, places] = fits.score(r, x)
+        return out
+
+
+def fit_heads(rows: DataFrame, splits: int, heads: list[tuple[str, dict]], scale: str | None = "standard") -> Together:
+    """Fit heads of any registered kinds on every split; rows as in grouped.fit, with a fold for kinds that are not linear."""
+    for kind, _ in heads:
+        if kind not in HEADS:
+            raise ValueError(f"unknown head: {kind}")
+    parts, families = [], {"calibrated_svc": lambda h: kernels.fit_calibrated(rows, splits, "calibrated_svc", h, scale), "rbf_svc": lambda h: kernels.fit_calibrated(rows, splits, "rbf_svc", h, scale), "mlp": lambda h: perceptron.fit(rows, splits, h, scale)}
+    family = lambda kind: "linear" if kind in grouped.LINEAR else kind
+    for name in dict.fromkeys(family(kind) for kind, _ in heads):
+        places = [i for i, (kind, _) in enumerate(heads) if family(kind) == name]
+        mine = [heads[i] for i in places]
+        parts.append((places, grouped.fit(rows, splits, mine, scale) if name == "linear" else families[name](mine)))
+    return Together(heads, parts)
 
 
 @dataclass
@@ -67,64 +96,34 @@ def fit_linear_svc(train: DataFrame, c: float = 1.0):
     return model, lambda df: df.withColumn("score", model.decision(vector_to_array("vector")))
 
 
-def fourier(df: DataFrame, dims: int, gamma: float, size: int = 128, seed: int = 7) -> DataFrame:
-    """Replaces vector by random Fourier features of a Gaussian kernel exp(-gamma d^2)."""
-    import pandas as pd
-
-    rng = np.random.default_rng(seed)
-    w, b = rng.normal(0, math.sqrt(2 * gamma), (dims, size)), rng.uniform(0, 2 * math.pi, size)
-
-    def features(v):
-        x = np.stack(v.to_numpy()) if len(v) else np.empty((0, dims))
-        return pd.Series(list(math.sqrt(2 / size) * np.cos(x @ w + b)))
+def fit_nonlinear(train: DataFrame, kind: str, params: dict, key: str = "patient_id"):
+    """(fits, score function) of one head on all rows as they are; rows need a key, by whose md5 inner folds are dealt out."""
+    if key not in train.columns:
+        raise ValueError(f"{kind} needs a {key}")
+    rows = train.select(key, F.col("label").cast("int").alias("label"), vector_to_array("vector").alias("features"))
+    rows = with_inner_folds(rows, key).select("features", "fold", F.array("label").alias("target"))
+    found = fit_heads(grouped.kept(rows), 1, [(kind, params)], None)
 
-    features.__annotations__ = {"v": pd.Series, "return": pd.Series}
-    return df.withColumn("vector", array_to_vector(F.pandas_udf(features, "array<double>")(vector_to_array("vector"))))
+    def rate(v):
+        return pd.Series(found.score(0, np.stack(v.to_numpy()))[:, 0] if len(v) else [], dtype=float)
 
-
-def _gamma(train: DataFrame, gamma: str | float) -> tuple[int, float]:
-    rows = train.select(vector_to_array("vector").alias("f"))
-    dims = rows.select(F.size("f")).first()[0]
-    if gamma == "auto":
-        return dims, 1.0 / dims
-    if gamma != "scale":
-        return dims, float(gamma)
-    spread = rows.select(F.explode("f").alias("v")).agg(F.var_pop("v")).first()[0]
-    return dims, 1.0 / (dims * spread) if spread else 1.0
+    rate.__annotations__ = {"v": pd.Series, "return": pd.Series}
+    return found, lambda df: df.withColumn("score", F.pandas_udf(rate, "double")(vector_to_array("vector")))
 
 
 def fit_rbf_svc(train: DataFrame, c: float = 1.0, gamma: str | float = "scale"):
-    """A Gaussian-kernel SVC approximated by random Fourier features, with a sigmoid for probabilities."""
-    dims, g = _gamma(train, gamma)
-    wide = lambda df: fourier(df, dims, g)
-    model, score = fit_calibrated_svc(wide(train), c)
-    return model, lambda df: score(wide(df))
+    """A Gaussian-kernel SVC, with a sigmoid for probabilities."""
+    return fit_nonlinear(train, "rbf_svc", {"c": c, "gamma": gamma})
 
 
-def fit_calibrated_svc(train: DataFrame, c: float = 1.0, folds: int = 3):
+def fit_calibrated_svc(train: DataFrame, c: float = 1.0):
     """A linear SVC per fold, sigmoids fitted on scores of rows left out, their mean as probability."""
-    rows = stratified_folds(train, folds) if "patient_id" in train.columns else train.withColumn("fold", F.monotonically_increasing_id() % folds)
-    rows, parts = grouped.kept(rows), []
-    for k in range(folds):
-        _, score = fit_linear_svc(rows.where(F.col("fold") != k).drop("weight"), c)
-        left = score(rows.where(F.col("fold") == k)).select("label", F.array("score").alias("s"))
-        sigmoid = LogisticRegression(featuresCol="vector", labelCol="label", regParam=1e-6).fit(with_vector(left, "s"))
-        parts.append((score, sigmoid.coefficients[0], sigmoid.intercept))
-
-    def rate(df: DataFrame) -> DataFrame:
-        out = df.withColumn("_sum", F.lit(0.0))
-        for score, a, b in parts:
-            out = score(out).withColumn("_sum", F.col("_sum") + 1 / (1 + F.exp(-(a * F.col("score") + b)))).drop("score", "rawPrediction", "prediction")
-        return out.withColumn("score", F.col("_sum") / len(parts)).drop("_sum")
+    return fit_nonlinear(train, "calibrated_svc", {"c": c})
 
-    return parts, rate
 
-
-def fit_mlp(train: DataFrame, hidden: int = 16):
-    """One hidden layer."""
-    dims = train.select(F.size(vector_to_array("vector"))).first()[0]
-    model = MultilayerPerceptronClassifier(featuresCol="vector", labelCol="label", layers=[dims, hidden, 2], seed=1, maxIter=100).fit(train)
-    return model, lambda df: _probability(model, df)
+def fit_mlp(train: DataFrame, hidden: int = 16, alpha: float = 1e-4):
+    """One hidden ReLU layer, with early stopping."""
+    return fit_nonlinear(train, "mlp", {"hidden": hidden, "alpha": alpha})
 
 
 #: Kind of a head to its fit function of (training rows, parameters).
@@ -135,7 +134,7 @@ HEADS: dict[str, Callable] = {
     "linear_svc": lambda t, p: fit_linear_svc(t, p.get("c", 1.0)),
     "rbf_svc": lambda t, p: fit_rbf_svc(t, p.get("c", 1.0), p.get("gamma", "scale")),
     "calibrated_svc": lambda t, p: fit_calibrated_svc(t, p.get("c", 1.0)),
-    "mlp": lambda t, p: fit_mlp(t, p.get("hidden", 16)),
+    "mlp": lambda t, p: fit_mlp(t, p.get("hidden", 16), p.get("alpha", 1e-4)),
 }
 
 
@@ -165,22 +164,19 @@ def _named(heads: list[tuple[str, dict]]) -> Column:
 
 def all_predictions(df: DataFrame, heads: list[tuple[str, dict]], n: int, test: float = 0.2, seed: int = 42, scale: bool = True, key: str = "patient_id") -> DataFrame:
     """Training and test scores of each repeat and head: (repeat_id, model, key, label, is_test, prob_tts)."""
-    rows = grouped.kept(grouped.by_tests(df.select(key, "label", "features"), stratified_repeats(df, n, test, seed, key), key))
-    columns = ["repeat_id", "model", key, "label", "is_test", F.col("score").alias("prob_tts")]
-    linear, parts = [h for h in heads if h[0] in grouped.LINEAR], []
-    if linear:
-        found = grouped.fit(rows, n, linear, "standard" if scale else None)
-        parts.append(grouped.scores(rows, found, [key, "label"]).withColumn("model", _named(linear)).select(*columns))
-
-    def one(job):
-        r, kind, params = job
-        split = rows.withColumn("is_test", F.col("target")[r] < 0)
-        split = with_vector(standardise(split, "not is_test") if scale else split)
-        return fit_head(split.where("not is_test"), kind, **params)[1](split).withColumns({"repeat_id": F.lit(r), "model": F.lit(kind)}).select(*columns)
-
-    with ThreadPoolExecutor(THREADS) as pool:
-        parts += list(pool.map(one, [(r, *h) for r in range(n) for h in heads if h not in linear]))
-    return reduce(DataFrame.unionByName, parts)
+    rows = grouped.kept(grouped.by_tests(_for(df.select(key, "label", "features"), heads, key), stratified_repeats(df, n, test, seed, key), key))
+    found = grouped.scores(rows, fit_heads(rows, n, heads, "standard" if scale else None), [key, "label"])
+    return found.select("repeat_id", _named(heads).alias("model"), key, "label", "is_test", F.col("score").alias("prob_tts"))
+
+
+def _for(df: DataFrame, heads: list[tuple[str, dict]], key: str) -> DataFrame:
+    """The rows with inner folds, where a head needs them."""
+    return df if all(kind in grouped.LINEAR for kind, _ in heads) else with_inner_folds(df, key)
+
+
+def names_of(heads: list[tuple[str, dict]]) -> list[str]:
+    """A name for each head from its kind and parameters."""
+    return [kind + "".join(f"_{a}{b:g}" if isinstance(b, float) else f"_{a}{b}" for a, b in params.items()) for kind, params in heads]
 
 
 def oos_predictions(scored: DataFrame, source: str, pooling: str, n: int, test: float, seed: int, clinical: bool = False) -> DataFrame:
@@ -206,23 +202,11 @@ def eval_summary(repeats: DataFrame) -> DataFrame:
 def kfold_scores(df: DataFrame, heads: list[tuple[str, dict]], k: int = 5, key: str = "patient_id") -> DataFrame:
     """(model, config, fold, roc_auc) of stratified folds; each fold is a split of one grouped fit."""
     folds = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda f: F.when(f == F.col("fold"), -1).otherwise(F.col("label")).cast("int"))
-    rows = grouped.kept(stratified_folds(df, k, key=key).select(key, "label", "features", folds.alias("target")))
-    linear = [(i, h) for i, h in enumerate(heads) if h[0] in grouped.LINEAR]
-    parts = []
-    if linear:
-        found = grouped.scores(rows, grouped.fit(rows, k, [h for _, h in linear]), ["label"]).withColumn("config", F.element_at(F.array(*(F.lit(i) for i, _ in linear)), F.col("config") + 1))
-        parts.append(found.where("is_test").select("config", F.col("repeat_id").alias("fold"), "label", "score"))
-
-    def one(job):
-        f, i, kind, params = job
-        part = with_vector(standardise(rows.withColumn("_train", F.col("target")[f] >= 0), "_train"))
-        return fit_head(part.where("_train"), kind, **params)[1](part.where("not _train")).select(F.lit(i).alias("config"), F.lit(f).alias("fold"), "label", "score")
-
-    with ThreadPoolExecutor(THREADS) as pool:
-        parts += list(pool.map(one, [(f, i, *h) for i, h in enumerate(heads) if h[0] not in grouped.LINEAR for f in range(k)]))
-    names = [kind + "".join(f"_{a}{b:g}" if isinstance(b, float) else f"_{a}{b}" for a, b in params.items()) for kind, params in heads]
-    areas = roc_auc(reduce(DataFrame.unionByName, parts), "score", ["config", "fold"])
-    return areas.select(F.element_at(F.array(*map(F.lit, names)), F.col("config") + 1).alias("model"), "config", "fold", "roc_auc")
+    rows = stratified_folds(df, k, key=key).select(key, "label", "features", folds.alias("target"))
+    rows = grouped.kept(_for(rows, heads, key))
+    found = grouped.scores(rows, fit_heads(rows, k, heads), ["label"]).where("is_test").withColumnRenamed("repeat_id", "fold")
+    areas = roc_auc(found, "score", ["config", "fold"])
+    return areas.select(F.element_at(F.array(*map(F.lit, names_of(heads))), F.col("config") + 1).alias("model"), "config", "fold", "roc_auc")
 
 
 def kfold_select(df: DataFrame, heads: list[tuple[str, dict]], k: int = 5, key: str = "patient_id") -> DataFrame:
@@ -313,7 +297,11 @@ def pooling_ablation(features: dict[str, DataFrame], cohort: DataFrame, heads: l
 
 
 def batch_from_settings(settings: DataFrame, features: dict[str, DataFrame], cohort: DataFrame, n: int, most: int = 10_000) -> DataFrame:
-    """Run each (tag, pooling, model, c) row of a settings table, at most `most` rows, under its own tag; a pooling's rows are fitted together."""
+    """Run each (tag, pooling, model, parameters) row of a settings table, at most `most` rows, under its own tag.
+
+    Parameters are the columns c, l1_ratio, gamma, alpha and hidden, as far as there are such; nulls take a head's default. The
+    settings of a pooling are fitted together; an unknown pooling or model is an error.
+    """
     found = settings.orderBy("tag").limit(most + 1).collect()
     if len(found) > most:
         raise ValueError(f"more than {most} settings")
@@ -321,9 +309,9 @@ def batch_from_settings(settings: DataFrame, features: dict[str, DataFrame], coh
     for pooling in dict.fromkeys(s.pooling for s in found):
         mine = [s for s in found if s.pooling == pooling]
         f = features[pooling].join(cohort.select("patient_id", "label"), "patient_id")
-        rows = grouped.kept(grouped.by_tests(f.select("patient_id", "label", "features"), stratified_repeats(f, n)))
-        heads = [(s.model, {"c": s.c}) for s in mine]
-        scored = grouped.scores(rows, grouped.fit(rows, n, heads), ["patient_id", "label"]).withColumnsRenamed({"config": "model", "score": "prob_tts"})
+        heads = [(s.model, {p: s[p] for p in ("c", "l1_ratio", "gamma", "alpha", "hidden") if p in settings.columns and s[p] is not None}) for s in mine]
+        rows = grouped.kept(grouped.by_tests(_for(f.select("patient_id", "label", "features"), heads, "patient_id"), stratified_repeats(f, n)))
+        scored = grouped.scores(rows, fit_heads(rows, n, heads), ["patient_id", "label"]).withColumnsRenamed({"config": "model", "score": "prob_tts"})
         tag, model = (F.element_at(F.array(*(F.lit(x) for x in xs)), F.col("model") + 1) for xs in ([s.tag for s in mine], [s.model for s in mine]))
         parts.append(repeated_eval(scored).select(tag.alias("tag"), "repeat_id", model.alias("model"), "roc_auc", "pr_auc"))
     return reduce(DataFrame.unionByName, parts)
@@ -334,15 +322,16 @@ def best_of_sources(summary: DataFrame, by: str, tie: str) -> DataFrame:
 
 
 def label_shuffle_null(df: DataFrame, flag: str, kind: str, params: dict, n: int, seed: int = 42, key: str = "patient_id") -> DataFrame:
-    """(true_auc, n, p): test area against those of refits on permuted training labels; all refits of a linear head are one grouped fit."""
+    """(true_auc, n, p): test area against those of refits on permuted training labels; all refits are one grouped fit."""
     train = numbered(df.where(flag).select(key, "label"), key, "_i")
     order = F.md5(F.concat_ws("|", F.col(key).cast("string"), F.col("replicate").cast("string"), F.lit(str(seed))))
     drawn = train.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     drawn = drawn.select("replicate", "label", (F.row_number().over(Window.partitionBy("replicate").orderBy(order, key)) - 1).alias("_i"))
     lists = drawn.groupBy("_i").agg(F.transform(F.sort_array(F.collect_list(F.struct("replicate", "label"))), lambda x: x.label.cast("int")).alias("_l"))
     targets = train.join(lists, "_i").select(key, F.concat(F.array(F.col("label").cast("int")), "_l").alias("target"))
-    rows = grouped.kept(df.select(key, "label", "features").join(targets, key, "left").withColumn("target", F.coalesce("target", F.array_repeat(F.lit(-1), n + 1))))
-    found = roc_auc(grouped.scores(rows, grouped.fit(rows, n + 1, [(kind, params)]), ["label"]).where("is_test"), "score", ["repeat_id"])
+    rows = _for(df.select(key, "label", "features"), [(kind, params)], key).join(targets, key, "left").withColumn("target", F.coalesce("target", F.array_repeat(F.lit(-1), n + 1)))
+    rows = grouped.kept(rows)
+    found = roc_auc(grouped.scores(rows, fit_heads(rows, n + 1, [(kind, params)]), ["label"]).where("is_test"), "score", ["repeat_id"])
     true = found.where("repeat_id = 0").select(F.col("roc_auc").alias("true_auc"))
     return found.where("repeat_id > 0").join(F.broadcast(true)).groupBy("true_auc").agg(F.count("*").cast("int").alias("n"), F.avg((F.col("roc_auc") >= F.col("true_auc")).cast("double")).alias("p"))  # one row
 
@@ -351,7 +340,9 @@ def confounder_models(df: DataFrame, score: str = "score", site: str | None = No
     """(model, term, coef, p, odds_ratio) of score ~ age + sex (+ site) by least squares, and label ~ score + age + sex (+ site)."""
     spark, rows, extra = df.sparkSession, df, []
     if site:
-        levels = [r[0] for r in df.select(site).distinct().orderBy(site).collect()][1:]
+        levels = [r[0] for r in df.select(site).distinct().orderBy(site).limit(SITES + 1).collect()][1:]
+        if len(levels) >= SITES:
+            raise ValueError(f"more than {SITES} sites")
         for v in levels:
             rows = rows.withColumn(f"site_{v}", (F.col(site) == v).cast("double"))
         extra = [f"site_{v}" for v in levels]

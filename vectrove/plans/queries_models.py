@@ -26,6 +26,12 @@ def features(d: Data, pooling: str = "std") -> DataFrame:
     return P.pool(d.tokens, pooling).join(d.cohort.select("patient_id", "label"), "patient_id")
 
 
+def cluster_shares(d: Data) -> DataFrame:
+    """(patient_id, features): cluster histograms as vectors."""
+    rows = P.cluster_hist(d.tokens).groupBy("patient_id").agg(F.sort_array(F.collect_list(F.struct("cluster", "share"))).alias("s"))
+    return rows.select("patient_id", F.col("s.share").alias("features"))
+
+
 def predictions(d: Data) -> DataFrame:
     """Blended predictions of all repeats, with the cohort of their patients."""
     return d.preds.select("repeat_id", "patient_id", "label", ((F.col("prob_a") + F.col("prob_b")) / 2).alias("prob"))
@@ -108,13 +114,31 @@ def one_head(kind: str, **params):
 
 
 for _name, _kind, _params in (
-    ("t09_fit_logistic", "logistic_en", {"c": 0.1, "l1_ratio": 0.2}), ("t10_fit_linear_svc", "linear_svc", {"c": 0.1}), ("t11_fit_rbf_svc", "rbf_svc", {}), ("t12_fit_calibrated_svc", "calibrated_svc", {"c": 0.1}), ("t13_fit_mlp", "mlp", {}), ("x02_head_registry", "logistic_l1", {"c": 1.0}),
+    ("t09_fit_logistic", "logistic_en", {"c": 0.1, "l1_ratio": 0.2}), ("t10_fit_linear_svc", "linear_svc", {"c": 0.1}), ("t11_fit_rbf_svc", "rbf_svc", {}), ("t12_fit_calibrated_svc", "calibrated_svc", {"c": 0.1}), ("t13_fit_mlp", "mlp", {}),
 ):
     _f = one_head(_kind, **_params)
     _f.__name__ = _name
     query()(_f)
 
 
+#: The heads of the repeated evaluation, with the settings of its towers; every registered kind.
+TOWERS = [("logistic_l2", {"c": 1.0}), ("logistic_en", {"c": 0.1, "l1_ratio": 0.2}), ("linear_svc", {"c": 1.0}), ("rbf_svc", {"c": 1.0, "gamma": "scale"})]
+EVERY = [*TOWERS, ("logistic_l1", {"c": 1.0}), ("calibrated_svc", {"c": 0.1}), *(("mlp", {"alpha": a}) for a in (1e-4, 1e-3, 1e-2))]
+
+
+@query()
+def x02_head_registry(d: Data) -> DataFrame:
+    rows = features(d).withColumn("target", F.array(F.when(F.expr("patient_id % 4 <> 0"), F.col("label")).otherwise(-1).cast("int")))
+    rows = H.grouped.kept(H.with_inner_folds(rows))
+    found = H.grouped.scores(rows, H.fit_heads(rows, 1, EVERY), ["patient_id", "label"])
+    return found.select("patient_id", F.element_at(F.array(*map(F.lit, H.names_of(EVERY))), F.col("config") + 1).alias("head"), "label", "is_test", "score")
+
+
+def grid(d: Data) -> list[tuple[str, dict]]:
+    """The heads of the 24 settings."""
+    return [(r.kind, {k: r[k] for k in ("c", "l1_ratio") if r[k] is not None}) for r in S.head_grid(d.spark).orderBy("kind", "c", "l1_ratio").collect()]
+
+
 @query("""WITH c AS (SELECT unnest([0.01, 0.1, 1.0, 10.0]::DOUBLE[]) AS c), k AS (SELECT 'logistic_l2' AS kind UNION ALL SELECT 'logistic_l1' UNION ALL SELECT 'linear_svc'), g AS (SELECT kind, c, NULL::DOUBLE AS l1_ratio FROM k CROSS JOIN c UNION ALL SELECT 'logistic_en', c, r FROM c CROSS JOIN (SELECT unnest([0.2, 0.5, 0.8]::DOUBLE[]) AS r))
 SELECT g.kind, g.c, g.l1_ratio, s.site, s.n FROM g CROSS JOIN (SELECT site, count(*) AS n FROM scores GROUP BY 1) s""", "c l1_ratio")
 def t14_head_grid(d: Data) -> DataFrame:
@@ -140,8 +164,14 @@ def t17_oos_predictions(d: Data) -> DataFrame:
 
 @query()
 def t18_repeated_eval(d: Data) -> DataFrame:
-    scored = H.all_predictions(features(d), [("logistic_l2", {"c": 1.0}), ("logistic_en", {"c": 0.1, "l1_ratio": 0.2})], REPEATS)
-    return H.repeated_eval(scored)
+    return H.repeated_eval(H.all_predictions(features(d), TOWERS, REPEATS))
+
+
+@query()
+def t18_cluster_hist_rbf(d: Data) -> DataFrame:
+    """Tower 2: cluster histograms and the Gaussian-kernel SVC, over all repeats."""
+    rows = cluster_shares(d).join(d.cohort.select("patient_id", "label"), "patient_id")
+    return H.repeated_eval(H.all_predictions(rows, [("rbf_svc", {"c": 1.0, "gamma": "scale"})], REPEATS))
 
 
 @query()
@@ -151,7 +181,7 @@ def t18_eval_summary(d: Data) -> DataFrame:
 
 @query()
 def t19_kfold_select(d: Data) -> DataFrame:
-    return H.kfold_select(features(d), [("logistic_l2", {"c": 0.1}), ("logistic_l2", {"c": 1.0})], 5)
+    return H.kfold_select(features(d), grid(d), 5)
 
 
 @query()
@@ -161,7 +191,7 @@ def t20_refit_and_test(d: Data) -> DataFrame:
 
 @query()
 def t21_grid_search(d: Data) -> DataFrame:
-    best = H.grid_search(features(d), "logistic_l2", [{"c": 0.01}, {"c": 1.0}], 5)
+    best = H.grid_search(features(d), "logistic_l2", [{"c": c} for c in S.C_VALUES], 5)
     rows = H.with_vector(S.standardise(features(d), "true"))
     return H.fit_head(rows, "logistic_l2", **best)[1](rows).select("patient_id", F.lit(best["c"]).alias("c"), "score")
 
@@ -171,16 +201,9 @@ def t22_clinical_baseline(d: Data) -> DataFrame:
     return H.repeated_eval(H.clinical_baseline(cohort(d), REPEATS))
 
 
-@query("""WITH p AS (SELECT repeat_id, patient_id, (prob_a + prob_b) / 2 AS prob FROM preds WHERE repeat_id < 2), m AS (SELECT patient_id, avg(prob) AS m FROM p GROUP BY 1)
-SELECT r.repeat_id, l.doc_id AS patient_id, p.prob IS NOT NULL AS is_test, coalesce(p.prob, m.m, (SELECT avg(prob) FROM p)) AS stacked FROM labels l CROSS JOIN (SELECT DISTINCT repeat_id FROM p) r LEFT JOIN p ON p.repeat_id = r.repeat_id AND p.patient_id = l.doc_id LEFT JOIN m ON m.patient_id = l.doc_id""", "stacked")
-def t23_stack_features(d: Data) -> DataFrame:
-    return H.stack_features(predictions(d).where("repeat_id < 2"), doc_cohort(d)).select("repeat_id", "patient_id", "is_test", "stacked")
-
-
 @query("""WITH p AS (SELECT repeat_id, patient_id, (prob_a + prob_b) / 2 AS prob FROM preds), m AS (SELECT patient_id, avg(prob) AS m FROM p GROUP BY 1)
 SELECT r.repeat_id, l.doc_id AS patient_id, p.prob IS NOT NULL AS is_test, coalesce(p.prob, m.m, (SELECT avg(prob) FROM p)) AS stacked FROM labels l CROSS JOIN (SELECT DISTINCT repeat_id FROM p) r LEFT JOIN p ON p.repeat_id = r.repeat_id AND p.patient_id = l.doc_id LEFT JOIN m ON m.patient_id = l.doc_id""", "stacked")
-def t23_stack_features_whole(d: Data) -> DataFrame:
-    """All repeats; the query above covers two."""
+def t23_stack_features(d: Data) -> DataFrame:
     return H.stack_features(predictions(d), doc_cohort(d)).select("repeat_id", "patient_id", "is_test", "stacked")
 
 
@@ -208,7 +231,8 @@ def t26_coef_table(d: Data) -> DataFrame:
 
 @query()
 def t27_pooling_ablation(d: Data) -> DataFrame:
-    return H.pooling_ablation({"mean": P.pool(d.tokens, "mean"), "std": P.pool(d.tokens, "std")}, d.cohort, [("logistic_l2", {"c": 1.0})], REPEATS)
+    features = {name: P.pool(d.tokens, name) for name in ("mean", "std", "mean_std")} | {"cluster_hist": cluster_shares(d)}
+    return H.pooling_ablation(features, d.cohort, [TOWERS[0], TOWERS[2], TOWERS[3]], REPEATS)
 
 
 @query()
@@ -218,8 +242,9 @@ def t28_coef_repeat_matrix(d: Data) -> DataFrame:
 
 @query()
 def t29_batch_from_settings(d: Data) -> DataFrame:
-    settings = d.tokens.select(F.lit("std").alias("pooling")).distinct().select(F.concat(F.lit("run_"), "pooling").alias("tag"), "pooling", F.lit("logistic_l2").alias("model"), F.lit(1.0).alias("c"))
-    return H.batch_from_settings(settings, {"std": P.pool(d.tokens, "std")}, d.cohort, REPEATS)
+    rows = [(f"{pooling}_{kind}", pooling, kind, p.get("c"), p.get("l1_ratio")) for pooling in ("mean", "std") for kind, p in TOWERS[:3]]
+    settings = d.spark.createDataFrame(rows, "tag string, pooling string, model string, c double, l1_ratio double")
+    return H.batch_from_settings(settings, {p: P.pool(d.tokens, p) for p in ("mean", "std")}, d.cohort, REPEATS)
 
 
 @query("""WITH r AS (SELECT c_nationkey AS source, avg(c_acctbal) AS roc_mean FROM customer WHERE c_nationkey % 4 <> 0 GROUP BY 1), p AS (SELECT s_nationkey AS source, avg(s_acctbal) AS pr_mean FROM supplier GROUP BY 1), x AS (SELECT n_nationkey AS source, n_name AS position FROM nation)

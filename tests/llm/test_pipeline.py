@@ -58,7 +58,6 @@ def test_run_against_brute_force(spark, tmp_path):
     left = [i for k, i in enumerate(left) if root[k] == k]
     cut = dict(zip(left, cut_windows([texts[i] for i in left])))
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     ids = {i: [*tokenizer.encode(t or "", add_special_tokens=False).ids, 0] for i, t in cut.items()}
 
     pieces = collections.defaultdict(list)

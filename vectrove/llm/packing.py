@@ -1,8 +1,9 @@
 """Pattern packing of token sequences by non-negative least squares.
 
-Only the histogram of piece lengths, at most `size` counts, comes to the driver. There, patterns of two and three lengths
-that fill a sequence but for FREE tokens get repeat counts by non-negative least squares; rounded counts are taken as far as the pieces
-go round, and what is left over is packed best-fit into the gaps and into new sequences. The plan, a few rows for each
+Only the histogram of piece lengths, at most `size` counts, comes to the driver. There, patterns of two and three lengths get
+repeat counts by non-negative least squares, first those that fill a sequence but for FREE tokens, then, for what they leave,
+those that may leave more; rounded counts are taken as far as the pieces go round, and what is left over is packed best-fit
+into the gaps and into new sequences. The plan, a few rows for each
 length, goes back to the tasks, where the pieces of a length take its places by their rank.
 """
 
@@ -23,8 +24,10 @@ from .pieces import Known, runs, slices, tame
 from .storage import stored
 from .substring import table_type
 
-#: Characters encoded as one text; least squares rounds; most tokens that a pattern may leave free.
+#: Characters encoded as one text; least squares rounds; most tokens that the first patterns may leave free.
 JOINT, ROUNDS, FREE = 100_000, 200, 1
+#: Price of an empty sequence, in mean counts of a length, while patterns are fitted.
+PRICE = 3.0
 
 
 class Encoder:
@@ -48,7 +51,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         vocabulary = self.tokenizer.get_vocab()
         self.bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)  # byte-level: one character of a token's name is one byte
         self.bytes[list(vocabulary.values())] = list(map(len, vocabulary))
@@ -79,13 +82,25 @@ class Encoder:
         return runs(np.concatenate(flat), start, many), many
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts in one array, and the number for each text."""
-        return self.known.ids(texts)
-
-
-def fit_patterns(counts: dict[int, int], size: int) -> list[tuple[tuple[int, ...], int]]:
-    """Patterns of two and three lengths with repeat counts that the pieces can serve."""
-    lengths = np.array(sorted(x for x, n in counts.items() if n and x < size))
+        """The ids of all texts in one array, and the number for each text. One that holds an added token's string is encoded as a whole."""
+        whole = [i for i, t in enumerate(texts) if any(s in t for s in self.special)]
+        if not whole:
+            return self.known.ids(texts)
+        odd = set(whole)
+        ids, many = self.known.ids(["" if i in odd else t for i, t in enumerate(texts)])
+        parts = np.split(ids, np.cumsum(many)[:-1])
+        for i, e in zip(whole, self.tokenizer.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False)):
+            parts[i] = np.array(e.ids, np.uint32)
+        return np.concatenate(parts), np.array(list(map(len, parts)), np.int64)
+
+
+def fit_patterns(counts: dict[int, int], size: int, most_free: int) -> list[tuple[tuple[int, ...], int]]:
+    """Patterns that leave most_free tokens or fewer, with repeat counts that the pieces can serve.
+
+    A pattern is a length, one that fits beside it, and as many of a third as fit beside both. Least squares of the histogram
+    weigh what a pattern leaves free, by a price that is lifted for the last rounds.
+    """
+    lengths = np.array(sorted(x for x, n in counts.items() if n > 0 and x < size))
     if len(lengths) < 1:
         return []
     have = np.array([counts[int(x)] for x in lengths], float)
@@ -94,36 +109,44 @@ def fit_patterns(counts: dict[int, int], size: int) -> list[tuple[tuple[int, ...
         a = int(lengths[i])
         top = np.searchsorted(lengths, min(a, size - a), "right") - 1
         for j in range(top, max(-1, top - 3), -1):
-            found.add((i, j, -1))
+            found.add((i, j, -1, 0))
         if top >= 0:
             for j in {int(x) for x in np.linspace(0, top, 12)}:
                 rest = size - a - int(lengths[j])
                 k = np.searchsorted(lengths, min(int(lengths[j]), rest), "right") - 1
                 if k >= 0:
-                    found.add((i, j, int(k)))
+                    found.add((i, j, int(k), 1))
+                    found.add((i, j, int(k), rest // int(lengths[k])))
     padded = np.r_[lengths, 0]
-    patterns = np.array(sorted(found), np.int64).reshape(-1, 3)
-    patterns = patterns[size - padded[patterns].sum(axis=1) <= FREE]
+    patterns = np.array(sorted(found), np.int64).reshape(-1, 4)
+    times_of = np.c_[np.ones((len(patterns), 2), np.int64), patterns[:, 3]]
+    patterns = patterns[:, :3]
+    free = size - (padded[patterns] * times_of).sum(axis=1)
+    fits = (free >= 0) & (free <= most_free)
+    patterns, times_of, free = patterns[fits], times_of[fits], free[fits]
     if not len(patterns):
         return []
     target = np.r_[have, 0.0]
     times = np.full(len(patterns), have.sum() / (2.5 * len(patterns)))
-    toward = target[patterns].sum(axis=1)
-    for _ in range(ROUNDS):  # multiplicative updates keep counts positive and never raise the squared error
+    toward = (target[patterns] * times_of).sum(axis=1)
+    for turn in range(ROUNDS):  # multiplicative updates keep counts positive and never raise the squared error
         used = np.zeros(len(padded))
         for c in range(3):
-            np.add.at(used, patterns[:, c], times)
+            np.add.at(used, patterns[:, c], times * times_of[:, c])
         used[-1] = 0
-        times *= toward / np.maximum(used[patterns].sum(axis=1), 1e-9)
+        price = PRICE * have.mean() * free / size if turn < ROUNDS * 3 // 4 else 0.0
+        times *= toward / np.maximum((used[patterns] * times_of).sum(axis=1) + price, 1e-9)
     left, out = have.astype(np.int64), []
-    free = size - padded[patterns].sum(axis=1)
     for p in np.lexsort((-times, free)):
-        need = Counter(int(x) for x in patterns[p] if x >= 0)
+        need: Counter = Counter()
+        for x, m in zip(patterns[p].tolist(), times_of[p].tolist()):
+            if x >= 0 and m:
+                need[x] += m
         n = min(int(round(times[p])), *(int(left[x]) // m for x, m in need.items()))
         if n > 0:
             for x, m in need.items():
                 left[x] -= n * m
-            out.append((tuple(int(padded[x]) for x in patterns[p] if x >= 0), n))
+            out.append((tuple(int(padded[x]) for x, m in sorted(need.items(), reverse=True) for _ in range(m)), n))
     return out
 
 
@@ -150,13 +173,16 @@ def best_fit(counts: dict[int, int], size: int, open_: list[tuple[tuple[int, ...
 
 
 def fill(counts: dict[int, int], size: int) -> list[tuple[tuple[tuple[int, int], ...], int]]:
-    """The fitted patterns, with what they leave over best-fit into their gaps and new sequences."""
-    fitted = fit_patterns(counts, size)
-    rest = Counter(counts)
-    for pattern, n in fitted:
-        for x in pattern:
-            rest[x] -= n
-    return best_fit(rest, size, fitted)
+    """Patterns that fill their sequences, then patterns of what these leave over, which may have free tokens, and the rest best-fit
+    into all gaps and new sequences. Where best fit alone takes fewer sequences for what the first patterns leave, it packs that."""
+    rest, fitted, found = Counter(counts), [], []
+    for most_free in (FREE, size):
+        for pattern, n in (new := fit_patterns(rest, size, most_free)):
+            for x in pattern:
+                rest[x] -= n
+        fitted = fitted + new
+        found.append(best_fit(rest, size, fitted))
+    return min(reversed(found), key=lambda plan: sum(n for _, n in plan))
 
 
 def make_plan(counts: dict[int, int], size: int) -> dict[int, np.ndarray]:

@@ -1,7 +1,7 @@
 """Pooling of a group's tokens to features, cluster histograms, spreads, and summaries of groups.
 
-Pooling works on long rows (group, dimension, value): partial aggregation runs before the shuffle for moments, and no group
-is gathered into one array of tokens. Results are arrays of doubles ordered by dimension.
+Moments work on long rows (group, dimension, value), with partial aggregation before the shuffle; percentiles come from sketches
+of whole vectors (`sketches`). No group is gathered into one array of tokens. Results are arrays of doubles ordered by dimension.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrays import doubles, norm
+from .sketches import percentiles_by_dimension
 
 
 def long_rows(df: DataFrame, by: str = "patient_id", vector: str = "embedding") -> DataFrame:
@@ -24,42 +25,44 @@ def _gather(df: DataFrame, by: str, value: str = "v", name: str = "features") ->
     return df.groupBy(by).agg(F.sort_array(F.collect_list(F.struct("d", value))).alias("_f")).select(by, F.col(f"_f.{value}").alias(name))
 
 
-def _spread(v: str, high: float, low: float, exact: bool) -> Column:
-    if exact:
-        return F.percentile(v, F.lit(high)) - F.percentile(v, F.lit(low))
-    return F.percentile_approx(v, high) - F.percentile_approx(v, low)
-
-
-#: The plug-in point: name to a function of (long value column name, exact) giving an aggregate column.
-POOLINGS: dict[str, Callable[[str, bool], Column]] = {
+#: The plug-in point: name to a function of (long value column name, exact) giving an aggregate column, or to two shares whose percentiles are subtracted.
+POOLINGS: dict[str, Callable[[str, bool], Column] | tuple[float, float]] = {
     "mean": lambda v, exact: F.avg(v),
     "std": lambda v, exact: F.stddev_pop(v),
     "max": lambda v, exact: F.max(v),
-    "p90_p10": lambda v, exact: _spread(v, 0.9, 0.1, exact),
-    "iqr": lambda v, exact: _spread(v, 0.75, 0.25, exact),
+    "p90_p10": (0.9, 0.1),
+    "iqr": (0.75, 0.25),
 }
 
 
-def register(name: str, pooling: Callable[[str, bool], Column]) -> None:
-    """Add a pooling: a builder of an aggregate column, or a grouped pandas UDF wrapped in one."""
+def register(name: str, pooling: Callable[[str, bool], Column] | tuple[float, float]) -> None:
+    """Add a pooling: a builder of an aggregate column, a grouped pandas UDF wrapped in one, or two shares."""
     POOLINGS[name] = pooling
 
 
 def pool(df: DataFrame, name: str, by: str = "patient_id", vector: str = "embedding", exact: bool = True) -> DataFrame:
     """(by, features) by a registered pooling, or mean_std (mean, then std) or mad; an unknown name is an error.
 
-    exact=False takes approximate percentiles, which need no sort of a group's values.
+    Percentiles come from sketches, which are exact up to 1 024 tokens a group; larger groups, and those with null elements or
+    vectors of several lengths, take a row per value. exact=False keeps larger groups in their sketches, within a proven
+    rank error (`sketches.vector_percentiles`).
     """
+    if name == "mad":
+        middle = percentiles_by_dimension(df, [0.5], by, vector, exact).select(F.col(by).alias("_m"), F.get("values", F.lit(0)).alias("_middle"))
+        away = F.zip_with(doubles(F.col(vector)), "_middle", lambda v, m: F.abs(v - m)).alias("_away")
+        off = df.select(by, vector).where(F.size(vector) > 0).join(middle, F.col(by).eqNullSafe(F.col("_m"))).select(by, away)
+        return percentiles_by_dimension(off, [0.5], by, "_away", exact).select(by, F.get("values", F.lit(0)).alias("features"))
+    if name not in POOLINGS and name != "mean_std":
+        raise ValueError(f"unknown pooling: {name}")
+    shares = POOLINGS.get(name)
+    if isinstance(shares, tuple):
+        found = percentiles_by_dimension(df, list(shares), by, vector, exact)
+        return found.select(by, F.zip_with(F.get("values", F.lit(0)), F.get("values", F.lit(1)), lambda high, low: high - low).alias("features"))
     rows = long_rows(df, by, vector)
     if name == "mean_std":
         both = rows.groupBy(by, "d").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s"))
         each = both.select(by, "d", F.col("m").alias("v")).unionByName(both.select(by, (F.col("d") + 1_000_000).alias("d"), F.col("s").alias("v")))
         return _gather(each, by)
-    if name == "mad":
-        middle = rows.groupBy(by, "d").agg(F.percentile("v", 0.5).alias("m"))
-        return _gather(rows.join(middle, [by, "d"]).groupBy(by, "d").agg(F.percentile(F.abs(F.col("v") - F.col("m")), 0.5).alias("v")), by)
-    if name not in POOLINGS:
-        raise ValueError(f"unknown pooling: {name}")
     return _gather(rows.groupBy(by, "d").agg(POOLINGS[name]("v", exact).alias("v")), by)
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import doubles, norm
 from .pooling import _gather
+from .sketches import percentiles_by_dimension
 
 
 def ordered(by: str, order: tuple[str, ...]):
@@ -40,13 +41,20 @@ def step_rates(df: DataFrame, by: str = "patient_id", value: str = "value", posi
     return rows.where("step is not null").select(by, index, "step", (F.col("step") / F.greatest("_gap", F.lit(eps))).alias("rate"), "mid")
 
 
-def vector_steps(df: DataFrame, by: str = "patient_id", order: tuple[str, ...] = ("z_mm", "slice_index"), vector: str = "embedding", eps: float = 1e-3) -> DataFrame:
-    """(by, d, step, rate, mid_norm) for each neighbour pair and dimension."""
+def whole_steps(df: DataFrame, by: str = "patient_id", order: tuple[str, ...] = ("z_mm", "slice_index"), vector: str = "embedding", eps: float = 1e-3) -> DataFrame:
+    """(by, steps, rates, mid_norm) for each neighbour pair: |differences| by dimension and the same over the distance (at least eps)."""
     w, whole = ordered(by, order), Window.partitionBy(by)
     position = order[0]
     low, high = F.min(position).over(whole), F.max(position).over(whole)
-    rows = df.select(by, F.zip_with(doubles(F.col(vector)), doubles(F.lag(vector).over(w)), lambda x, y: F.abs(x - y)).alias("_s"), F.abs(F.col(position) - F.lag(position).over(w)).alias("_gap"), (((F.col(position) + F.lag(position).over(w)) / 2 - low) / F.nullif(high - low, F.lit(0.0))).alias("mid_norm"))
-    return rows.where("_s is not null and _gap is not null").select(by, "_gap", "mid_norm", F.posexplode("_s").alias("d", "step")).select(by, "d", "step", (F.col("step") / F.greatest("_gap", F.lit(eps))).alias("rate"), "mid_norm")
+    rows = df.select(by, F.zip_with(doubles(F.col(vector)), doubles(F.lag(vector).over(w)), lambda x, y: F.abs(x - y)).alias("steps"), F.greatest(F.abs(F.col(position) - F.lag(position).over(w)), F.lit(eps)).alias("_over"), F.lag(position).over(w).alias("_before"), F.col(position).alias("_at"), (((F.col(position) + F.lag(position).over(w)) / 2 - low) / F.nullif(high - low, F.lit(0.0))).alias("mid_norm"))
+    rows = rows.where("steps is not null and _before is not null and _at is not null")
+    return rows.select(by, "steps", F.transform("steps", lambda x: x / F.col("_over")).alias("rates"), "mid_norm")
+
+
+def vector_steps(df: DataFrame, by: str = "patient_id", order: tuple[str, ...] = ("z_mm", "slice_index"), vector: str = "embedding", eps: float = 1e-3) -> DataFrame:
+    """(by, d, step, rate, mid_norm) for each neighbour pair and dimension."""
+    pairs = whole_steps(df, by, order, vector, eps).select(by, "mid_norm", F.posexplode(F.arrays_zip("steps", "rates")).alias("d", "_s"))
+    return pairs.select(by, "d", F.col("_s.steps").alias("step"), F.col("_s.rates").alias("rate"), "mid_norm")
 
 
 def volatility(df: DataFrame, by: str = "patient_id", order: tuple[str, ...] = ("z_mm", "slice_index")) -> DataFrame:
@@ -59,7 +67,8 @@ def volatility_rate(df: DataFrame, by: str = "patient_id", order: tuple[str, ...
 
 
 def volatility_rate_p90(df: DataFrame, by: str = "patient_id", order: tuple[str, ...] = ("z_mm", "slice_index")) -> DataFrame:
-    return _gather(vector_steps(df, by, order).groupBy(by, "d").agg(F.percentile("rate", 0.9).alias("v")), by)
+    """90 % point of the rates per dimension, from sketches of whole rate vectors where these are exact."""
+    return percentiles_by_dimension(whole_steps(df, by, order), [0.9], by, "rates").select(by, F.get("values", F.lit(0)).alias("features"))
 
 
 def volatility_rate_regions(df: DataFrame, by: str = "patient_id", order: tuple[str, ...] = ("z_mm", "slice_index")) -> DataFrame:

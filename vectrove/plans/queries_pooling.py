@@ -11,6 +11,7 @@ from ..operators import joins as J
 from ..operators import metrics as M
 from ..operators import pooling as P
 from ..operators import sequences as Q
+from ..operators.sketches import vector_percentiles
 from .queries_basic import PAIRS, PROTOS, RESAMPLED, prototypes
 from .registry import query
 from .views import Data
@@ -51,6 +52,13 @@ def a06_pool_mad(d: Data) -> DataFrame:
     return spread(P.pool(P.masked_if_two(d.tokens), "mad"))
 
 
+@query()
+def a05_sketched_by_cluster(d: Data) -> DataFrame:
+    """Groups of any size by sketches alone: 90 and 10 % points by dimension, with the bound of their rank error."""
+    found = vector_percentiles(d.tokens, [0.9, 0.1], "cluster_id")
+    return found.select("cluster_id", "n", "error", F.posexplode(F.arrays_zip(F.get("values", F.lit(0)).alias("p90"), F.get("values", F.lit(1)).alias("p10"))).alias("d", "_p")).select("cluster_id", "d", "n", "error", "_p.p90", "_p.p10")
+
+
 _HIST = "WITH c AS (SELECT patient_id, cluster_id, count(*) AS n FROM {t} GROUP BY 1, 2), g AS (SELECT DISTINCT patient_id FROM {all}), x AS (SELECT g.patient_id, k.cluster, coalesce(c.n, 0) AS n, sum(coalesce(c.n, 0)) OVER (PARTITION BY g.patient_id) AS t FROM g CROSS JOIN (SELECT unnest(range({k})) AS cluster) k LEFT JOIN c ON c.patient_id = g.patient_id AND c.cluster_id = k.cluster) SELECT patient_id, cluster, CASE WHEN t > 0 THEN n / t ELSE 0 END AS share FROM x"
 
 

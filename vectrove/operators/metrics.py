@@ -10,12 +10,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import stored
 from .ranks import running
 
 
 def _ties(df: DataFrame, score: str, by: list[str], label: str) -> DataFrame:
-    """(by, score, pos, n) for each distinct score: pre-aggregated, so that windows see one row a tie."""
-    return df.where(F.col(score).isNotNull() & ~F.isnan(score)).groupBy(*by, F.col(score).alias("_s")).agg(F.sum(F.col(label)).alias("pos"), F.count("*").alias("n"))
+    """(by, score, pos, n) for each distinct score: pre-aggregated, so that windows see one row a tie, and stored, as they read it several times."""
+    rows = df.where(F.col(score).isNotNull() & ~F.isnan(score)).groupBy(*by, F.col(score).alias("_s")).agg(F.sum(F.col(label)).alias("pos"), F.count("*").alias("n"))
+    return stored(rows, "ties")
 
 
 def roc_auc(df: DataFrame, score: str, by: list[str], label: str = "label") -> DataFrame:
@@ -27,24 +29,30 @@ def roc_auc(df: DataFrame, score: str, by: list[str], label: str = "label") -> D
 
 
 def curve(df: DataFrame, score: str, by: list[str], label: str = "label") -> DataFrame:
-    """(by, threshold, tp, fp, p, q) at each distinct score."""
+    """(by, threshold, tp, fp, p, q, pos, neg) at each distinct score; pos and neg are its own."""
     rows = _ties(df, score, by, label)
     whole = rows.groupBy(*by).agg(F.sum("pos").alias("p"), F.sum(F.col("n") - F.col("pos")).alias("q"))
     below = running(rows, "_s", by, {"_pos": F.col("pos"), "_neg": F.col("n") - F.col("pos")})
     out = below.join(whole, by) if by else below.join(F.broadcast(whole))  # one row
-    return out.select(*by, F.col("_s").alias("threshold"), (F.col("p") - F.col("_pos")).alias("tp"), (F.col("q") - F.col("_neg")).alias("fp"), "p", "q", "pos")
+    return out.select(*by, F.col("_s").alias("threshold"), (F.col("p") - F.col("_pos")).alias("tp"), (F.col("q") - F.col("_neg")).alias("fp"), "p", "q", "pos", (F.col("n") - F.col("pos")).alias("neg"))
+
+
+def _precision() -> Column:
+    """Average precision of a curve's rows."""
+    return F.when(F.max("p") > 0, F.sum(F.try_divide("pos", "p") * F.col("tp") / (F.col("tp") + F.col("fp")))).otherwise(F.lit(float("nan")))
 
 
 def average_precision(df: DataFrame, score: str, by: list[str], label: str = "label") -> DataFrame:
     """(by, pr_auc): sum of precision times recall gained over distinct thresholds; NaN without positives."""
-    c = curve(df, score, by, label)
-    value = F.sum(F.try_divide("pos", "p") * F.col("tp") / (F.col("tp") + F.col("fp")))
-    return c.groupBy(*by).agg(F.when(F.max("p") > 0, value).otherwise(F.lit(float("nan"))).alias("pr_auc"))
+    return curve(df, score, by, label).groupBy(*by).agg(_precision().alias("pr_auc"))
 
 
 def both_areas(df: DataFrame, score: str, by: list[str], label: str = "label") -> DataFrame:
-    a, b = roc_auc(df, score, by, label), average_precision(df, score, by, label)
-    return a.join(b, by) if by else a.crossJoin(b)  # one row each
+    """(by, roc_auc, pr_auc) as above, from one curve."""
+    won = F.sum(F.col("pos") * (F.col("q") - F.col("fp") + F.col("neg") / 2.0))
+    pairs = F.max("p") * F.max("q")
+    roc = F.when(pairs > 0, won / pairs).otherwise(F.lit(float("nan")))
+    return curve(df, score, by, label).groupBy(*by).agg(roc.alias("roc_auc"), _precision().alias("pr_auc"))
 
 
 def areas_trapz(df: DataFrame, score: str, by: list[str], tie: str, label: str = "label") -> DataFrame:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import stored
+
 #: Ranges of an order.
 RANGES = 64
 
@@ -41,5 +43,5 @@ def numbered(df: DataFrame, key: str, name: str, by: tuple[str, ...] = ()) -> Da
 def ties(df: DataFrame, value: str, by: list[str], **sums: Column) -> DataFrame:
     """(by, value, n, rank, sums): each distinct value of a group with its mean rank from 1; nulls and NaN are left out."""
     good = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
-    rows = good.groupBy(*by, value).agg(F.count("*").alias("n"), *(c.alias(n) for n, c in sums.items()))
+    rows = stored(good.groupBy(*by, value).agg(F.count("*").alias("n"), *(c.alias(n) for n, c in sums.items())), "ties")  # read several times
     return running(rows, value, by, {"_below": F.col("n")}).withColumn("rank", F.col("_below") + (F.col("n") + 1) / 2.0).drop("_below")

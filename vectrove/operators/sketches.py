@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import doubles
+from ..shared import stored
 
 #: Rows of a buffer; bytes that a task holds before it sends its sketches on; sketches of a group are first merged in so many shares.
 SIZE, BYTES, SHARES = 1024, 64 << 20, 64
@@ -74,16 +75,16 @@ def vector_percentiles(df: DataFrame, shares: list[float], by: str = "patient_id
     """(by, n, error, values): for each group an array of its vectors' percentiles by dimension, one for each share.
 
     `error` bounds how many ranks a value may be off; it is 0 where n is SIZE or less. Which of the values within the bound
-    comes out may change with the order of rows. Vectors must be of one length within a group (a group has a row for each
-    length otherwise) and without null elements; null and empty vectors are left out, NaN counts as largest. A null group is
-    a group. No rows in, no rows out; other columns are ignored.
+    comes out may change with the order of rows. A group has a row for each length of its vectors. Vectors with null elements
+    are left out, and their group has a row with n = 0 and no values; null and empty vectors are left out without one. NaN
+    counts as largest. A null group is a group. No rows in, no rows out; other columns are ignored.
 
     A task sends one row a group and level, not a row a value. Sketches of a group meet in SHARES tasks first, then in one,
     so a hot group brings its last task SHARES sketches.
     """
     if any(not 0 <= s <= 1 for s in shares):
         raise ValueError("shares must lie in [0, 1]")
-    rows = df.select(F.col(by).alias("key"), doubles(F.col(vector)).alias("v")).where("size(v) > 0")
+    rows = df.select(F.col(by).alias("key"), doubles(F.col(vector)).alias("v")).where("size(v) > 0").withColumn("v", F.when(F.exists("v", F.isnull), F.array().cast("array<double>")).otherwise(F.col("v")))
     kind = rows.schema["key"].dataType.simpleString()
     typed = f"key {kind}, width int, share int, level int, error long, data binary"
 
@@ -94,7 +95,7 @@ def vector_percentiles(df: DataFrame, shares: list[float], by: str = "patient_id
         """Batches of about BYTES / 16 of a row for each sketch and level."""
         waiting, size = [], 0
         for (key, width), sketch in found:
-            for i, (level, m) in enumerate(sketch.rows()):
+            for i, (level, m) in enumerate(sketch.rows() if width else [(0, np.empty((0, 0)))]):
                 waiting.append((key, width, share, level, 0 if i else sketch.error, m.tobytes()))
                 size += m.nbytes
             if size > BYTES // 16:
@@ -131,12 +132,13 @@ def vector_percentiles(df: DataFrame, shares: list[float], by: str = "patient_id
         for batch in batches:
             for key, width, level, error, data in zip(*(batch.column(c).to_pylist() for c in ("key", "width", "level", "error", "data"))):
                 if now != (key, width):
-                    if sketch:
+                    if now:
                         yield (*now, sketch)
                     now, sketch = (key, width), Sketch()
                 sketch.error += error
-                sketch.add(np.frombuffer(data).reshape(-1, width), level)
-        if sketch:
+                if width:
+                    sketch.add(np.frombuffer(data).reshape(-1, width), level)
+        if now:
             yield (*now, sketch)
 
     def in_shares(batches):
@@ -146,8 +148,8 @@ def vector_percentiles(df: DataFrame, shares: list[float], by: str = "patient_id
 
     def finish(batches):
         waiting, size = [], 0
-        for key, _, sketch in merged(batches):
-            n, q = sketch.percentiles(shares)
+        for key, width, sketch in merged(batches):
+            n, q = sketch.percentiles(shares) if width else (0, np.empty((0, 0)))
             waiting.append((key, n, sketch.error, q.tolist()))
             size += q.nbytes
             if size > BYTES // 16:
@@ -169,17 +171,19 @@ def percentiles_by_dimension(df: DataFrame, shares: list[float], by: str = "pati
     """(by, values): for each share an array of percentiles by dimension; null elements are left out, as are null and empty vectors.
 
     Groups come from sketches where those are exact, or with exact=False within their bound. Other groups, of more than SIZE
-    vectors, of several lengths or with null elements, take a row per value: exactly, or with exact=False approximately.
+    vectors, of several lengths or with null elements, take a row per value: exactly, or with exact=False approximately. The
+    sketches are made when this is called, one row a group and length in the shared folder; df is read a second time only where there are other groups.
     """
-    rows = df.select(F.col(by).alias("_g"), doubles(F.col(vector)).alias("_v")).where("size(_v) > 0")
-    uneven = (F.min(F.size("_v")) < F.max(F.size("_v"))) | F.max(F.exists("_v", F.isnull))
-    large = F.count("*") > SIZE if exact else F.lit(False)
-    other = rows.groupBy("_g").agg((uneven | large).alias("_other")).where("_other").select(F.col("_g").alias("_o"))
-    same = F.col("_g").eqNullSafe(F.col("_o"))
-    whole = F.forall("_v", F.isnotnull)
-    regular = vector_percentiles(rows.where(whole), shares, "_g", "_v").join(other, same, "left_anti").select("_g", "values")
+    rows = df.select(F.col(by).alias("_g"), F.col(vector).alias("_v"))
+    found = stored(vector_percentiles(rows, shares, "_g", "_v"), "percentiles")
+    odd = (F.count("*") > 1) | (F.min("n") == 0) | ((F.max("error") > 0) if exact else F.lit(False))
+    groups = found.groupBy("_g").agg(odd.alias("_odd"), F.first("values").alias("values"))
+    regular, other = groups.where("not _odd").select("_g", "values"), groups.where("_odd").select(F.col("_g").alias("_o"))
+    if other.isEmpty():
+        return regular.withColumnRenamed("_g", by)
     one: Column = F.percentile("v", F.array(*map(F.lit, shares))) if exact else F.percentile_approx("v", list(shares))
-    each = rows.join(other, same, "left_semi").select("_g", F.posexplode("_v").alias("d", "v")).groupBy("_g", "d").agg(one.alias("q"))
+    again = rows.join(other, F.col("_g").eqNullSafe(F.col("_o")), "left_semi")
+    each = again.select("_g", F.posexplode(doubles(F.col("_v"))).alias("d", "v")).groupBy("_g", "d").agg(one.alias("q"))
     gathered = each.groupBy("_g").agg(F.sort_array(F.collect_list(F.struct("d", "q"))).alias("_f"))
     long = gathered.select("_g", F.array(*(F.transform(F.col("_f.q"), _element(i)) for i in range(len(shares)))).alias("values"))
     return regular.unionByName(long).withColumnRenamed("_g", by)

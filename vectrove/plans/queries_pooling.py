@@ -12,6 +12,7 @@ from ..operators import metrics as M
 from ..operators import pooling as P
 from ..operators import sequences as Q
 from ..operators.sketches import vector_percentiles
+from ..shared import stored
 from .queries_basic import PAIRS, PROTOS, RESAMPLED, prototypes
 from .registry import query
 from .views import Data
@@ -29,7 +30,7 @@ def spread(df: DataFrame, by: str = "patient_id") -> DataFrame:
 @query(f"WITH {E}, f AS (SELECT patient_id, d, quantile_cont(v, 0.9) - quantile_cont(v, 0.1) AS v FROM e WHERE mask = 1 GROUP BY 1, 2), s AS (SELECT patient_id, sqrt(sum(v * v)) AS score FROM f GROUP BY 1), x AS (SELECT score, label, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0::DOUBLE AS r FROM s JOIN cohort USING (patient_id) WHERE age IS NOT NULL) SELECT count(*) AS n, (sum(r) FILTER (WHERE label = 1) - count(*) FILTER (WHERE label = 1) * (count(*) FILTER (WHERE label = 1) + 1) / 2.0::DOUBLE) / (count(*) FILTER (WHERE label = 1) * count(*) FILTER (WHERE label = 0)) AS roc_auc, sum(score) AS total FROM x", "roc_auc total")
 def spread_separates_classes(d: Data) -> DataFrame:
     tokens = C.cohort_gate(C.valid_tokens(d.tokens), d.cohort.select("patient_id", "age", "sex")).select("patient_id", "embedding")
-    score = P.pool(tokens, "p90_p10").select("patient_id", A.norm(F.col("features")).alias("score")).join(d.cohort, "patient_id")
+    score = stored(P.pool(tokens, "p90_p10").select("patient_id", A.norm(F.col("features")).alias("score")).join(d.cohort, "patient_id"), "scores")
     return M.roc_auc(score, "score", []).join(score.agg(F.count("*").alias("n"), F.sum("score").alias("total"))).select("n", "roc_auc", "total")
 
 

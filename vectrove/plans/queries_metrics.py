@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import metrics as M
 from ..operators import pooling as P
+from ..operators import replicates as R
 from ..operators import sequences as Q
 from ..operators import tests_of_hypotheses as H
 from .registry import query
@@ -127,7 +128,7 @@ mwu AS (SELECT site, n1, n0, u, sign(u - n1 * n0 / 2.0::DOUBLE) * greatest(0, ab
 
 @query(f"WITH {MWU} SELECT site, n1, n0, u, z FROM mwu", "u z")
 def m13_mann_whitney(d: Data) -> DataFrame:
-    return H.mann_whitney(d.scores, "score_b", ["site"]).drop("p")
+    return H.mann_whitney(d.scores, "score_b", ["site"]).drop("p", "exact")
 
 
 WELCH = """w AS (SELECT site, avg(score_a) FILTER (WHERE label = 0) AS m0, avg(score_a) FILTER (WHERE label = 1) AS m1, var_samp(score_a) FILTER (WHERE label = 0) / count(*) FILTER (WHERE label = 0) AS e0, var_samp(score_a) FILTER (WHERE label = 1) / count(*) FILTER (WHERE label = 1) AS e1, count(*) FILTER (WHERE label = 0) AS n0, count(*) FILTER (WHERE label = 1) AS n1 FROM scores GROUP BY 1)"""
@@ -192,7 +193,78 @@ def m20_paired_delta(d: Data) -> DataFrame:
 
 @query(f"WITH {DIFFS} SELECT a.repeat_id, count(*) AS n, sum(CASE WHEN d > 0 THEN r ELSE 0 END) AS w_plus, (sum(CASE WHEN d > 0 THEN r ELSE 0 END) - count(*) * (count(*) + 1) / 4.0::DOUBLE) / sqrt(count(*)::DOUBLE * (count(*) + 1) * (2 * count(*) + 1) / 24.0::DOUBLE - max(t) / 48.0::DOUBLE) AS z, '' AS note FROM a JOIN t USING (repeat_id) GROUP BY 1", "w_plus z")
 def m21_wilcoxon(d: Data) -> DataFrame:
-    return H.wilcoxon(d.preds.withColumn("d", F.col("prob_b") - F.col("prob_a")), "d", ["repeat_id"]).drop("p")
+    return H.wilcoxon(d.preds.withColumn("d", F.col("prob_b") - F.col("prob_a")), "d", ["repeat_id"]).drop("p", "exact")
+
+
+STEPS = "[" + ", ".join(str(x) for x in R.STEPS.tolist()) + "]"
+
+
+def weights_sql(source: str, key: str, columns: str, n: int, seed: int = 7) -> str:
+    """CTE wt(replicate, columns, w): the rows of positive weight; a weight is the number of steps not above a row's md5 digits."""
+    digits = f"CAST(('0x' || substr(md5(concat(CAST({key} AS VARCHAR), '|', CAST(r // 4 AS VARCHAR), '|{seed}')), 1 + 8 * (r % 4), 8)) AS BIGINT)"
+    return f"wd AS (SELECT r AS replicate, {columns}, {digits} AS u FROM {source} CROSS JOIN (SELECT unnest(range({n})) AS r)), wt AS (SELECT replicate, {columns}, len(list_filter({STEPS}, lambda x: x <= u)) AS w FROM wd WHERE u >= {R.STEPS[0]})"
+
+
+CURVES = """tied AS (SELECT replicate, score_b AS s, sum(w * label) AS pos, sum(w * (1 - label)) AS neg FROM wt GROUP BY 1, 2),
+cw AS (SELECT *, sum(pos) OVER (PARTITION BY replicate ORDER BY s DESC) AS tp, sum(neg) OVER (PARTITION BY replicate ORDER BY s DESC) AS fp, sum(pos) OVER (PARTITION BY replicate)::DOUBLE AS p, sum(neg) OVER (PARTITION BY replicate)::DOUBLE AS q FROM tied),
+best AS (SELECT replicate, s AS threshold, tp / p AS sensitivity, 1 - fp / q AS specificity FROM cw WHERE p > 0 AND q > 0 QUALIFY row_number() OVER (PARTITION BY replicate ORDER BY tp / p - fp / q DESC, s DESC) = 1),
+m AS (SELECT replicate, sum(pos * (q - fp + neg / 2.0::DOUBLE)) / max(p * q) AS roc_auc, sum(pos / p * tp / (tp + fp)) AS pr_auc FROM cw WHERE p > 0 AND q > 0 GROUP BY 1)"""
+
+
+@query(f"WITH {weights_sql('scores', 'patient_id', 'label, score_b', 2000)}, {CURVES} SELECT count(*) AS n_valid, {three('roc_auc', 'm')}, {three('pr_auc', 'm')} FROM m", "roc_auc_low roc_auc_mid roc_auc_high pr_auc_low pr_auc_mid pr_auc_high")
+def m17_weighted_metric(d: Data) -> DataFrame:
+    return H.weighted_bootstrap_metric(d.scores, "score_b", "patient_id", 2000, 7)
+
+
+@query(f"WITH {weights_sql('scores', 'patient_id', 'label, score_b', 2000)}, {CURVES}, x AS (SELECT * FROM m JOIN best USING (replicate)) SELECT count(*) AS n_valid, {three('threshold', 'x')}, {three('sensitivity', 'x')}, {three('specificity', 'x')}, {three('roc_auc', 'x')} FROM x", "threshold_low threshold_mid threshold_high sensitivity_low sensitivity_mid sensitivity_high specificity_low specificity_mid specificity_high roc_auc_low roc_auc_mid roc_auc_high")
+def m18_weighted_threshold(d: Data) -> DataFrame:
+    return H.weighted_bootstrap_threshold(d.scores, "score_b", "patient_id", 2000, 7)
+
+
+@query(f"WITH {weights_sql('scores', 'patient_id', 'score_b', 2000)}, m AS (SELECT replicate, sum(w * score_b) / sum(w) AS score_b FROM wt GROUP BY 1) SELECT (SELECT avg(score_b) FROM scores) AS mean, {three('score_b', 'm')} FROM m", "mean score_b_low score_b_mid score_b_high")
+def m19_weighted_mean_ci(d: Data) -> DataFrame:
+    return H.weighted_mean_ci(d.scores, "score_b", "patient_id", 2000, 7)
+
+
+@query(f"""WITH {SPLITS}, {auc_sql('preds', 'prob_b', 'repeat_id').replace('rk AS', 'rk2 AS').replace('FROM rk ', 'FROM rk2 ').replace('auc AS (', 'auc2 AS (')}, x AS (SELECT repeat_id, auc2.roc_auc - splits.roc_auc AS d FROM splits JOIN auc2 USING (repeat_id)), {weights_sql('x', 'repeat_id', 'd', 5000)},
+m AS (SELECT replicate, sum(w * d) / sum(w) AS delta FROM wt GROUP BY 1), a AS (SELECT d, rank() OVER (ORDER BY abs(d)) + (count(*) OVER (PARTITION BY abs(d)) - 1) / 2.0::DOUBLE AS r FROM x WHERE d <> 0)
+SELECT (SELECT avg(d) FROM x) AS mean, {three('delta', 'm')}, (SELECT sum(CASE WHEN d > 0 THEN r ELSE 0 END) FROM a) AS w_plus FROM m""", "mean delta_low delta_mid delta_high w_plus")
+def m20_weighted_paired_delta(d: Data) -> DataFrame:
+    both = splits(d).select("repeat_id", F.col("roc_auc").alias("a")).join(splits(d, "prob_b").select("repeat_id", F.col("roc_auc").alias("b")), "repeat_id")
+    return H.weighted_paired_delta(both, "a", "b", 5000, 7).drop("z", "p", "exact")
+
+
+@query()
+def m15_permutation_split(d: Data) -> DataFrame:
+    return R.permutation_split(d.scores, "score_b", 20000, 42)
+
+
+#: Every choice of ranks up to 16 as bits: (c, s, top), the number, the sum and the largest of the chosen ranks.
+CHOICES = f"ch AS (SELECT {' + '.join(f'(b >> {i} & 1)' for i in range(16))} AS c, {' + '.join(f'(b >> {i} & 1) * {i + 1}' for i in range(16))} AS s, len(ltrim(bin(b), '0')) AS top FROM (SELECT unnest(range(65536)) AS b))"
+
+
+@query(f"""WITH {CHOICES}, v AS (SELECT CAST(floor(patient_id / 16.0) AS BIGINT) AS block, label, score_a FROM scores), r AS (SELECT *, rank() OVER (PARTITION BY block ORDER BY score_a) AS k, count(*) OVER (PARTITION BY block, score_a) AS c FROM v),
+g AS (SELECT block, CAST(sum(label) AS BIGINT) AS n1, CAST(sum(1 - label) AS BIGINT) AS n0, sum(k) FILTER (WHERE label = 1) AS rs FROM r GROUP BY 1 HAVING max(c) = 1 AND sum(label) > 0 AND sum(1 - label) > 0),
+t AS (SELECT n, c, s, sum(count(*)) OVER (PARTITION BY n, c ORDER BY s) AS low, sum(count(*)) OVER (PARTITION BY n, c) AS whole, count(*) AS own FROM ch JOIN (SELECT unnest(range(1, 17)) AS n) ON top <= n GROUP BY n, c, s)
+SELECT block, n1, n0, rs - n1 * (n1 + 1) / 2.0::DOUBLE AS u, least(1, 2 * least(low, whole - low + own) / whole::DOUBLE) AS p FROM g JOIN t ON t.n = n1 + n0 AND t.c = n1 AND t.s = rs""", "u p")
+def m13_exact_by_block(d: Data) -> DataFrame:
+    rows = d.scores.withColumn("block", F.floor(F.col("patient_id") / 16.0))
+    return H.mann_whitney(rows, "score_a", ["block"]).where("exact").select("block", "n1", "n0", "u", "p")
+
+
+@query(f"""WITH {CHOICES}, v AS (SELECT repeat_id, CAST(floor(patient_id / 16.0) AS BIGINT) AS block, prob_b - prob_a AS d FROM preds), r AS (SELECT *, rank() OVER (PARTITION BY repeat_id, block ORDER BY abs(d)) AS k, count(*) OVER (PARTITION BY repeat_id, block, abs(d)) AS c FROM v),
+g AS (SELECT repeat_id, block, count(*) AS n, coalesce(sum(k) FILTER (WHERE d > 0), 0) AS w FROM r GROUP BY 1, 2 HAVING max(c) = 1 AND count(*) >= 3 AND min(abs(d)) > 0),
+t AS (SELECT n, s, sum(count(*)) OVER (PARTITION BY n ORDER BY s) AS low, sum(count(*)) OVER (PARTITION BY n) AS whole, count(*) AS own FROM ch JOIN (SELECT unnest(range(3, 17)) AS n) ON top <= n GROUP BY n, s)
+SELECT repeat_id, block, g.n, w::DOUBLE AS w_plus, (whole - low + own) / whole::DOUBLE AS p FROM g JOIN t ON t.n = g.n AND t.s = w""", "w_plus p")
+def m21_exact_greater(d: Data) -> DataFrame:
+    rows = d.preds.select("repeat_id", F.floor(F.col("patient_id") / 16.0).alias("block"), (F.col("prob_b") - F.col("prob_a")).alias("d"))
+    return H.wilcoxon(rows, "d", ["repeat_id", "block"], "greater").where("exact").select("repeat_id", "block", "n", F.col("w_plus").cast("double"), "p")
+
+
+@query("""WITH g AS (SELECT site, count(*) AS n, corr(label, score_a) AS r0, min(label) AS a, max(label) AS b, min(score_a) AS l, max(score_a) AS h FROM scores GROUP BY 1), k AS (SELECT *, CASE WHEN n < 3 THEN 'too_few_finite_pairs' WHEN a = b THEN 'single_class' WHEN l = h THEN 'x_constant' ELSE '' END AS note FROM g),
+z AS (SELECT site, n, note, CASE WHEN note = '' THEN r0 END AS r FROM k) SELECT site, n, note, r, r * sqrt((n - 2) / (1 - r ** 2)) AS t, CASE WHEN note = '' THEN (n - 2)::DOUBLE END AS df FROM z""", "r t df")
+def m12_point_biserial(d: Data) -> DataFrame:
+    return H.point_biserial(d.scores, "score_a", ["site"]).drop("p")
 
 
 FEATURES = "ff AS (SELECT patient_id, d, stddev_pop(v) AS v FROM (SELECT patient_id, CAST(unnest(range(len(embedding))) AS INTEGER) AS d, CAST(unnest(embedding) AS DOUBLE) AS v FROM tokens) GROUP BY 1, 2), fl AS (SELECT d, label, v FROM ff JOIN cohort USING (patient_id))"

@@ -119,17 +119,19 @@ def embedding_dedup(rows: DataFrame, cosine: float = 0.95, id_col: str = "vec_id
     good = "v is not null and size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(v, x -> x <> 0)"
     base = base.withColumn("good", F.expr(f"coalesce({good}, false)"))
     key = F.expr("if(good and id is not null, transform(v, x -> x + 0D), null)").alias("v")
-    base = stored(base.select("id", key), "vectors")
-    groups = base.where("v is not null").groupBy("v").agg(F.min("id").alias("low"), F.count("*").alias("many")).withColumn("node", F.xxhash64("v"))
 
     def pack(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("size"), batch.column("many"), pa.array([np.asarray(v, np.float64).tobytes() for v in batch.column("v").to_pylist()], pa.binary())], names=["node", "size", "many", "vector"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([None if v is None else np.asarray(v, np.float64).tobytes() for v in batch.column("v").to_pylist()], pa.binary())], names=["id", "vector"])
 
-    distinct = stored(groups.select("node", F.size("v").alias("size"), "many", "v").mapInArrow(pack, "node long, size int, many long, vector binary"), "distinct")
+    base = stored(base.select("id", key).mapInArrow(pack, "id long, vector binary"), "vectors")
+    groups = base.where("vector is not null").groupBy("vector").agg(F.min("id").alias("low"), F.count("*").alias("many"))
+    # numbers that no two vectors share; stored, so that they stay
+    distinct = stored(groups.select(F.monotonically_increasing_id().alias("node"), F.expr("cast(octet_length(vector) div 8 as int)").alias("size"), "many", "low", "vector"), "distinct")
     links, edges = metric_join(distinct, cosine, cell, side)
     whole = components(edges)
-    each = groups.join(links, "node", "left").join(whole, "node", "left").select("v", "low", F.expr("coalesce(links, 0) + many - 1").alias("n_links"), F.coalesce("component", "node").alias("group_key"))
-    each = each.join(each.groupBy("group_key").agg(F.min("low").alias("component_id")), "group_key").select("v", "n_links", "component_id")
-    out = base.join(each, "v", "left").select(F.col("id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
+    each = distinct.join(links, "node", "left").join(whole, "node", "left").select("vector", "low", F.expr("coalesce(links, 0) + many - 1").alias("n_links"), F.coalesce("component", "node").alias("group_key"))
+    each = each.join(each.groupBy("group_key").agg(F.min("low").alias("component_id")), "group_key").select("vector", "n_links", "component_id")
+    alone = base.where("vector is null").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))  # not through the join: nulls would be one key
+    out = base.join(each, "vector").select("id", "n_links", "component_id").unionByName(alone)
     return out.withColumn("kept", F.expr("id <=> component_id")).withColumnRenamed("id", id_col)

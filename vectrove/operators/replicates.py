@@ -44,7 +44,8 @@ def weights(keys: list[str], n: int, seed: int) -> np.ndarray:
 
 
 def _rows(df: DataFrame, key: str, *columns) -> DataFrame:
-    return df.select(F.coalesce(F.col(key).cast("string"), F.lit("")).alias("_key"), *columns)
+    """Keys as text and the columns, dealt out evenly: a row costs n draws, far more than its shuffle."""
+    return df.select(F.coalesce(F.col(key).cast("string"), F.lit("")).alias("_key"), *columns).repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def _parts(batch: pa.RecordBatch, n: int) -> Iterator[pa.RecordBatch]:
@@ -93,7 +94,7 @@ def weighted_curves(df: DataFrame, score: str, key: str, n: int, seed: int, labe
 
     Rows without a label (0 or 1) or a score, or with a NaN score, are left out. Areas are those of `both_areas`; the threshold
     has the largest sensitivity + specificity - 1 among the scores of positive weight, the highest of equal ones. Replicates
-    in which a class has no weight have no row. The rows are read three times.
+    in which a class has no weight have no row. The rows are written once and read three times.
     """
     s = F.col(score).cast("double")
     rows = _rows(df.where(s.isNotNull() & ~F.isnan(s) & F.col(label).isin(0, 1)), key, (s + F.lit(0.0)).alias("_s"), F.col(label).cast("int").alias("_y"))

@@ -9,6 +9,7 @@ import pytest
 
 from vectrove.operators import replicates as R
 from vectrove.operators import tests_of_hypotheses as H
+from vectrove.operators.ranks import numbered
 
 
 def drawn(key, n, seed):
@@ -154,3 +155,18 @@ def test_correlations_of_a_constant(spark):
     got = {r.g: r for r in H.correlations(spark.createDataFrame(rows, "g string, x double, y double"), "x", "y", ["g"]).collect()}
     assert (got["a"].pearson, got["a"].note) == (None, "x_constant") and got["b"].pearson is None
     assert (got["c"].pearson, got["c"].spearman) == pytest.approx((-1, -1))
+
+
+def test_numbers_of_keys_that_are_not_numbers(spark):
+    rng = np.random.default_rng(3)
+    rows = [(None if i % 4 == 0 else f"g{i % 3}", None if i == 7 else f"k{int(x):04d}") for i, x in enumerate(rng.permutation(400))]
+    df = spark.createDataFrame(rows, "g string, k string").repartition(6)
+    key = lambda k: (k is not None, k or "")
+    assert [r.i for r in sorted(numbered(df, "k", "i").collect(), key=lambda r: key(r.k))] == list(range(400))
+    got = numbered(df, "k", "i", ("g",)).collect()
+    for g in {r[0] for r in rows}:
+        mine = sorted((r for r in got if r.g == g), key=lambda r: key(r.k))
+        assert [r.i for r in mine] == list(range(len(mine))) and len(mine) == sum(x[0] == g for x in rows)
+    pairs = df.selectExpr("named_struct('a', g is null, 'b', k) as s")
+    assert sorted(r.i for r in numbered(pairs, "s", "i").collect()) == list(range(400))
+    assert numbered(df.limit(0), "k", "i").count() == 0

@@ -34,10 +34,21 @@ def running(df: DataFrame, order: str, by: list[str], sums: dict[str, Column], t
 
 
 def numbered(df: DataFrame, key: str, name: str, by: tuple[str, ...] = ()) -> DataFrame:
-    """Adds the row's number from 0 in the order of a key. Keys that are not numbers are ordered in one task a group."""
-    if df.schema[key].dataType.typeName() in ("string", "binary", "struct", "array", "boolean"):
-        return df.withColumn(name, (F.row_number().over(Window.partitionBy(*by).orderBy(key)) - 1).cast("long"))
-    return running(df, key, list(by), {name: F.lit(1).cast("long")})
+    """Adds the row's number from 0 in the order of a key, nulls first. Rows of equal keys are numbered in any order."""
+    if df.schema[key].dataType.typeName() not in ("string", "binary", "struct", "array", "boolean"):
+        return running(df, key, list(by), {name: F.lit(1).cast("long")})
+    # keys without percentiles: Spark's own ranges, stored so that each row keeps its range
+    rows = stored(df.repartitionByRange(RANGES, *by, key).withColumn("_range", F.spark_partition_id()), "ranges")
+    each = rows.groupBy(*by, "_range").agg(F.count("*").alias("_n"))
+    if not by:  # RANGES rows, so one task is enough
+        each = each.coalesce(1)
+    before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    each = each.select(*(F.col(c).alias(f"_k_{c}") for c in (*by, "_range")), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    same = F.lit(True)
+    for c in (*by, "_range"):
+        same = same & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
+    place = F.row_number().over(Window.partitionBy(*by, "_range").orderBy(key)) - 1
+    return rows.withColumn("_place", place).join(each, same).select(*df.columns, (F.col("_place") + F.col("_before")).cast("long").alias(name))
 
 
 def ties(df: DataFrame, value: str, by: list[str], **sums: Column) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import arrays as A
 from ..functions import clean as C
 from ..operators import joins as J
+from ..operators.ranks import numbered
 from ..sources import tables as S
 from .registry import query
 from .views import Data
@@ -161,10 +162,8 @@ def p08_cohort_gate(d: Data) -> DataFrame:
 
 @query("SELECT k AS key, row_number() OVER (ORDER BY TRY_CAST(k AS BIGINT) IS NULL, TRY_CAST(k AS BIGINT), k) AS place FROM (SELECT DISTINCT CASE WHEN c_custkey % 3 = 0 THEN c_name ELSE CAST(c_custkey AS VARCHAR) END AS k FROM customer)")
 def p09_coerce_split_key(d: Data) -> DataFrame:
-    from pyspark.sql import Window
-
     keys = d.customer.select(F.when(F.col("c_custkey") % 3 == 0, F.col("c_name")).otherwise(F.col("c_custkey").cast("string")).alias("key")).distinct()
-    return keys.withColumn("order", C.coerce_split_key(F.col("key"))).select("key", F.row_number().over(Window.orderBy("order")).cast("long").alias("place"))
+    return numbered(keys.withColumn("order", C.coerce_split_key(F.col("key"))), "order", "_i").select("key", (F.col("_i") + 1).alias("place"))
 
 
 @query("SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN c_name ELSE c_name || '_x' END AS id FROM customer")

@@ -9,6 +9,7 @@ import pytest
 
 from vectrove.operators import replicates as R
 from vectrove.operators import tests_of_hypotheses as H
+from vectrove.operators.joins import assign_prototypes
 from vectrove.operators.ranks import numbered
 
 
@@ -170,3 +171,11 @@ def test_numbers_of_keys_that_are_not_numbers(spark):
     pairs = df.selectExpr("named_struct('a', g is null, 'b', k) as s")
     assert sorted(r.i for r in numbered(pairs, "s", "i").collect()) == list(range(400))
     assert numbered(df.limit(0), "k", "i").count() == 0
+
+
+def test_too_many_prototypes_are_an_error(spark):
+    rows = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(3)], "k int, centroid array<double>")
+    tokens = spark.createDataFrame([([1.0, 0.0],)], "embedding array<double>")
+    assert assign_prototypes(tokens, rows, most=3).first().proto == 2
+    with pytest.raises(ValueError):
+        assign_prototypes(tokens, rows, most=2)

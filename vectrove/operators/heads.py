@@ -215,14 +215,14 @@ def kfold_select(df: DataFrame, heads: list[tuple[str, dict]], k: int = 5, key:
     return s.withColumn("best", F.row_number().over(Window.orderBy(F.col("mean").desc(), "config")) == 1)
 
 
-def refit_and_test(df: DataFrame, flag: str, kind: str, params: dict, n: int = 100, seed: int = 7, key: str = "patient_id") -> DataFrame:
-    """Fit on the flagged rows, test once on the others, with a bootstrap interval."""
-    from .tests_of_hypotheses import bootstrap_metric
+def refit_and_test(df: DataFrame, flag: str, kind: str, params: dict, n: int = 100, seed: int = 7, key: str = "patient_id", weighted: bool = False) -> DataFrame:
+    """Fit on the flagged rows, test once on the others, with a bootstrap interval, by weights if `weighted`."""
+    from .tests_of_hypotheses import bootstrap_metric, weighted_bootstrap_metric
 
     rows = with_vector(standardise(df, flag))
     _, score = fit_head(rows.where(flag), kind, **params)
     test = grouped.kept(score(rows.where(f"not ({flag})")).select(key, "label", "score"))
-    return both_areas(test, "score", []).join(bootstrap_metric(test, "score", key, n, seed))
+    return both_areas(test, "score", []).join((weighted_bootstrap_metric if weighted else bootstrap_metric)(test, "score", key, n, seed))
 
 
 def grid_search(df: DataFrame, kind: str, grid: list[dict], k: int = 3, key: str = "patient_id") -> dict:

@@ -116,12 +116,15 @@ def leave_one_split_out(df: DataFrame, score: str, key: str = "patient_id", spli
     return df.withColumn("_loo", F.when(n > 1, (s - F.col(score)) / (n - 1))).join(F.broadcast(whole)).withColumn("loo", F.coalesce("_loo", "_all")).drop("_loo", "_all")  # one row
 
 
-def assign_prototypes(tokens: DataFrame, prototypes: DataFrame, vector: str = "embedding") -> DataFrame:
+def assign_prototypes(tokens: DataFrame, prototypes: DataFrame, vector: str = "embedding", most: int = 16384) -> DataFrame:
     """Adds proto and similarity: the prototype (k, centroid) with the largest product; ties take the lowest k.
 
-    Prototypes are a model's K rows, shipped to the tasks as one matrix; Arrow batches are multiplied with it.
+    Prototypes are a model's K rows, shipped to the tasks as one matrix; Arrow batches are multiplied with it. More than
+    `most` of them are an error.
     """
-    rows = sorted(prototypes.select("k", "centroid").collect())
+    rows = sorted(prototypes.select("k", "centroid").limit(most + 1).collect())
+    if len(rows) > most:
+        raise ValueError(f"more than {most} prototypes")
     names, matrix = np.array([r.k for r in rows]), np.array([r.centroid for r in rows], float)
 
     @F.pandas_udf("struct<proto:int,similarity:double>")

@@ -179,3 +179,41 @@ def test_too_many_prototypes_are_an_error(spark):
     assert assign_prototypes(tokens, rows, most=3).first().proto == 2
     with pytest.raises(ValueError):
         assign_prototypes(tokens, rows, most=2)
+
+
+def picked(n, r, seed):
+    """How often each of n rows is drawn in a replicate, draw by draw."""
+    out = [0] * n
+    for i in range(n):
+        out[min(n - 1, math.floor(int(md5(f"{i}|{r}|{seed}".encode()).hexdigest()[:8], 16) / 4294967295.0 * n))] += 1
+    return out
+
+
+def test_draws_with_replacement_one_by_one_over_blocks_and_parts(spark, monkeypatch):
+    monkeypatch.setattr(R, "COUNTS", 500)  # several blocks of rows
+    monkeypatch.setattr(R, "DRAWS", 70)  # several parts of a replicate
+    rows = [(3 * i, i / 7, i % 3 if i % 3 < 2 else None) for i in range(250)]
+    df = spark.createDataFrame(rows, "k long, s double, label int").repartition(5)
+    got = {r.k: list(r._w) for r in R.drawn(df, "k", 6, 7).collect()}
+    every = np.array([picked(250, r, 7) for r in range(6)]).T
+    assert [got[3 * i] for i in range(250)] == every.tolist()
+    for y in (0, 1):  # within classes, without the rows of none
+        mine = [k for k, _, z in rows if z == y]
+        got = {r.k: list(r._w) for r in R.drawn(df, "k", 6, 7, "label").where(f"label = {y}").collect()}
+        assert [got[k] for k in mine] == np.array([picked(len(mine), r, 7) for r in range(6)]).T.tolist()
+    assert R.drawn(df, "k", 6, 7, "label").where("label is null").count() == 0
+    assert R.drawn(df.limit(0), "k", 6, 7).count() == 0
+
+
+def test_areas_of_drawn_rows(spark):
+    rows = [(i, float(i % 9), int(i % 9 + i % 4 > 5)) for i in range(120)]
+    df = spark.createDataFrame(rows + [(500, None, 1)], "k long, s double, label int")
+    got = {r.replicate: r for r in R.drawn_curves(df, "s", "k", 40, 7).collect()}
+    s, y = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
+    for r in range(40):
+        w = np.array(picked(121, r, 7)[:120])  # the row without a score is drawn too
+        pos, neg = w * (y == 1), w * (y == 0)
+        won = sum(a * (neg[s < x].sum() + neg[s == x].sum() / 2) for a, x in zip(pos, s)) / (pos.sum() * neg.sum())
+        assert got[r].roc_auc == pytest.approx(won, abs=1e-12)
+    assert H.bootstrap_metric(df, "s", "k", 40, 7).first().n_valid == 40
+    assert H.bootstrap_metric(df.limit(0), "s", "k", 40, 7).first().n_valid == 0

@@ -9,13 +9,20 @@ weights of each slot - one for each score that is a cut, one for each open range
 rows. A second pass sends the open ranges' rows, once each, to the task of their range, which goes through them from the top,
 starting from the sums of the slots above. A score that many rows share is a cut, so its rows are only added, never sent.
 
-Permutations. Rows lie in blocks. The number of label-1 places that fall into a block is hypergeometric, halved down a tree
+Draws with replacement. Draw i of a replicate takes the row of number floor(U(i, replicate, seed) N), so a replicate is a
+count for each row. Tasks compute a replicate's draws some at a time and send the counts of each block of row numbers, a byte
+a row; a block's rows get theirs as one column, whose bytes then serve as weights.
+
+Permutations by md5. The label-1 places are the k rows of least digest. A block of rows sends, for each permutation, sums of
+what lies safely below the k-th digest, and the digests near it one by one.
+
+Permutations by blocks. Rows lie in blocks. The number of label-1 places that fall into a block is hypergeometric, halved down a tree
 of blocks; inside a block the places are a random choice. Each block sends one sum for each permutation.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from hashlib import md5
 
 import numpy as np
@@ -24,7 +31,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.digests import Digests
 from ..shared import stored
+from .ranks import numbered
 
 #: Smallest md5 digits (of 2**32) that give a weight of at least 1, 2, ...: 2**32 times Poisson's distribution function of mean 1, rounded.
 STEPS = np.rint(2.0**32 * np.exp(-1.0) * np.cumsum(1 / np.cumprod(np.r_[1.0, np.arange(1, 13)]))).astype(np.int64)
@@ -33,6 +42,8 @@ STEPS = STEPS[STEPS < 2**32]
 CUTS, BLOCK, CELLS = 64, 128, 2_000_000
 #: Blocks of a permutation test at most, and rows of a block where there are fewer blocks.
 BLOCKS, ROWS = 1024, 256
+#: Draws of a replicate worked on at once; bytes of counts of a block of rows; rows of a block in a permutation by md5; its permutations worked on at once.
+DRAWS, COUNTS, KEYS, SOME = 1 << 22, 1 << 25, 32_768, 1_000
 
 
 def weights(keys: list[str], n: int, seed: int) -> np.ndarray:
@@ -55,6 +66,92 @@ def _parts(batch: pa.RecordBatch, n: int) -> Iterator[pa.RecordBatch]:
         yield batch.slice(i, step)
 
 
+def _given(part: pa.RecordBatch, n: int) -> np.ndarray:
+    """The weights that rows carry in _w, a byte for each of n replicates."""
+    return np.frombuffer(b"".join(part["_w"].to_pylist()), np.uint8).reshape(part.num_rows, n)
+
+
+def drawn(df: DataFrame, key: str, n: int, seed: int, strata: str | None = None) -> DataFrame:
+    """Adds _w: how often each of n replicates draws the row, with replacement, as many rows as there are, within strata if named.
+
+    Draw i of a replicate takes the row of number floor(U(i, replicate, seed) N) in the order of the key, U being the first
+    eight md5 digits of "i|replicate|seed" over 2**32 - 1. Rows of a null stratum are left out. A row drawn more than 255 times
+    in one replicate is an error.
+    """
+    spark, by = df.sparkSession, [strata] if strata else []
+    rows = stored(df.where(F.col(strata).isNotNull()) if by else df, "rows")
+    sizes = rows.groupBy(*by).agg(F.count("*").alias("_n"))
+    told = [(i, *r) for i, r in enumerate(sizes.collect()) if r["_n"]]  # a row a stratum
+    many = {r[0]: r[-1] for r in told}
+    parts = [(h, i, min(size, i + DRAWS)) for h, size in many.items() for i in range(0, size, DRAWS)]
+    block = max(1, COUNTS // max(1, n) // max(1, max((-(-x // DRAWS) for x in many.values()), default=1)))
+    counted = pa.schema([("_h", pa.int32()), ("_block", pa.int64()), ("_r", pa.int32()), ("_counts", pa.binary())])
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in batch["id"].to_pylist():
+                (h, low, high), r = parts[at % len(parts)], at // len(parts)
+                size, tail, picks = many[h], f"|{r}|{seed}".encode(), []
+                for i in range(low, high, 1 << 18):
+                    u = Digests.of_numbers(i, min(high, i + (1 << 18))).leading(tail) / 4294967295.0
+                    picks.append(np.minimum(np.floor(u * size), size - 1).astype(np.int64))
+                picks = np.sort(np.concatenate(picks))
+                edges = np.searchsorted(picks, np.arange(0, size + block, block))
+                counts = [np.bincount(picks[a:b] - k * block, minlength=min(block, size - k * block)) for k, (a, b) in enumerate(zip(edges, edges[1:]))]
+                if max(c.max() for c in counts) > 255:
+                    raise ValueError("a row was drawn more than 255 times")
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(([h] * len(counts), range(len(counts)), [r] * len(counts), [c.astype(np.uint8).tobytes() for c in counts]), counted)], schema=counted)
+
+    shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tasks = n * len(parts)
+    counts = spark.range(0, tasks, 1, max(1, min(tasks, shuffles))).mapInArrow(draw, "_h int, _block long, _r int, _counts binary")
+    numbers = numbered(rows, key, "_i", tuple(by))
+    if by:
+        levels = spark.createDataFrame([(i, v) for i, v, _ in told], f"_h int, _level {rows.schema[strata].dataType.simpleString()}")
+        numbers = numbers.join(F.broadcast(levels), F.col(strata) == F.col("_level")).drop("_level")  # a row a stratum
+    else:
+        numbers = numbers.withColumn("_h", F.lit(0))
+    numbers = numbers.withColumns({"_block": F.floor(F.col("_i") / block).cast("long"), "_at": (F.col("_i") % block).cast("int")}).drop("_i")
+
+    columns, fields = df.columns, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+
+    def give(mine: pa.Table, found: pa.Table) -> pa.Table:
+        at, w = mine["_at"].to_numpy(), np.zeros((0, n), np.uint8)
+        if len(at):
+            w = np.zeros((n, block), np.uint8)
+            for r, raw in zip(found["_r"].to_pylist(), found["_counts"]):
+                c = np.frombuffer(raw.as_buffer(), np.uint8)
+                w[r, : len(c)] += c
+                if (w[r, : len(c)] < c).any():
+                    raise ValueError("a row was drawn more than 255 times")
+            w = np.ascontiguousarray(w.T)[at]
+        bytes_ = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(np.arange(len(at) + 1, dtype=np.int32) * np.int32(n)), pa.py_buffer(w)])
+        return mine.select(columns).append_column("_w", bytes_)
+
+    if not told:
+        return df.limit(0).withColumn("_w", F.lit(None).cast("binary"))
+    return numbers.groupBy("_h", "_block").cogroup(counts.groupBy("_h", "_block")).applyInArrow(give, f"{fields}, _w binary")
+
+
+def drawn_means(df: DataFrame, value: str, key: str, n: int, seed: int) -> DataFrame:
+    """(replicate, value) of n means of rows drawn with replacement. Nulls are left out, a NaN makes its replicates NaN; a replicate without a value has a null."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((2, n))
+        for batch in batches:
+            for part in _parts(batch, n):
+                w, v = _given(part, n).astype(np.float64), part["_v"].to_numpy()
+                good = np.isfinite(v)
+                total += np.stack([v[good] @ w[good], w.sum(0)])
+                for i in np.flatnonzero(~good):
+                    total[0] += np.where(w[i] > 0, v[i], 0.0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(n, dtype=np.int32)), pa.array(total[0]), pa.array(total[1])], ["replicate", "_s", "_w"])
+
+    rows = drawn(df.select(key, F.col(value).cast("double").alias("_v")), key, n, seed).where("_v is not null").select("_v", "_w")
+    sums = rows.mapInArrow(add, "replicate int, _s double, _w double")
+    return sums.groupBy("replicate").agg(F.sum("_s").alias("_s"), F.sum("_w").alias("_w")).select("replicate", F.try_divide("_s", "_w").alias(value))
+
+
 def weighted_means(df: DataFrame, value: str, key: str, n: int, seed: int) -> DataFrame:
     """(replicate, value) of n weighted means, from one scan that sends n rows a task. Null and NaN values are left out; a replicate without weight has no row."""
 
@@ -98,7 +195,20 @@ def weighted_curves(df: DataFrame, score: str, key: str, n: int, seed: int, labe
     """
     s = F.col(score).cast("double")
     rows = _rows(df.where(s.isNotNull() & ~F.isnan(s) & F.col(label).isin(0, 1)), key, (s + F.lit(0.0)).alias("_s"), F.col(label).cast("int").alias("_y"))
-    rows = stored(rows, "scores")
+    return _curves(rows, n, "_key", lambda part: weights(part["_key"].to_pylist(), n, seed))
+
+
+def drawn_curves(df: DataFrame, score: str, key: str, n: int, seed: int, label: str = "label", strata: str | None = None) -> DataFrame:
+    """As weighted_curves, of n replicates drawn with replacement from all rows, those without a score or label included."""
+    rows = drawn(df.select(*dict.fromkeys([key, label, score, *[strata] * bool(strata)])), key, n, seed, strata)
+    s = F.col(score).cast("double")
+    rows = rows.where(s.isNotNull() & ~F.isnan(s) & F.col(label).isin(0, 1)).select("_w", (s + F.lit(0.0)).alias("_s"), F.col(label).cast("int").alias("_y"))
+    return _curves(rows, n, "_w", lambda part: _given(part, n))
+
+
+def _curves(rows: DataFrame, n: int, source: str, weigh: Callable[[pa.RecordBatch], np.ndarray]) -> DataFrame:
+    """The curves of rows (_s, _y and the source of their weights)."""
+    rows, kind = stored(rows, "scores"), rows.schema[source].dataType
     found = rows.agg(F.percentile_approx("_s", [i / CUTS for i in range(1, CUTS)], 1000)).first()[0]  # 63 numbers
     cuts = np.unique(np.array(found or [], np.float64))
     blocks = [(b, slice(b * BLOCK, min(n, (b + 1) * BLOCK))) for b in range(-(-n // BLOCK))]
@@ -107,11 +217,11 @@ def weighted_curves(df: DataFrame, score: str, key: str, n: int, seed: int, labe
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for part in _parts(batch, n):
-                w, y, at = weights(part["_key"].to_pylist(), n, seed), part["_y"].to_numpy(), _slots(part["_s"].to_numpy(), cuts)
+                w, y, at = weigh(part), part["_y"].to_numpy(), _slots(part["_s"].to_numpy(), cuts)
                 for slot in np.unique(at).tolist():
                     mine = at == slot
                     sums.setdefault(slot, np.zeros((2, n), np.int64))
-                    sums[slot] += np.stack([w[mine & (y == 1)].sum(0), w[mine & (y == 0)].sum(0)])
+                    sums[slot] += np.stack([w[mine & (y == 1)].sum(0, dtype=np.int64), w[mine & (y == 0)].sum(0, dtype=np.int64)])
         for slot, (pos, neg) in sums.items():
             yield _table([(slot, b, pos[r], neg[r]) for b, r in blocks])
 
@@ -137,7 +247,7 @@ def weighted_curves(df: DataFrame, score: str, key: str, n: int, seed: int, labe
     at = F.size(F.filter(F.lit(cuts.tolist()).cast("array<double>"), lambda c: c < F.col("_s")))
     is_cut = F.array_contains(F.lit(cuts.tolist()).cast("array<double>"), F.col("_s"))
     body = rows.where(~is_cut).withColumn("_slot", (2 * at).cast("int")).withColumns({**empty, "_block": F.lit(None).cast("int")})
-    heads = heads.withColumns({"_key": F.lit(None).cast("string"), "_s": F.lit(None).cast("double"), "_y": F.lit(None).cast("int")})
+    heads = heads.withColumns({source: F.lit(None).cast(kind), "_s": F.lit(None).cast("double"), "_y": F.lit(None).cast("int")})
     mixed = body.unionByName(heads).repartition(len(cuts) + 1, "_slot").sortWithinPartitions("_slot", F.col("_s").desc_nulls_first())
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,7 +267,7 @@ def weighted_curves(df: DataFrame, score: str, key: str, n: int, seed: int, labe
                 for i in range(heads):
                     state.head(int(part["_block"][i].as_py()), {c: part[c][i].values.to_numpy() for c in ("_pos", "_neg", "_tp", "_fp", "_p", "_q")})
                 for some in _parts(part.slice(heads), n):
-                    state.rows(some["_s"].to_numpy(), some["_y"].to_numpy(), weights(some["_key"].to_pylist(), n, seed))
+                    state.rows(some["_s"].to_numpy(), some["_y"].to_numpy(), weigh(some))
         if state is not None:
             yield state.result()
 
@@ -190,7 +300,7 @@ class _Walk:
                 self._close()
             self.last = float(scores[i])
             ones = labels[i:j] == 1
-            self.tie += np.stack([w[i:j][ones].sum(0), w[i:j][~ones].sum(0)])
+            self.tie += np.stack([w[i:j][ones].sum(0, dtype=np.int64), w[i:j][~ones].sum(0, dtype=np.int64)])
 
     def _close(self) -> None:
         """Account for the tie at hand."""

@@ -17,19 +17,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..shared import stored
-from .metrics import both_areas, youden_threshold
-from .ranks import numbered, ties
-from .replicates import weighted_curves, weighted_means
+from .ranks import ties
+from .replicates import drawn_curves, drawn_means, weighted_curves, weighted_means
 
 #: Exact p-values: at most so many rows in the smaller class, at most so many pairs.
 EXACT_CLASS, EXACT_PAIRS = 8, 50
 
 
-def uniform(*parts: Column) -> Column:
-    """A number in [0, 1] from the md5 of the parts joined by bars."""
-    return F.conv(F.substring(F.md5(F.concat_ws("|", *(p.cast("string") for p in parts))), 1, 8), 16, 10).cast("double") / F.lit(4294967295.0)
-
-
 @F.pandas_udf(DoubleType())
 def normal_two_sided(z: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Two-sided p of a standard normal z."""
@@ -220,40 +214,25 @@ def cliffs_delta(df: DataFrame, value: str, by: list[str], label: str = "label")
     return u.select(*by, F.when(F.col("n1") * F.col("n0") > 0, 2 * F.col("u") / (F.col("n1") * F.col("n0")) - 1).otherwise(0.0).alias("delta"))
 
 
-def bootstrap_rows(df: DataFrame, key: str, n: int, seed: int, strata: str | None = None) -> DataFrame:
-    """Rows drawn with replacement, n times as many rows as there are, within strata if named; adds replicate.
-
-    Draw i of a replicate takes the row of number floor(U(i, replicate, seed) N). Numbers join rows to draws; a stratum's rows
-    are numbered by key.
-    """
-    by = [strata] if strata else []
-    sizes = df.groupBy(*by).agg(F.count("*").alias("_n"))
-    rows = numbered(df, key, "_i", tuple(by))
-    rows = rows.join(F.broadcast(sizes), by) if by else rows.join(F.broadcast(sizes))  # a row a stratum
-    draws = _replicates(rows.select(*by, "_i", "_n"), n).withColumn("_pick", F.least(F.floor(uniform(F.col("_i"), F.col("replicate"), F.lit(seed)) * F.col("_n")), F.col("_n") - 1).cast("int"))
-    return draws.select(*by, "replicate", F.col("_pick").alias("_i")).join(rows.drop("_n"), [*by, "_i"]).drop("_i")
-
-
 def _interval(df: DataFrame, value: str, alpha: float = 0.05) -> list[Column]:
     good = F.when(~F.isnan(value), F.col(value))
     return [F.percentile(good, alpha / 2).alias(f"{value}_low"), F.percentile(good, 0.5).alias(f"{value}_mid"), F.percentile(good, 1 - alpha / 2).alias(f"{value}_high")]
 
 
-def bootstrap_metric(df: DataFrame, score: str, key: str, n: int, seed: int) -> DataFrame:
-    """2.5, 50 and 97.5 percent points of both areas; replicates of one class are skipped."""
-    each = both_areas(bootstrap_rows(df, key, n, seed), score, ["replicate"])
-    good = each.where(~F.isnan("roc_auc"))
-    return good.agg(F.count("*").alias("n_valid"), *_interval(good, "roc_auc"), *_interval(good, "pr_auc"))
+def bootstrap_metric(df: DataFrame, score: str, key: str, n: int, seed: int, label: str = "label") -> DataFrame:
+    """2.5, 50 and 97.5 percent points of both areas of rows drawn with replacement (`replicates`); replicates of one class are skipped."""
+    each = stored(drawn_curves(df, score, key, n, seed, label), "replicates")  # n rows, read by several percentiles
+    return each.agg(F.count("*").alias("n_valid"), *_interval(each, "roc_auc"), *_interval(each, "pr_auc"))
 
 
 def bootstrap_threshold(df: DataFrame, score: str, key: str, n: int, seed: int, label: str = "label") -> DataFrame:
     """Interval of the Youden threshold and of its index under class-wise resampling."""
-    each = youden_threshold(bootstrap_rows(df, key, n, seed, label), score, ["replicate"], label)
+    each = stored(drawn_curves(df, score, key, n, seed, label, label), "replicates")
     return each.agg(*_interval(each, "threshold"), *_interval(each, "youden"))
 
 
 def bootstrap_mean_ci(df: DataFrame, value: str, key: str, n: int, seed: int, alpha: float = 0.05) -> DataFrame:
-    each = bootstrap_rows(df.select(key, value), key, n, seed).groupBy("replicate").agg(F.avg(value).alias(value))
+    each = drawn_means(df, value, key, n, seed)
     return df.agg(F.avg(value).alias("mean")).join(each.agg(*_interval(each, value, alpha)))
 
 

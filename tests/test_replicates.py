@@ -217,3 +217,14 @@ def test_areas_of_drawn_rows(spark):
         assert got[r].roc_auc == pytest.approx(won, abs=1e-12)
     assert H.bootstrap_metric(df, "s", "k", 40, 7).first().n_valid == 40
     assert H.bootstrap_metric(df.limit(0), "s", "k", 40, 7).first().n_valid == 0
+
+
+def test_means_of_drawn_rows(spark):
+    rows = [(i, None if i % 10 == 3 else float(i % 17)) for i in range(90)]
+    got = {r.replicate: r.v for r in R.drawn_means(spark.createDataFrame(rows, "k long, v double"), "v", "k", 20, 7).collect()}
+    for r in range(20):
+        w = picked(90, r, 7)
+        has = [(a, v) for a, (_, v) in zip(w, rows) if v is not None]
+        assert got[r] == pytest.approx(sum(a * v for a, v in has) / sum(a for a, _ in has), abs=1e-12)
+    odd = R.drawn_means(spark.createDataFrame([(1, float("nan")), (2, 1.0), (3, 2.0)], "k long, v double"), "v", "k", 20, 7).collect()
+    assert {r.replicate for r in odd if r.v != r.v} == {r for r in range(20) if picked(3, r, 7)[0]}

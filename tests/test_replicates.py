@@ -228,3 +228,14 @@ def test_means_of_drawn_rows(spark):
         assert got[r] == pytest.approx(sum(a * v for a, v in has) / sum(a for a, _ in has), abs=1e-12)
     odd = R.drawn_means(spark.createDataFrame([(1, float("nan")), (2, 1.0), (3, 2.0)], "k long, v double"), "v", "k", 20, 7).collect()
     assert {r.replicate for r in odd if r.v != r.v} == {r for r in range(20) if picked(3, r, 7)[0]}
+
+
+def test_thresholds_of_rows_drawn_within_classes(spark):
+    rows = [(i, float(i % 11), int(i % 11 + i % 5 > 6)) for i in range(130)]
+    got = {r.replicate: r for r in R.drawn_curves(spark.createDataFrame(rows, "k long, s double, label int"), "s", "k", 20, 7, "label", "label").collect()}
+    classes = [[s for _, s, y in rows if y == z] for z in (0, 1)]
+    for r in range(20):
+        neg, pos = ([(s, a) for s, a in zip(mine, picked(len(mine), r, 7)) if a] for mine in classes)
+        rate = lambda some, x: sum(a for s, a in some if s >= x) / sum(a for _, a in some)
+        best = max({s for s, _ in pos + neg}, key=lambda x: (rate(pos, x) - rate(neg, x), x))
+        assert (got[r].threshold, got[r].youden) == (best, pytest.approx(rate(pos, best) - rate(neg, best), abs=1e-12))

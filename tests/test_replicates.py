@@ -239,3 +239,15 @@ def test_thresholds_of_rows_drawn_within_classes(spark):
         rate = lambda some, x: sum(a for s, a in some if s >= x) / sum(a for _, a in some)
         best = max({s for s, _ in pos + neg}, key=lambda x: (rate(pos, x) - rate(neg, x), x))
         assert (got[r].threshold, got[r].youden) == (best, pytest.approx(rate(pos, best) - rate(neg, best), abs=1e-12))
+
+
+def test_ordered_permutations_over_blocks_and_groups(spark, monkeypatch):
+    monkeypatch.setattr(R, "KEYS", 30)
+    monkeypatch.setattr(R, "SOME", 7)
+    rows = [(f"k{i}" * (1 + 20 * (i % 50 == 0)), None if i % 9 == 4 else float(i % 31)) for i in range(140)]  # some keys longer than an md5 block
+    df = spark.createDataFrame(rows, "k string, v double")
+    for ones in (0, 1, 50, 140):
+        got = {r.replicate: (r._s, r._c) for r in R.ordered_permutations(df, "v", "k", 20, 42, ones, 140).collect()}
+        for r in range(20):
+            first = [v for k, v in sorted(rows, key=lambda x: md5(f"{x[0]}|{r}|42".encode()).hexdigest())[:ones] if v is not None]
+            assert got[r] == (sum(first), len(first))

@@ -18,7 +18,7 @@ from pyspark.sql.types import DoubleType
 
 from ..shared import stored
 from .ranks import ties
-from .replicates import drawn_curves, drawn_means, weighted_curves, weighted_means
+from .replicates import drawn_curves, drawn_means, ordered_permutations, weighted_curves, weighted_means
 
 #: Exact p-values: at most so many rows in the smaller class, at most so many pairs.
 EXACT_CLASS, EXACT_PAIRS = 8, 50
@@ -184,28 +184,18 @@ def welch_t(df: DataFrame, value: str, by: list[str], label: str = "label") -> D
     return out.withColumn("p", t_two_sided(F.col("t"), F.col("df")))
 
 
-def _replicates(df: DataFrame, n: int) -> DataFrame:
-    return df.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-
-
-def permutation_p(df: DataFrame, value: str, key: str, n: int, seed: int, label: str = "label", parts: int = 2) -> DataFrame:
+def permutation_p(df: DataFrame, value: str, key: str, n: int, seed: int, label: str = "label") -> DataFrame:
     """(difference, p) of class means under n permutations of the labels: (times as far + 1) / (n + 1).
 
-    The rows of least md5 get label 1. They are counted by the first `parts` hex digits, so only one part of a replicate is
-    put in order. Rows without a value take part in the order, not in the means.
+    The rows of least md5 get label 1 (`replicates`). Rows without a value take part in the order, not in the means. No rows in, no rows out.
     """
     one = lambda c, k: F.avg(F.when(F.col(label) == k, F.col(c)))
-    whole = df.agg(F.sum(label).alias("_k"), (one(value, 1) - one(value, 0)).alias("difference"), F.sum(value).alias("_all"), F.count(value).alias("_m"))
-    order = F.md5(F.concat_ws("|", F.col(key).cast("string"), F.col("replicate").cast("string"), F.lit(str(seed))))
-    drawn = _replicates(df.select(key, F.col(value).alias("_x")), n).withColumn("_o", order).withColumn("_part", F.substring("_o", 1, parts))
-    counts = drawn.groupBy("replicate", "_part").agg(F.count("*").alias("_n"), F.sum("_x").alias("_s"), F.count("_x").alias("_c"))
-    counts = counts.withColumn("_upto", F.sum("_n").over(Window.partitionBy("replicate").orderBy("_part"))).join(F.broadcast(whole))  # one row
-    inside = counts.where("_upto <= _k").groupBy("replicate").agg(F.sum("_s").alias("_s"), F.sum("_c").alias("_c"))
-    cut = counts.where("_upto > _k and _upto - _n < _k").select("replicate", "_part", (F.col("_k") - F.col("_upto") + F.col("_n")).alias("_need"))
-    ranked = drawn.join(cut, ["replicate", "_part"]).withColumn("_i", F.row_number().over(Window.partitionBy("replicate").orderBy("_o", key))).where("_i <= _need")
-    taken = inside.unionByName(ranked.groupBy("replicate").agg(F.sum("_x").alias("_s"), F.count("_x").alias("_c"))).groupBy("replicate").agg(F.sum("_s").alias("_s"), F.sum("_c").alias("_c"))
-    each = taken.join(F.broadcast(whole)).withColumn("_d", F.try_divide(F.coalesce("_s", F.lit(0.0)), "_c") - F.try_divide(F.col("_all") - F.coalesce("_s", F.lit(0.0)), F.col("_m") - F.col("_c")))  # one row
-    return each.groupBy("difference").agg(((F.sum((F.abs("_d") >= F.abs("difference") - 1e-12).cast("int")) + 1) / F.lit(n + 1.0)).alias("p"))
+    rows = stored(df.select(key, label, F.col(value).cast("double").alias(value)), "rows")
+    whole = rows.agg(F.sum(label).alias("_k"), (one(value, 1) - one(value, 0)).alias("difference"), F.sum(value).alias("_all"), F.count(value).alias("_m"), F.count("*").alias("_rows"))
+    told = whole.first()  # one row
+    each = ordered_permutations(rows, value, key, n if told["_rows"] else 0, seed, int(told["_k"] or 0), max(1, told["_rows"]))
+    each = each.join(F.broadcast(whole)).withColumn("_d", F.try_divide("_s", "_c") - F.try_divide(F.col("_all") - F.col("_s"), F.col("_m") - F.col("_c")))  # one row
+    return each.groupBy("difference").agg(((F.coalesce(F.sum((F.abs("_d") >= F.abs("difference") - 1e-12).cast("int")), F.lit(0)) + 1) / F.lit(n + 1.0)).alias("p"))
 
 
 def cliffs_delta(df: DataFrame, value: str, by: list[str], label: str = "label") -> DataFrame:

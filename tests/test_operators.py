@@ -334,3 +334,17 @@ def test_cohort_files_with_numeric_and_text_labels(spark):
     assert [(r.label, r.age, r.sex) for r in C.harmonise_cohort(numbers).orderBy("patient_id").collect()] == [(1, 61.0, "M"), (0, None, "F"), (None, None, None)]
     texts = spark.createDataFrame([("1", "Takotsubo", 1, "F"), ("2", "control case", 1, "F"), ("3", "12", 1, "F"), ("4", "1.0", 1, "F"), ("5", None, 1, "F")], "id string, Label string, age int, sex string")
     assert [r.label for r in C.harmonise_cohort(texts).orderBy("patient_id").collect()] == [1, 0, 12, 0, None]
+
+
+def test_prototypes_of_equal_weight_tie_in_any_order_of_the_rows(spark):
+    from vectrove.operators import pooling as P
+
+    rows = []
+    for g in range(40):  # 0.1 + 0.2 + 0.3 and 0.3 + 0.2 + 0.1 differ as doubles
+        for c, values in ((0, (0.1, 0.2, 0.3)), (1, (0.3, 0.2, 0.1))) if g % 2 else ((0, (0.3, 0.2, 0.1)), (1, (0.1, 0.2, 0.3))):
+            rows += [(g, c, v) for v in values]
+    df = spark.createDataFrame(rows, "patient_id int, cluster_id int, v double").coalesce(1)
+    for top in (0.0, 1e30, float("nan")):  # a weight too large for decimals takes doubles
+        more = df.unionByName(spark.createDataFrame([(99, 0, top)], "patient_id int, cluster_id int, v double"))
+        got = {r.cluster_id: r.n for r in P.prototype_regions(more, "v", "cluster_id", 1).collect()}
+        assert got == {0: 121} if top == 0.0 else sum(got.values()) == 121

@@ -211,9 +211,17 @@ def prototype_contribution(df: DataFrame, weight: str, labels: DataFrame, by: st
     return df.join(labels, by).groupBy("cluster_id").agg(side(0).alias("weight_0"), side(1).alias("weight_1")).withColumn("delta", F.col("weight_1") - F.col("weight_0"))
 
 
+def exact_sum(df: DataFrame, column: str):
+    """Sum of a column in decimals, the same in any order of the rows; of doubles where one is not finite or has more than 27 digits."""
+    top = df.agg(F.max(F.abs(F.col(column).cast("double")))).first()[0]
+    if top is None or not top < 1e27:  # NaN too
+        return F.sum(column)
+    return F.sum(F.col(column).cast(f"decimal(28,{28 - len(str(int(top))) - 1})"))
+
+
 def prototype_regions(df: DataFrame, weight: str, region: str, top: int = 5, by: str = "patient_id") -> DataFrame:
-    """(region, n): tokens of each group's `top` prototypes of largest weight, by region."""
-    sums = df.groupBy(by, "cluster_id").agg(F.sum(weight).alias("w"))
+    """(region, n): tokens of each group's `top` prototypes of largest weight, by region. Weights are added exactly, so equal ones tie."""
+    sums = df.groupBy(by, "cluster_id").agg(exact_sum(df, weight).alias("w"))
     best = sums.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy(F.col("w").desc(), "cluster_id"))).where(F.col("place") <= top)
     return df.join(best.select(by, "cluster_id"), [by, "cluster_id"]).groupBy(region).agg(F.count("*").alias("n"))
 

@@ -194,4 +194,23 @@ def test_one_head_by_its_registered_name(spark):
         assert len(scores) == 40 and np.isfinite(high)
     with pytest.raises(ValueError):
         H.fit_head(df.drop("patient_id"), "calibrated_svc")
-    
\ No newline at end of file
+    
+
+def test_repeated_fits_read_their_features_once_and_stacks_their_predictions(spark):
+    from pyspark.sql import functions as F
+
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(x):
+        read.add(1)
+        return x
+
+    counted = counted.asNondeterministic()  # neither moved nor dropped
+    rows = spark.createDataFrame([(i, i % 2, float(i % 7)) for i in range(40)], "patient_id int, label int, v double")
+    H.all_predictions(rows.select("patient_id", "label", F.array(counted("v")).alias("features")), [("logistic_l2", {"c": 1.0})], 3).count()
+    assert read.value == 40
+    preds = spark.createDataFrame([(r, i, 0.1 * (i % 5) + 0.2 * (i % 2)) for r in range(3) for i in range(40) if i % 3 == r], "repeat_id int, patient_id int, p double")
+    cohort = rows.select("patient_id", "label", F.col("v").alias("age"), (F.col("label") * 0.0).alias("sex_code"))
+    assert H.clinical_vs_stack(preds.select("repeat_id", "patient_id", counted("p").alias("prob")), cohort).count() == 3
+    assert read.value == 80

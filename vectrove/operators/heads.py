@@ -164,7 +164,8 @@ def _named(heads: list[tuple[str, dict]]) -> Column:
 
 def all_predictions(df: DataFrame, heads: list[tuple[str, dict]], n: int, test: float = 0.2, seed: int = 42, scale: bool = True, key: str = "patient_id") -> DataFrame:
     """Training and test scores of each repeat and head: (repeat_id, model, key, label, is_test, prob_tts)."""
-    rows = grouped.kept(grouped.by_tests(_for(df.select(key, "label", "features"), heads, key), stratified_repeats(df, n, test, seed, key), key))
+    df = grouped.kept(df.select(key, "label", "features"))  # folds, repeats and rows each read it
+    rows = grouped.kept(grouped.by_tests(_for(df, heads, key), stratified_repeats(df, n, test, seed, key), key))
     found = grouped.scores(rows, fit_heads(rows, n, heads, "standard" if scale else None), [key, "label"])
     return found.select("repeat_id", _named(heads).alias("model"), key, "label", "is_test", F.col("score").alias("prob_tts"))
 
@@ -187,6 +188,7 @@ def oos_predictions(scored: DataFrame, source: str, pooling: str, n: int, test:
 
 def repeated_eval(scored: DataFrame, key: str = "patient_id") -> DataFrame:
     """Per repeat and model: test and training areas, sizes and test ids."""
+    scored = grouped.kept(scored)  # read five times
     by = ["repeat_id", "model"]
     test, train = scored.where("is_test"), scored.where("not is_test")
     a = both_areas(test, "prob_tts", by)
@@ -201,6 +203,7 @@ def eval_summary(repeats: DataFrame) -> DataFrame:
 
 def kfold_scores(df: DataFrame, heads: list[tuple[str, dict]], k: int = 5, key: str = "patient_id") -> DataFrame:
     """(model, config, fold, roc_auc) of stratified folds; each fold is a split of one grouped fit."""
+    df = grouped.kept(df.select(key, "label", "features"))
     folds = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda f: F.when(f == F.col("fold"), -1).otherwise(F.col("label")).cast("int"))
     rows = stratified_folds(df, k, key=key).select(key, "label", "features", folds.alias("target"))
     rows = grouped.kept(_for(rows, heads, key))
@@ -233,20 +236,20 @@ def grid_search(df: DataFrame, kind: str, grid: list[dict], k: int = 3, key: str
 
 def clinical_baseline(cohort: DataFrame, n: int, test: float = 0.2, seed: int = 42) -> DataFrame:
     """Repeated evaluation of min-max age and sex by a balanced logistic."""
-    df = cohort.select("patient_id", "label", F.array("age", "sex_code").alias("features"))
-    return _clinical(grouped.by_tests(df, stratified_repeats(df, n, test, seed)), n, "clinical")
+    df = grouped.kept(cohort.select("patient_id", "label", F.array("age", "sex_code").alias("features")))
+    return _clinical(grouped.kept(grouped.by_tests(df, stratified_repeats(df, n, test, seed))), n, "clinical")
 
 
-def _clinical(rows: DataFrame, n: int, name: str) -> DataFrame:
-    """A balanced logistic on min-max features of each split; a split with one class in training has NaN scores."""
-    rows = grouped.kept(rows.select("patient_id", "label", "features", "target", *["repeat_id"] * ("repeat_id" in rows.columns)))
-    found = grouped.scores(rows, grouped.fit(rows, n, [("logistic_l2", {"c": 1.0})], "minmax"), ["patient_id", "label"])
+def _clinical(rows: DataFrame, n: int, name: str, only: str = "true") -> DataFrame:
+    """A balanced logistic on min-max features of each split, and scores of the rows of a condition; a split with one class in training has NaN scores. Every pass reads the rows."""
+    found = grouped.scores(rows.where(only), grouped.fit(rows, n, [("logistic_l2", {"c": 1.0})], "minmax"), ["patient_id", "label"])
     return found.select("repeat_id", F.lit(name).alias("model"), "patient_id", "label", "is_test", F.col("score").alias("prob_tts"))
 
 
 def stack_features(preds: DataFrame, cohort: DataFrame, blend: str = "prob") -> DataFrame:
     """(repeat_id, patient_id, label, age, sex_code, is_test, stacked): a test row's own blend of the split; a training row's mean
     blend over the splits in which it was tested, else the mean of all."""
+    preds = grouped.kept(preds.select("repeat_id", "patient_id", blend))  # read four times
     whole = preds.agg(F.avg(blend).alias("_all"))
     mean = preds.groupBy("patient_id").agg(F.avg(blend).alias("_mean"))
     splits = preds.select("repeat_id").distinct()
@@ -255,22 +258,27 @@ def stack_features(preds: DataFrame, cohort: DataFrame, blend: str = "prob") ->
     return rows.select("repeat_id", "patient_id", "label", "age", "sex_code", F.col("_own").isNotNull().alias("is_test"), F.coalesce("_own", "_mean", "_all").alias("stacked"))
 
 
-def _stacked(rows: DataFrame, names: list[str], name: str) -> DataFrame:
+def _stack_rows(preds: DataFrame, cohort: DataFrame, blend: str) -> DataFrame:
+    """Stored rows of stack_features; a task has a split's rows one after the other, so that a batch meets few splits."""
+    return grouped.kept(stack_features(preds, cohort, blend).sortWithinPartitions("repeat_id"))
+
+
+def _stacked(rows: DataFrame, names: list[str], name: str, only: str = "true") -> DataFrame:
     n = rows.agg(F.max("repeat_id")).first()[0] + 1
     target = F.array(F.when(F.col("is_test"), -1).otherwise(F.col("label")).cast("int"))
-    return _clinical(rows.select(F.col("repeat_id").cast("int").alias("repeat_id"), "patient_id", "label", F.array(*names).alias("features"), target.alias("target")), n, name)
+    return _clinical(rows.select(F.col("repeat_id").cast("int").alias("repeat_id"), "patient_id", "label", F.array(*names).alias("features"), target.alias("target")), n, name, only)
 
 
 def clinical_stack(preds: DataFrame, cohort: DataFrame, blend: str = "prob") -> DataFrame:
     """Per split a balanced logistic on min-max stacked score, min-max age and sex."""
-    return _stacked(stack_features(preds, cohort, blend), ["stacked", "age", "sex_code"], "stack")
+    return _stacked(_stack_rows(preds, cohort, blend), ["stacked", "age", "sex_code"], "stack")
 
 
 def clinical_vs_stack(preds: DataFrame, cohort: DataFrame, blend: str = "prob") -> DataFrame:
     """Per split: areas of clinical alone and of the stack on the same rows, and their differences."""
-    rows = grouped.kept(stack_features(preds, cohort, blend))
-    stack, alone = _stacked(rows, ["stacked", "age", "sex_code"], "stack"), _stacked(rows, ["age", "sex_code"], "clinical")
-    area = lambda df, s: both_areas(df.where("is_test"), "prob_tts", ["repeat_id"]).withColumnsRenamed({"roc_auc": f"roc_{s}", "pr_auc": f"pr_{s}"})
+    rows = _stack_rows(preds, cohort, blend)
+    stack, alone = (_stacked(rows, names, name, "target[0] < 0") for names, name in ((["stacked", "age", "sex_code"], "stack"), (["age", "sex_code"], "clinical")))  # test rows
+    area = lambda df, s: both_areas(df, "prob_tts", ["repeat_id"]).withColumnsRenamed({"roc_auc": f"roc_{s}", "pr_auc": f"pr_{s}"})
     return area(alone, "clinical").join(area(stack, "stack"), "repeat_id").withColumns({"delta_roc": F.col("roc_stack") - F.col("roc_clinical"), "delta_pr": F.col("pr_stack") - F.col("pr_clinical")})
 
 
@@ -282,14 +290,15 @@ def coef_table(spark, model) -> DataFrame:
 
 def coef_repeat_matrix(df: DataFrame, n: int, c: float, l1_ratio: float, seed: int = 42) -> DataFrame:
     """(repeat_id, feature, coef) of an elastic net per repeat."""
-    rows = grouped.kept(grouped.by_tests(df.select("patient_id", "label", "features"), stratified_repeats(df, n, 0.2, seed)))
+    df = grouped.kept(df.select("patient_id", "label", "features"))
+    rows = grouped.kept(grouped.by_tests(df, stratified_repeats(df, n, 0.2, seed)))
     found = grouped.fit(rows, n, [("logistic_en", {"c": c, "l1_ratio": l1_ratio})]).coef[:, 0]
     return df.sparkSession.createDataFrame([(r, i, float(x)) for r, each in enumerate(found) for i, x in enumerate(each)], "repeat_id int, feature int, coef double")
 
 
 def pooling_ablation(features: dict[str, DataFrame], cohort: DataFrame, heads: list[tuple[str, dict]], n: int = 100) -> DataFrame:
     """(pooling, model, statistics) of each pooling and head."""
-    parts = []
+    parts, cohort = [], grouped.kept(cohort.select("patient_id", "label"))
     for name, f in features.items():
         scored = all_predictions(f.join(cohort.select("patient_id", "label"), "patient_id"), heads, n)
         parts.append(nan_summary(repeated_eval(scored), ["model"]).withColumn("pooling", F.lit(name)))
@@ -308,7 +317,7 @@ def batch_from_settings(settings: DataFrame, features: dict[str, DataFrame], coh
     parts = []
     for pooling in dict.fromkeys(s.pooling for s in found):
         mine = [s for s in found if s.pooling == pooling]
-        f = features[pooling].join(cohort.select("patient_id", "label"), "patient_id")
+        f = grouped.kept(features[pooling].join(cohort.select("patient_id", "label"), "patient_id").select("patient_id", "label", "features"))
         heads = [(s.model, {p: s[p] for p in ("c", "l1_ratio", "gamma", "alpha", "hidden") if p in settings.columns and s[p] is not None}) for s in mine]
         rows = grouped.kept(grouped.by_tests(_for(f.select("patient_id", "label", "features"), heads, "patient_id"), stratified_repeats(f, n)))
         scored = grouped.scores(rows, fit_heads(rows, n, heads), ["patient_id", "label"]).withColumnsRenamed({"config": "model", "score": "prob_tts"})
@@ -323,6 +332,7 @@ def best_of_sources(summary: DataFrame, by: str, tie: str) -> DataFrame:
 
 def label_shuffle_null(df: DataFrame, flag: str, kind: str, params: dict, n: int, seed: int = 42, key: str = "patient_id") -> DataFrame:
     """(true_auc, n, p): test area against those of refits on permuted training labels; all refits are one grouped fit."""
+    df = grouped.kept(df)
     train = numbered(df.where(flag).select(key, "label"), key, "_i")
     order = F.md5(F.concat_ws("|", F.col(key).cast("string"), F.col("replicate").cast("string"), F.lit(str(seed))))
     drawn = train.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))

@@ -214,3 +214,13 @@ def test_language_with_few_grams_and_on_held_out_rows(spark, sf_dir):
     for most in (6_000_000, 20_000):
         held = [r for r in language.predict_language(docs, most_grams=most).collect() if r.held_out]
         assert np.mean([truth[r.doc_id] == r.lang_pred for r in held]) > 0.95
+
+
+def test_all_grams_are_kept_unless_a_limit_is_given(spark):
+    import inspect
+
+    rows = spark.createDataFrame([("en", t) for t in ENGLISH], "lang string, text string")
+    every, few = language.train(rows), language.train(rows, 60)
+    n = language.probabilities(language.counted(rows)).where("p > 0").count()
+    assert len(every.tables[0][0]) == n > len(few.tables[0][0])
+    assert inspect.signature(language.predict_language).parameters["most_grams"].default is None

@@ -17,7 +17,7 @@ _RARE = re.compile(r"[\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u20
 _SAFE = re.compile(rf"(?<=[^{SPACE}]) (?=[^{SPACE}])")
 
 #: Characters of text worked on at once; characters and pieces that a worker keeps.
-SLICE, CHARACTERS, PIECES = 3_000_000, 8_000_000, 800_000
+SLICE, CHARACTERS, PIECES = 1_000_000, 5_000_000, 500_000
 
 
 def keys(text: str) -> list[str]:

@@ -251,3 +251,14 @@ def test_ordered_permutations_over_blocks_and_groups(spark, monkeypatch):
         for r in range(20):
             first = [v for k, v in sorted(rows, key=lambda x: md5(f"{x[0]}|{r}|42".encode()).hexdigest())[:ones] if v is not None]
             assert got[r] == (sum(first), len(first))
+
+
+def test_means_send_sums_of_blocks_and_numbers_are_laid_out_once(spark, monkeypatch):
+    monkeypatch.setattr(R, "DRAWS", 70)
+    monkeypatch.setattr(R, "drawn", None)  # a row never carries its draws to a mean
+    rows = [(i, None if i % 9 == 0 else float(i)) for i in range(200)]
+    found = R.drawn_means(spark.createDataFrame(rows, "k long, v double").repartition(3), "v", "k", 12, 7)
+    got = {r.replicate: r.v for r in found.collect()}
+    for r in range(12):
+        picks = [min(199, int(int(md5(f"{i}|{r}|7".encode()).hexdigest()[:8], 16) / 4294967295 * 200)) for i in range(200)]
+        assert got[r] == pytest.approx(np.mean([rows[p][1] for p in picks if rows[p][1] is not None]), abs=1e-12)

@@ -11,7 +11,8 @@ starting from the sums of the slots above. A score that many rows share is a cut
 
 Draws with replacement. Draw i of a replicate takes the row of number floor(U(i, replicate, seed) N), so a replicate is a
 count for each row. Tasks compute a replicate's draws some at a time and send the counts of each block of row numbers, a byte
-a row; a block's rows get theirs as one column, whose bytes then serve as weights.
+a row; a block's rows get theirs as one column, whose bytes then serve as weights. Means need no such column: the counts meet
+a block's values, and the block sends a sum a replicate.
 
 Permutations by md5. The label-1 places are the k rows of least digest. A block of rows sends, for each permutation, sums of
 what lies safely below the k-th digest, and the digests near it one by one.
@@ -78,6 +79,29 @@ def drawn(df: DataFrame, key: str, n: int, seed: int, strata: str | None = None)
     eight md5 digits of "i|replicate|seed" over 2**32 - 1. Rows of a null stratum are left out. A row drawn more than 255 times
     in one replicate is an error.
     """
+    pairs, block = _counted(df, key, n, seed, strata)
+    if pairs is None:
+        return df.limit(0).withColumn("_w", F.lit(None).cast("binary"))
+    columns, fields = df.columns, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+
+    def give(mine: pa.Table, found: pa.Table) -> pa.Table:
+        at, w = mine["_at"].to_numpy(), np.zeros((0, n), np.uint8)
+        if len(at):
+            w = np.zeros((n, block), np.uint8)
+            for r, raw in zip(found["_r"].to_pylist(), found["_counts"]):
+                c = np.frombuffer(raw.as_buffer(), np.uint8)
+                w[r, : len(c)] += c
+                if (w[r, : len(c)] < c).any():
+                    raise ValueError("a row was drawn more than 255 times")
+            w = np.ascontiguousarray(w.T)[at]
+        bytes_ = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(np.arange(len(at) + 1, dtype=np.int32) * np.int32(n)), pa.py_buffer(w)])
+        return mine.select(columns).append_column("_w", bytes_)
+
+    return pairs.applyInArrow(give, f"{fields}, _w binary")
+
+
+def _counted(df: DataFrame, key: str, n: int, seed: int, strata: str | None = None):
+    """The draws of `drawn`: blocks of rows, with their places _at, beside the blocks' counts (_r, _counts), and the rows of a block; None without rows."""
     spark, by = df.sparkSession, [strata] if strata else []
     rows = stored(df.where(F.col(strata).isNotNull()) if by else df, "rows")
     sizes = rows.groupBy(*by).agg(F.count("*").alias("_n"))
@@ -88,12 +112,15 @@ def drawn(df: DataFrame, key: str, n: int, seed: int, strata: str | None = None)
     counted = pa.schema([("_h", pa.int32()), ("_block", pa.int64()), ("_r", pa.int32()), ("_counts", pa.binary())])
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, digests = -1, []
         for batch in batches:
             for at in batch["id"].to_pylist():
-                (h, low, high), r = parts[at % len(parts)], at // len(parts)
+                (h, low, high), r = parts[at // n], at % n
+                if at // n != part:  # the numbers are laid out once for a task's replicates
+                    part, digests = at // n, [Digests.of_numbers(i, min(high, i + (1 << 18))) for i in range(low, high, 1 << 18)]
                 size, tail, picks = many[h], f"|{r}|{seed}".encode(), []
-                for i in range(low, high, 1 << 18):
-                    u = Digests.of_numbers(i, min(high, i + (1 << 18))).leading(tail) / 4294967295.0
+                for some in digests:
+                    u = some.leading(tail) / 4294967295.0
                     picks.append(np.minimum(np.floor(u * size), size - 1).astype(np.int64))
                 picks = np.sort(np.concatenate(picks))
                 edges = np.searchsorted(picks, np.arange(0, size + block, block))
@@ -112,43 +139,30 @@ def drawn(df: DataFrame, key: str, n: int, seed: int, strata: str | None = None)
     else:
         numbers = numbers.withColumn("_h", F.lit(0))
     numbers = numbers.withColumns({"_block": F.floor(F.col("_i") / block).cast("long"), "_at": (F.col("_i") % block).cast("int")}).drop("_i")
-
-    columns, fields = df.columns, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-
-    def give(mine: pa.Table, found: pa.Table) -> pa.Table:
-        at, w = mine["_at"].to_numpy(), np.zeros((0, n), np.uint8)
-        if len(at):
-            w = np.zeros((n, block), np.uint8)
-            for r, raw in zip(found["_r"].to_pylist(), found["_counts"]):
-                c = np.frombuffer(raw.as_buffer(), np.uint8)
-                w[r, : len(c)] += c
-                if (w[r, : len(c)] < c).any():
-                    raise ValueError("a row was drawn more than 255 times")
-            w = np.ascontiguousarray(w.T)[at]
-        bytes_ = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(np.arange(len(at) + 1, dtype=np.int32) * np.int32(n)), pa.py_buffer(w)])
-        return mine.select(columns).append_column("_w", bytes_)
-
-    if not told:
-        return df.limit(0).withColumn("_w", F.lit(None).cast("binary"))
-    return numbers.groupBy("_h", "_block").cogroup(counts.groupBy("_h", "_block")).applyInArrow(give, f"{fields}, _w binary")
+    return (numbers.groupBy("_h", "_block").cogroup(counts.groupBy("_h", "_block")) if told else None), block
 
 
 def drawn_means(df: DataFrame, value: str, key: str, n: int, seed: int) -> DataFrame:
     """(replicate, value) of n means of rows drawn with replacement. Nulls are left out, a NaN makes its replicates NaN; a replicate without a value has a null."""
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, n))
-        for batch in batches:
-            for part in _parts(batch, n):
-                w, v = _given(part, n).astype(np.float64), part["_v"].to_numpy()
-                good = np.isfinite(v)
-                total += np.stack([v[good] @ w[good], w.sum(0)])
-                for i in np.flatnonzero(~good):
-                    total[0] += np.where(w[i] > 0, v[i], 0.0)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(n, dtype=np.int32)), pa.array(total[0]), pa.array(total[1])], ["replicate", "_s", "_w"])
-
-    rows = drawn(df.select(key, F.col(value).cast("double").alias("_v")), key, n, seed).where("_v is not null").select("_v", "_w")
-    sums = rows.mapInArrow(add, "replicate int, _s double, _w double")
+    schema = pa.schema([("replicate", pa.int32()), ("_s", pa.float64()), ("_w", pa.float64())])
+
+    def add(mine: pa.Table, found: pa.Table) -> pa.Table:
+        has = mine.filter(mine["_v"].is_valid())
+        at, v, total = has["_at"].to_numpy(), has["_v"].to_numpy(), np.zeros((2, n))
+        good = np.isfinite(v)
+        both = np.stack([np.where(good, v, 0.0), np.ones(len(v))], axis=1)
+        for r, raw in zip(found["_r"].to_pylist(), found["_counts"]):
+            c = np.frombuffer(raw.as_buffer(), np.uint8)[at]
+            total[:, r] += c @ both
+            total[0, r] += v[~good & (c > 0)].sum()
+        return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip((np.arange(n, dtype=np.int32), *total), schema)], schema=schema)
+
+    pairs, _ = _counted(df.select(key, F.col(value).cast("double").alias("_v")), key, n, seed)
+    if pairs is None:
+        sums = df.sparkSession.createDataFrame([], "replicate int, _s double, _w double")
+    else:
+        sums = pairs.applyInArrow(add, "replicate int, _s double, _w double")
     return sums.groupBy("replicate").agg(F.sum("_s").alias("_s"), F.sum("_w").alias("_w")).select("replicate", F.try_divide("_s", "_w").alias(value))
 
 

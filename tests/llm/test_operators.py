@@ -506,3 +506,18 @@ def test_with_quotes_makes_partial_and_interleaved_quotes(spark, sf_dir):
     passages = {k: [p for level, p in quotes.parse(text)[1] if level == 1] for k, text in made.items()}
     assert any(len(p) == 2 and "\n".join(p) == plain[(c, t - 1)] for (c, t), p in passages.items())
     assert any(len(p) == 1 and p[0] != plain[(c, t - 1)] for (c, t), p in passages.items())
+
+
+def test_new_pieces_go_to_the_tokenizer_whole():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encode, plain = packing.Encoder(path, public_tokenizers.PATTERN), Tokenizer.from_file(path)
+    texts = ["one, two. three's 4x (five)! " * 3, " lead", "a  b \n c\n\nd\t e ", "é漢字!? ünï", "", "x" * 3000 + ", y", "they'll'll 　wide\xa0space", "two. <|endoftext|> two.", "tail\n"]
+    for mine in (texts, texts[::-1], texts):  # from the tokenizer, then from the store
+        ids, many = encode(mine)
+        want = [plain.encode(t, add_special_tokens=False).ids for t in mine]
+        assert many.tolist() == list(map(len, want)) and ids.tolist() == [i for w in want for i in w]
+    fresh = packing.Encoder(path, public_tokenizers.PATTERN)
+    fresh(["go word, word. word, stop!"])
+    assert len(fresh.known.at) == 4  # pieces alone, not their matches too

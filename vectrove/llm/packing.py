@@ -31,10 +31,11 @@ PRICE = 3.0
 
 
 class Encoder:
-    """Token ids of texts by a tokenizers file, which gets each distinct match of the pattern that a worker meets.
+    """Token ids of texts by a tokenizers file, which gets each distinct piece (`pieces.keys`) that a worker meets and splits it itself.
 
-    Matches that begin with a space follow each other in one text without changing each other's tokens, so they are
+    Pieces that begin with a space follow each other in one text without changing each other's tokens, so they are
     encoded in joint texts of about JOINT characters and told apart by their tokens' bytes; others are encoded alone.
+    The pattern, the tokenizer's own split, only names the encoder.
     """
 
     _made: dict = {}
@@ -47,7 +48,6 @@ class Encoder:
 
     def __init__(self, path: str, pattern: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -55,7 +55,7 @@ class Encoder:
         vocabulary = self.tokenizer.get_vocab()
         self.bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)  # byte-level: one character of a token's name is one byte
         self.bytes[list(vocabulary.values())] = list(map(len, vocabulary))
-        self.known = Known(regex.compile(pattern).findall, self._encode)
+        self.known = Known(None, self._encode)
 
     def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of these words, and the number of ids of each."""

@@ -7,7 +7,6 @@ from collections.abc import Callable
 from itertools import compress, repeat
 
 import numpy as np
-import pyarrow as pa
 
 from .words import in_use
 
@@ -78,10 +77,11 @@ def slices(texts: list[str | None]):
 class Known:
     """Ids of the pieces that a worker has met, within CHARACTERS and PIECES; thinned out when full, so results never depend on it.
 
-    `encode` takes distinct matches of the pattern and returns all their ids in one array and the number for each.
+    `encode` takes distinct matches of the pattern, or whole pieces where it splits them itself and find is None, and returns
+    all their ids in one array and the number for each.
     """
 
-    def __init__(self, find: Callable[[str], list[str]], encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]):
+    def __init__(self, find: Callable[[str], list[str]] | None, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]):
         self.find, self.encode = find, encode
         self.clear()
 
@@ -121,7 +121,10 @@ class Known:
         self.held += sum(map(len, names))
 
     def _learn(self, new: list[str]) -> None:
-        """Encode new pieces by their matches; pieces that allow it are searched for them as one text."""
+        """Encode new pieces, by their matches if they are to be found; pieces that allow it are searched for them as one text."""
+        if self.find is None:
+            self._keep(new, *self.encode([spelled(k) for k in new]))
+            return
         joint, lone = [], []
         for k in new:
             (lone if k[0] == " " or k[-1].isspace() else joint).append(k)
@@ -150,18 +153,18 @@ class Known:
         """The ids of all texts in one array, and the number for each text."""
         in_use(self)
         cut = [keys(t) for t in texts]
-        many = np.array([len(c) for c in cut], np.int64)
-        met = pa.array([k for c in cut for k in c], pa.large_string()).dictionary_encode()
-        names = met.dictionary.to_numpy(zero_copy_only=False).tolist()
+        many, flat = np.array([len(c) for c in cut], np.int64), [k for c in cut for k in c]
         if self.held > CHARACTERS or len(self.at) > PIECES:
             self._thin()
-        where = np.fromiter(map(self.at.get, names, repeat(-1)), np.int64, len(names))
-        new = np.flatnonzero(where < 0)
+        which = np.fromiter(map(self.at.get, flat, repeat(-1)), np.int64, len(flat))
+        new = np.flatnonzero(which < 0)
         if len(new):
-            self._learn([names[i] for i in new])
-            where[new] = [self.at[names[i]] for i in new]
-        self.met[where] += 1
-        which = where[met.indices.to_numpy()]
+            unknown = [flat[i] for i in new.tolist()]
+            self._learn(list(dict.fromkeys(unknown)))
+            which[new] = [self.at[k] for k in unknown]
+        met = np.zeros(len(self.at), bool)
+        met[which] = True
+        self.met[: len(met)] += met
         sizes = self.size[which]
         total = np.r_[0, np.cumsum(sizes)]
         ends = np.cumsum(many)

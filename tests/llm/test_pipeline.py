@@ -110,3 +110,10 @@ def test_near_copies_keep_one(spark):
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == [(False, 1), (False, 5), (False, 6), (False, 9)]
     cut = {r.doc_id: r for r in stages.remove_repeated_passages(spark, docs, "").collect() if r.doc_id is not None}
     assert cut[1].text == "tail" and cut[1].n_chars == 4 and cut[5].text is None and cut[9].text == "other text of its own here"
+
+
+def test_near_copies_end_in_a_small_plan(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    kept = stages.keep_one_of_near_copies(spark, docs, sf_dir)
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") <= 4 and kept.count() < docs.count()

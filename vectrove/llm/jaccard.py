@@ -265,6 +265,7 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     named = sets.select("hash", "n", "name", F.lower(F.hex("name")).alias("node"))
     least = rows.groupBy("hash").agg(F.min("id").alias("least_id"))
     group = named.join(least, "hash").join(found, "node", "left").select("hash", "n", "name", "least_id", F.coalesce("component", "node").alias("group_key"))
+    group = stored(group, "groups")  # read twice
     lowest = group.where("name is not null").groupBy("group_key").agg(F.min("least_id").alias("component_id"))
     final = group.join(lowest, "group_key", "left").select("hash", F.col("n").alias("n_shingles"), "component_id")
     return rows.select("id", "hash").join(final, "hash").select(F.col("id").alias(id_col), "n_shingles", F.expr("if(n_shingles = 0, id, component_id)").alias("component_id"))

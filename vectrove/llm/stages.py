@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from .jaccard import ngram_jaccard_join
 from .packing import pack
 from .quality import quality_filter
+from .storage import stored
 from .substring import substring_dedup
 from .toxicity import toxicity_filter
 
@@ -45,6 +46,7 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     key = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_text_md5")
     groups = ngram_jaccard_join(keyed.select(key.alias("key"), "text"), n=5, percent=80, id_col="key")
     gone = groups.where("component_id <> key").select(F.col("key.doc_id").alias("gone_id"), F.col("key._text_md5").alias("gone_md5")).distinct()
+    gone = stored(gone, "gone")  # what follows is a small plan, not the whole join several times
     kept = keyed.join(gone, keyed.doc_id.eqNullSafe(gone.gone_id) & (keyed._text_md5 == gone.gone_md5), "left_anti")
     twice = keyed.groupBy("doc_id", "_text_md5").count().where("count > 1").select(F.col("doc_id").alias("twice_id"), F.col("_text_md5").alias("twice_md5"))
     if twice.isEmpty():

@@ -167,6 +167,36 @@ def test_toxicity(spark):
     assert 1001 not in {r.doc_id for r in toxicity.toxicity_filter(d, labels).collect()}
 
 
+def test_toxicity_learns_from_all_labelled_rows(spark, monkeypatch):
+    texts = [f"word{i % 97} word{i % 89} word{i % 83}" + (" grunk" if i % 2 else "") for i in range(9000)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(9000)] + [(20_000 + i, 1) for i in range(50)], "doc_id int, toxic int")
+    seen, learned = [], toxicity.learned
+    monkeypatch.setattr(toxicity, "learned", lambda blocks, n: seen.append((blocks.collect(), n)) or learned(blocks, n))
+    rows = toxicity.toxicity_scores(docs(spark, texts + ["no label"], [*range(9000), 50_000]), labels).collect()
+    (blocks, n), = seen
+    allowed = [i for i in range(9000) if zlib.crc32(str(i).encode()) % 3 != 1]
+    y = np.concatenate([np.frombuffer(r.y, np.int8) for r in blocks])
+    assert len(blocks) > 1 and len(y) == n.sum() == len(allowed) and y.sum() == n[:, 1].sum() == sum(i % 2 for i in allowed)
+    assert np.frombuffer(b"".join(r.met for r in blocks), np.int32).reshape(-1, 2, 2, toxicity.BUCKETS).sum(axis=(0, 1))[:, zlib.crc32(b"grunk") % toxicity.BUCKETS].tolist()[1] == y.sum()
+    assert np.mean([r.predicted == r.doc_id % 2 for r in rows if r.doc_id < 9000 and r.held_out]) > 0.99
+
+
+def test_toxicity_in_many_small_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"word{k}" for k in rng.integers(0, 300, 30)) + (" grunklo" if i % 4 == 0 else "") for i in range(600)]
+    monkeypatch.setattr(toxicity, "ROWS", 50)
+    rows = toxicity.toxicity_scores(docs(spark, texts), spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(600)], "doc_id long, toxic int")).collect()
+    assert np.mean([r.predicted == (r.doc_id % 4 == 0) for r in rows if r.held_out]) > 0.95
+
+
+def test_buckets_are_hashes_of_words_and_runs():
+    words = ["a", "é", "ab", "abc", "grunklo", "日本語", "." * 300]
+    marked = [b"<" + w.encode() + b">" for w in words]
+    want = [[zlib.crc32(w.encode()), *(zlib.crc32(m[i : i + 4]) for i in range(max(1, len(m) - 3)))] for w, m in zip(words, marked)]
+    ids, sizes = toxicity.buckets(words)
+    assert sizes.tolist() == [len(x) for x in want] and ids.tolist() == [v % toxicity.BUCKETS for x in want for v in x]
+
+
 def brute_components(n, links):
     root = list(range(n))
 

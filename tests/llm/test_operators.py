@@ -8,10 +8,12 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from vectrove.llm import bpe, exchange, jaccard, media, neighbours, packing, quality, quotes, substring, toxicity, warc
 from vectrove.llm.components import components
+from vectrove.llm.words import Memo
 
 SCHEMA = "doc_id long, text string, id long, block string, hash string, v int"
 
@@ -189,6 +191,24 @@ def test_toxicity_in_many_small_blocks(spark, monkeypatch):
     assert np.mean([r.predicted == (r.doc_id % 4 == 0) for r in rows if r.held_out]) > 0.95
 
 
+def test_toxicity_tasks_hold_one_block_at_a_time(spark, monkeypatch):
+    key, batches, summed = "spark.sql.execution.arrow.maxRecordsPerBatch", [], toxicity.summed
+    largest = lambda found: (pa.RecordBatch.from_pydict({"n": [batch.num_rows]}) for batch in found)
+    monkeypatch.setattr(toxicity, "summed", lambda parts: batches.append(max(r.n for r in spark.range(0, 40, 1, 2).mapInArrow(largest, "n long").collect())) or summed(parts))
+    monkeypatch.setattr(toxicity, "ROWS", 50)
+    before = spark.conf.get(key)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(300)], "doc_id long, toxic int")
+    toxicity.toxicity_scores(docs(spark, [f"word{i % 50}" + " grunk" * (i % 2) for i in range(300)]), labels).collect()
+    assert len(batches) == 1 + toxicity.PASSES and set(batches) == {1} and spark.conf.get(key) == before
+
+
+def test_scoring_empties_the_cache_of_another_operator():
+    other = Memo(len, 10)
+    assert other.use()["word"] == 4
+    toxicity.Scorer(toxicity.Net())(["word"])
+    assert not other
+
+
 def test_buckets_are_hashes_of_words_and_runs():
     words = ["a", "é", "ab", "abc", "grunklo", "日本語", "." * 300]
     marked = [b"<" + w.encode() + b">" for w in words]

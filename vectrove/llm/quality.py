@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .storage import stored
 from .substring import table_type
-from .words import small
+from .words import in_use, small
 
 #: Random features, folds of the labelled rows, bins of ridge scores, parts of a sum matrix that travel apart, first-level sums.
 FEATURES, FOLDS, BINS, PARTS, SUMS = 256, 5, 2000, 16, 32
@@ -65,6 +65,7 @@ def statistics_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     schema = pa.schema([("id", table_type(docs, id_col)), ("x", pa.list_(pa.float64()))])
 
     def measure(batches):
+        in_use()
         for batch in small(batches):
             x = np.array([statistics(t) for t in batch.column(1).to_pylist()], np.float64).reshape(-1, WIDTH)
             flat = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * WIDTH, pa.int32()), pa.array(x.ravel()))
@@ -175,6 +176,7 @@ def quality_filter(docs: DataFrame, labels: DataFrame, learn: str = LEARN, most_
     score = quality_model(statistics_table(docs, id_col, text_col), labels, learn, most_labelled, ridge, id_col, label_col)
 
     def keep(batches):
+        in_use()
         for batch in small(batches):
             texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
             x = np.array([statistics(t.encode() if t else None) for t in texts], np.float64).reshape(-1, WIDTH)

@@ -20,9 +20,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import stored
+from .storage import single_rows, stored
 from .substring import table_type
-from .words import small
+from .words import in_use, small
 
 #: Hash buckets, embedding size, filters of each width, widths, documents of a step, passes, cached words.
 BUCKETS, SIZE, FILTERS, WIDTHS, STEP, PASSES, KEPT = 1 << 16, 8, 8, (1, 2, 3), 64, 5, 160_000
@@ -237,6 +237,7 @@ class Scorer:
     """Logits and languages of whole texts, with the filters' parts of each word cached."""
 
     def __init__(self, net: Net):
+        in_use()
         self.net = net
         self.known: dict[str, int] = {}
         self.parts = np.zeros((KEPT, sum(WIDTHS) * FILTERS), np.float32)
@@ -375,6 +376,7 @@ def blocks_of(rows: DataFrame, known: DataFrame, n_blocks: int) -> DataFrame:
     names = ["block", "met", *Block.FIELDS]
 
     def code(table: pa.Table, labels: pa.Table) -> pa.Table:
+        in_use()
         y, half = (dict(zip(labels["id"].to_pylist(), labels[c].to_pylist())) for c in ("y", "half"))
         found = [(i, y[i], t) for i, t in zip(table["id"].to_pylist(), table["text"].to_pylist()) if i in y]
         if not found:
@@ -415,6 +417,7 @@ def learned(blocks: DataFrame, n: np.ndarray) -> list[Net]:
     for turn in range(PASSES):
 
         def go(batches, turn=turn, state=state):
+            in_use()
             sums = {}
             for batch in batches:
                 for i in range(batch.num_rows):
@@ -460,6 +463,7 @@ def set_thresholds(blocks: DataFrame, nets: list[Net]) -> np.ndarray:
     """Thresholds from the logits that all rows get from the net of their half, counted in steps of 1 / FINE."""
 
     def tally(batches):
+        in_use()
         keys, y = [], []
         for batch in batches:
             for i in range(batch.num_rows):
@@ -496,8 +500,9 @@ def toxicity_model(docs: DataFrame, labels: DataFrame, learn: str, cut: float, i
     if not n.sum(axis=0).all():
         return lambda: lambda texts: (np.full(len(texts), share), np.zeros(len(texts), int))
     blocks = blocks_of(likely(rows, known, int(n.sum())), known, math.ceil(max(n.sum() / ROWS, chars / CHARS)))
-    nets = learned(blocks, n)
-    limits = set_thresholds(blocks, nets)
+    with single_rows(docs.sparkSession):  # else all blocks of a task would stand in memory at once
+        nets = learned(blocks, n)
+        limits = set_thresholds(blocks, nets)
     base, raw = float(np.log(cut / (1 - cut))), nets[ALL].bytes()
 
     def make():

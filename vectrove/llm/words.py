@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 from xxhash import xxh3_64_intdigest
@@ -12,13 +14,22 @@ U = np.uint64
 _IN_USE: list = []
 
 
-def in_use(cache) -> None:
-    """Name the cache in use; the last one is emptied if it is another, so a worker that goes from one operator's tasks to another's keeps one."""
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def in_use(cache=None) -> None:
+    """Name the cache in use; the last one is emptied if it is another, so a worker that goes from one operator's tasks to another's keeps one.
+
+    Without a cache, for tasks that keep none, what the tasks before have freed goes back to the system too."""
     if not _IN_USE or _IN_USE[0] is not cache:
         for other in _IN_USE:
             other.clear()
             pa.default_memory_pool().release_unused()
-        _IN_USE[:] = [cache]
+        _IN_USE[:] = [] if cache is None else [cache]
+    if cache is None:
+        pa.default_memory_pool().release_unused()
+        if _trim:  # glibc alone has it
+            _trim(0)
 
 
 class Memo(dict):

@@ -571,3 +571,35 @@ def test_new_pieces_go_to_the_tokenizer_whole():
     fresh = packing.Encoder(path, public_tokenizers.PATTERN)
     fresh(["go word, word. word, stop!"])
     assert len(fresh.known.at) == 4  # pieces alone, not their matches too
+
+
+def test_jaccard_rare_keys_and_stars(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "SIDE", 8)  # so that components are cut into stars or blocks
+    texts = near_texts()
+    sets = [shingle_set(t, 4) for t in texts]
+    links = [(a, b) for a in range(len(texts)) for b in range(a) if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    got = {r.doc_id: r.component_id for r in jaccard.ngram_jaccard_join(docs(spark, texts), 4, 85, block_bytes=4000).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_components(len(texts), links)
+
+
+def test_jaccard_chains_of_shared_keys_are_not_sent_to_all_blocks(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "SIDE", 16)
+    chain = spark.createDataFrame([(i, 100, [i, i + 1]) for i in range(800)], "node long, n long, keys array<long>")
+    met = jaccard.meetings(chain).collect()
+    assert sum(r.blocks for r in met) <= 3 * 800  # as one component each set would go to 50 blocks
+    groups = collections.defaultdict(set)
+    for r in met:
+        groups[r.grp].add(r.node)
+    assert all(any({i, i + 1} <= g for g in groups.values()) for i in range(799))
+
+
+def test_jaccard_keeps_the_rarest_keys(spark):
+    table = pa.table({"id": [b"x"], "text": [" ".join(f"w{i}" for i in range(200)).encode()]})
+    block = jaccard.Block(table, 4, 85)
+    found = np.unique(block.keys)
+    (kept,) = block.candidates(np.full(len(found), 9, np.uint8)).values()
+    assert [len(k) for k in kept] == [len(key) - need + 1 for _, key, need in block.levels]
+    frequent = found[::2]
+    (kept,) = block.candidates(np.where(np.isin(found, frequent), 200, 2).astype(np.uint8)).values()
+    for k, (_, key, need) in zip(kept, block.levels):
+        assert len(k) == len(key) - need + 1 and np.isin(k, frequent).sum() == max(0, len(k) - (~np.isin(key, frequent)).sum())

@@ -2,7 +2,8 @@
 
 Each block (a group of documents) sends its distinct keys once, sorted and cut by key range into buckets: one row for a
 block and bucket. A bucket's task counts them and answers each block with one bit a key, in the block's own order. A key
-that a third of all rows hold is sent once by each block, so no bucket grows with a hot key.
+that a third of all rows hold is sent once by each block, so no bucket grows with a hot key. In place of the bit the answer
+may be a byte: at how many places the key occurs, a block with several counting as two, 255 at most.
 """
 
 from __future__ import annotations
@@ -51,8 +52,8 @@ def sent(block: int, found: np.ndarray, many: np.ndarray, buckets: int) -> pa.Ta
     return pa.table([pa.array(full, pa.int32()), pa.array([block] * len(full), pa.int32()), pa.array([found[i:j].tobytes() for i, j in rows], pa.binary()), pa.array([np.packbits(twice[i:j]).tobytes() for i, j in rows], pa.binary())], schema=SENT)
 
 
-def answers(rows: DataFrame, width: int, round_: int) -> DataFrame:
-    """For each block and bucket: bits of the block's keys, set where the key occurs at two places or more."""
+def answers(rows: DataFrame, width: int, round_: int, counts: bool = False) -> DataFrame:
+    """For each block and bucket: bits of the block's keys, set where the key occurs at two places or more; or its counts, as bytes."""
 
     def count(table: pa.Table) -> pa.Table:
         keys = [np.frombuffer(x, U).reshape(-1, width) for x in table["keys"].to_pylist()]
@@ -62,17 +63,19 @@ def answers(rows: DataFrame, width: int, round_: int) -> DataFrame:
         found, _ = distinct(keys)
         at = places(found, keys)
         total = np.bincount(at, 1 + twice, len(found))
-        bits = (total[at] > 1).astype(np.uint8)
-        parts = np.split(bits, np.cumsum(sizes)[:-1])
+        found = (np.minimum(total, 255) if counts else total > 1).astype(np.uint8)[at]
+        parts = np.split(found, np.cumsum(sizes)[:-1])
         n = len(parts)
-        return pa.table([table["block"].combine_chunks(), pa.array([round_] * n, pa.int32()), table["bucket"].combine_chunks(), pa.array(sizes, pa.int32()), pa.array([np.packbits(p).tobytes() for p in parts], pa.binary())], schema=ANSWER)
+        return pa.table([table["block"].combine_chunks(), pa.array([round_] * n, pa.int32()), table["bucket"].combine_chunks(), pa.array(sizes, pa.int32()), pa.array([(p if counts else np.packbits(p)).tobytes() for p in parts], pa.binary())], schema=ANSWER)
 
     return rows.groupBy("bucket").applyInArrow(count, ANSWER_DDL)
 
 
-def answered(table: pa.Table, round_: int) -> np.ndarray:
-    """The bits for a block's sorted distinct keys."""
+def answered(table: pa.Table, round_: int, counts: bool = False) -> np.ndarray:
+    """The bits, or counts, for a block's sorted distinct keys."""
     rows = sorted((b, n, bits) for r, b, n, bits in zip(*(table[c].to_pylist() for c in ("round", "bucket", "n", "bits"))) if r == round_)
     if not rows:
-        return np.empty(0, bool)
+        return np.empty(0, np.uint8 if counts else bool)
+    if counts:
+        return np.concatenate([np.frombuffer(found, np.uint8) for _, _, found in rows])
     return np.concatenate([np.unpackbits(np.frombuffer(bits, np.uint8), count=n) for _, n, bits in rows]).astype(bool)

@@ -4,11 +4,14 @@ The global order of n-grams is that of their 64-bit hash codes; a fragment is a
 
 Candidates: two sets that link differ in at most D n-grams. Cut by more than D fragments, some fragment holds the same,
 non-empty part of both. Each distinct set sends one key for each of its non-empty fragments; a set stays a candidate only
-if as many of its keys occur elsewhere as a link implies. Sets that share a key form clusters, wide of the links.
-
-Counting: in a cluster, blocks of sets meet pairwise, once for each coarse fragment; each such task gives a matrix of
-partial overlaps of its fragment alone. The partial counts are summed per pair and compared with the threshold. Links
-are kept as spanning edges, not as all pairs.
+if as many of its keys occur elsewhere as a link implies. Of these it keeps the rarest: where a link implies t shared keys,
+all but its t - 1 most frequent ones, in one order for all sets; a linked pair still shares one that both keep.
+
+Counting: sets that share a kept key form groups, wide of the links. A group is a component of such sharing; large components,
+which chance grows with the input, are cut into overlapping groups where that sends less: for each set, those that share a
+key of which it is the least holder. In a group, blocks of sets meet pairwise, once for each coarse fragment; each such task
+gives a matrix of partial overlaps of its fragment alone. The partial counts are summed per pair and compared with the
+threshold. Links are kept as spanning edges, not as all pairs.
 """
 
 from __future__ import annotations
@@ -29,8 +32,8 @@ from .words import U, codes, mixed, rolling, split_words
 BASE = 0xA0761D6478BD642F
 #: Documents of a block, and fragments, in the counting of overlaps.
 SIDE, FRAGMENTS = 512, 4
-#: A set's 128-bit name in hex digits.
-NODE = "S32"
+#: Bytes of shingles, on average, of the groups of one block that a task counts together.
+UNIT_BYTES = 8 << 20
 
 
 def shingles(text: bytes | None, n: int) -> np.ndarray:
@@ -101,15 +104,17 @@ class Block:
         self.levels = [(name, key, need) for name, s in self.sets.items() for key, need in part_keys(s, sizes)]
         self.keys = np.concatenate([*(key for _, key, _ in self.levels), np.empty(0, U)])
 
-    def candidates(self, bits: np.ndarray) -> dict[bytes, list[np.ndarray]]:
-        """Names of the sets that can have a link, with the keys that occur elsewhere."""
+    def candidates(self, counts: np.ndarray) -> dict[bytes, list[np.ndarray]]:
+        """Names of the sets that can have a link, with the keys that they keep: all that occur elsewhere but the most frequent ones, one fewer than a link implies."""
         found, _ = exchange.distinct(self.keys[:, None])
-        hit, at, out = bits[np.searchsorted(found[:, 0], self.keys)] if len(found) else np.empty(0, bool), 0, {}
+        hit, at, out = counts[np.searchsorted(found[:, 0], self.keys)] if len(found) else np.empty(0, np.uint8), 0, {}
         for name, key, need in self.levels:
             here = hit[at : at + len(key)]
             at += len(key)
-            if here.sum() >= need:
-                out.setdefault(name, []).append(key[here])
+            elsewhere = int((here > 1).sum())
+            if elsewhere >= need:
+                rarest = np.lexsort((key, here))[len(key) - elsewhere :]
+                out.setdefault(name, []).append(key[rarest[: elsewhere - need + 1]])
         return out
 
 
@@ -132,18 +137,30 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def meetings(rows: DataFrame) -> DataFrame:
+    """(node, grp, blocks) for sets (node, n, keys): any two that share a key are in a common group, which is cut into so many blocks."""
+    held = rows.select("node", F.explode("keys").alias("key"))
+    low = held.groupBy("key").agg(F.min("node").alias("low"), F.count("*").alias("many")).where("many > 1").drop("many")
+    near = stored(held.join(low, "key").where("node <> low").select("low", "node").distinct(), "near")
+    wide = stored(components(near).join(rows.select("node", "n"), "node"), "wide")
+    large = wide.groupBy("component").count().where(f"count > {SIDE}").select("component")
+    stars = near.unionByName(near.select("low", F.col("low").alias("node")).distinct()).join(wide.join(large, "component"), "node")
+    every = wide.select("component", F.lit(False).alias("star"), F.col("component").alias("grp"), "node", "n").unionByName(stars.select("component", F.lit(True).alias("star"), F.expr("-1 - low").alias("grp"), "node", "n"))
+    groups = every.groupBy("component", "star", "grp").agg(F.expr(f"cast(ceil(count(*) / {SIDE}) as int)").alias("blocks"), F.sum("n").alias("size"))
+    cheaper = groups.groupBy("component", "star").agg(F.sum(F.expr("cast(blocks * size as double)")).alias("sent")).groupBy("component").agg(F.min_by("star", F.struct("sent", "star")).alias("star"))
+    return stored(every.join(groups.join(cheaper, ["component", "star"]).select("grp", "blocks"), "grp").select("node", "grp", "blocks"), "meetings")
+
+
 def linked_sets(sets: DataFrame, percent: int) -> DataFrame:
-    """(node, component) of the candidate sets (name, n, shingles, keys) that link with a different set; a node is a name in hex digits."""
+    """(name, component) of the candidate sets (hash, name, n, shingles, keys) that link with a different set."""
     spark = sets.sparkSession
-    rows = sets.dropDuplicates(["name"]).select(F.lower(F.hex("name")).alias("node"), "n", "shingles", "keys")
-    rows = stored(rows, "candidates")
-    held = rows.select("node", F.explode("keys").alias("key"))
-    low = held.groupBy("key").agg(F.min("node").alias("low"))
-    wide = components(held.join(low, "key").where("node <> low").select("node", "low").distinct())
-    blocks = wide.groupBy("component").agg(F.expr(f"cast(ceil(count(*) / {SIDE}) as int)").alias("blocks"))
-    placed = rows.drop("keys").join(wide.join(blocks, "component"), "node").withColumn("mine", F.expr("cast(pmod(xxhash64(node), blocks) as int)"))
+    rows = sets.select("name", "hash", "n", "keys").dropDuplicates(["name"])
+    rows = stored(rows.select(F.monotonically_increasing_id().alias("node"), "name", "hash", "n", "keys"), "candidates")  # stored, so that the numbers stay
+    met = meetings(rows)
+    size = 8 * (met.join(rows, "node").agg(F.sum("n")).first()[0] or 0)
+    placed = sets.select("hash", "shingles").join(rows.select("hash", "node", "n"), "hash").join(met, "node").withColumn("mine", F.expr("cast(pmod(xxhash64(node), blocks) as int)"))
     pairs = placed.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select(
-        "node", "n", "shingles", "component", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), F.expr("mine <= other").alias("in_left"), F.expr("mine >= other").alias("in_right"), F.explode(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1))).alias("fragment")
+        "node", "n", "shingles", "grp", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), F.expr("mine <= other").alias("in_left"), F.expr("mine >= other").alias("in_right"), F.explode(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1))).alias("fragment")
     )
 
     def cut(batches):
@@ -152,29 +169,29 @@ def linked_sets(sets: DataFrame, percent: int) -> DataFrame:
             parts = [_part(x, f) for x, f in zip(table["shingles"].to_pylist(), table["fragment"].to_pylist())]
             yield from table.set_column(table.schema.get_field_index("shingles"), "shingles", pa.array(parts, pa.binary())).to_batches()
 
-    groups = max(parallelism(spark), 1) * 16
-    units = pairs.mapInArrow(cut, pairs.schema).withColumn("unit", F.expr(f"if(i + j = 0, pmod(xxhash64(component, fragment), {groups}), xxhash64(component, i, j, fragment) | {1 << 62})"))
+    groups = max(parallelism(spark) * 16, -(-size // UNIT_BYTES))
+    units = pairs.mapInArrow(cut, pairs.schema).withColumn("unit", F.expr(f"if(i + j = 0, pmod(xxhash64(grp, fragment), {groups}), xxhash64(grp, i, j, fragment) | {1 << 62})"))
 
-    out = "component string, i int, j int, left_nodes binary, left_n binary, right_nodes binary, right_n binary, counts binary"
+    out = "grp long, i int, j int, left_nodes binary, left_n binary, right_nodes binary, right_n binary, counts binary"
 
     def count(table: pa.Table) -> pa.Table:
-        """Partial overlaps within the fragment, one matrix for each cluster and pair of blocks in the unit."""
+        """Partial overlaps within the fragment, one matrix for each group and pair of blocks in the unit."""
         found: dict = {}
-        for node, n, s, component, i, j, in_left, in_right, fragment in zip(*(table[c].to_pylist() for c in ("node", "n", "shingles", "component", "i", "j", "in_left", "in_right", "fragment"))):
-            left, right = found.setdefault((component, i, j, fragment), ([], []))
+        for node, n, s, grp, i, j, in_left, in_right, fragment in zip(*(table[c].to_pylist() for c in ("node", "n", "shingles", "grp", "i", "j", "in_left", "in_right", "fragment"))):
+            left, right = found.setdefault((grp, i, j, fragment), ([], []))
             row = (node, n, np.frombuffer(s, U))
             if in_left:
                 left.append(row)
             if in_right:
                 right.append(row)
         rows = []
-        for (component, i, j, _), (left, right) in found.items():
+        for (grp, i, j, _), (left, right) in found.items():
             left.sort(key=lambda r: r[0])
             right.sort(key=lambda r: r[0])
             counts = overlaps([r[2] for r in left], [r[2] for r in right]).astype(np.int32)
-            names = {f"{side}_{what}": np.array([r[k] for r in side_rows], kind).tobytes() for side, side_rows in (("left", left), ("right", right)) for k, what, kind in ((0, "nodes", NODE), (1, "n", np.int64))}
-            rows.append({"component": component, "i": i, "j": j, **names, "counts": counts.tobytes()})
-        return pa.Table.from_pylist(rows, pa.schema([("component", pa.string()), ("i", pa.int32()), ("j", pa.int32()), *((c, pa.binary()) for c in ("left_nodes", "left_n", "right_nodes", "right_n", "counts"))]))
+            names = {f"{side}_{what}": np.array([r[k] for r in side_rows], np.int64).tobytes() for side, side_rows in (("left", left), ("right", right)) for k, what in ((0, "nodes"), (1, "n"))}
+            rows.append({"grp": grp, "i": i, "j": j, **names, "counts": counts.tobytes()})
+        return pa.Table.from_pylist(rows, pa.schema([("grp", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), *((c, pa.binary()) for c in ("left_nodes", "left_n", "right_nodes", "right_n", "counts"))]))
 
     partial = units.groupBy("unit").applyInArrow(count, out)
 
@@ -182,22 +199,22 @@ def linked_sets(sets: DataFrame, percent: int) -> DataFrame:
         """Sum the partial overlaps of each pair, and keep spanning edges of the links."""
         found: dict = {}
         for row in table.to_pylist():
-            key = (row["component"], row["i"], row["j"])
+            key = (row["grp"], row["i"], row["j"])
             sums = np.frombuffer(row["counts"], np.int32)
             found[key] = (row, found[key][1] + sums if key in found else sums)
         edges = []
         for row, sums in found.values():
-            a, na, b, nb = (np.frombuffer(row[c], kind) for c, kind in (("left_nodes", NODE), ("left_n", np.int64), ("right_nodes", NODE), ("right_n", np.int64)))
+            a, na, b, nb = (np.frombuffer(row[c], np.int64) for c in ("left_nodes", "left_n", "right_nodes", "right_n"))
             both = sums.reshape(len(a), len(b)).astype(np.int64)
             x, y = np.nonzero((100 + percent) * both >= percent * (na[:, None] + nb[None, :]))
             names, at = np.unique(np.r_[a, b], return_inverse=True)
             root = roots(len(names), at[x], at[len(a) + y])
             moved = np.flatnonzero(root != np.arange(len(names)))
             edges += zip(names[moved].tolist(), names[root[moved]].tolist())
-        return pa.table({"u": pa.array([e[0].decode() for e in edges], pa.string()), "v": pa.array([e[1].decode() for e in edges], pa.string())})
+        return pa.table({"u": pa.array([e[0] for e in edges], pa.int64()), "v": pa.array([e[1] for e in edges], pa.int64())})
 
-    edges = partial.withColumn("unit", F.expr(f"if(i + j = 0, pmod(xxhash64(component), {groups}), xxhash64(component, i, j) | {1 << 62})")).groupBy("unit").applyInArrow(total, "u string, v string")
-    return components(edges)
+    edges = partial.withColumn("unit", F.expr(f"if(i + j = 0, pmod(xxhash64(grp), {groups}), xxhash64(grp, i, j) | {1 << 62})")).groupBy("unit").applyInArrow(total, "u long, v long")
+    return components(edges).join(rows.select("node", "name"), "node").select("name", "component")
 
 
 def _part(shingles_: bytes, fragment: int) -> bytes:
@@ -246,7 +263,7 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
         if not table.num_rows:
             return result.empty_table()
         block = Block(table, n, percent)
-        found, out, done, texts_seen = block.candidates(exchange.answered(replies, 1)), [], set(), set()
+        found, out, done, texts_seen = block.candidates(exchange.answered(replies, 1, counts=True)), [], set(), set()
         for text_hash, name, size in block.rows:
             if text_hash in texts_seen:
                 continue
@@ -258,13 +275,13 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
             out.append(row)
         return pa.Table.from_pylist(out, result)
 
-    replies = exchange.answers(blocks.groupBy("block").applyInArrow(first, exchange.SENT_DDL), 1, 1)
+    replies = exchange.answers(blocks.groupBy("block").applyInArrow(first, exchange.SENT_DDL), 1, 1, counts=True)
     sets = stored(blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(second, "hash binary, name binary, n long, shingles binary, keys array<long>"), "sets")
     found = linked_sets(sets.where("keys is not null"), percent)
 
-    named = sets.select("hash", "n", "name", F.lower(F.hex("name")).alias("node"))
     least = rows.groupBy("hash").agg(F.min("id").alias("least_id"))
-    group = named.join(least, "hash").join(found, "node", "left").select("hash", "n", "name", "least_id", F.coalesce("component", "node").alias("group_key"))
+    key = F.coalesce(F.col("component").cast("string"), F.hex("name")).alias("group_key")  # a number has fewer digits than a name
+    group = sets.select("hash", "n", "name").join(least, "hash").join(found, "name", "left").select("hash", "n", "name", "least_id", key)
     group = stored(group, "groups")  # read twice
     lowest = group.where("name is not null").groupBy("group_key").agg(F.min("least_id").alias("component_id"))
     final = group.join(lowest, "group_key", "left").select("hash", F.col("n").alias("n_shingles"), "component_id")

@@ -3,12 +3,14 @@
 import collections
 import hashlib
 import math
+import pathlib
 import re
 import zlib
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from vectrove.llm import bpe, exchange, jaccard, media, neighbours, packing, quality, quotes, substring, toxicity, warc
@@ -573,6 +575,18 @@ def test_new_pieces_go_to_the_tokenizer_whole():
     assert len(fresh.known.at) == 4  # pieces alone, not their matches too
 
 
+def test_embeddings_are_not_copied_to_the_cells_in_reach(spark):
+    x = np.random.default_rng(4).normal(size=(3000, 16))  # no structure: nearly all cells are in reach of each vector
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(np.r_[x, x[:50] + 0.01].astype(np.float32).tolist())], "vec_id long, embedding array<float>")
+    folder = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    known = {p for p in pathlib.Path(folder).rglob("*.parquet")}
+    got = {r.vec_id: r for r in neighbours.embedding_dedup(rows, cell=50, side=20).collect()}
+    assert all(got[i].n_links >= 1 and got[3000 + i].component_id <= i for i in range(50))
+    assert sum(r.n_links for r in got.values()) % 2 == 0
+    written = sum(p.stat().st_size for p in pathlib.Path(folder).rglob("*.parquet") if p not in known and "vector" in pq.ParquetFile(p).schema_arrow.names)
+    assert written < 3 * 3050 * (16 * 4 + 48)  # each vector once, with its digest; files have a head and a foot
+
+
 def test_jaccard_rare_keys_and_stars(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "SIDE", 8)  # so that components are cut into stars or blocks
     texts = near_texts()
